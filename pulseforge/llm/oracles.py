@@ -47,7 +47,6 @@ _PII = {
         r"[0-9](?:[\x20-]?[0-9])+",
         "length(regexp_replace(m, '[^0-9]', '', 'g')) between 16 and 19 and list_sum(list_transform(range(1, length(regexp_replace(m, '[^0-9]', '', 'g')) + 1), "
         "lambda i: case when i % 2 = 0 then (cast(substr(reverse(regexp_replace(m, '[^0-9]', '', 'g')), i, 1) as int) * 2 - 1) % 9 + 1 "
-        "- case when substr(reverse(regexp_replace(m, '[^0-9]', '', 'g')), i, 1) = '0' then 9 else 0 end "
         "else cast(substr(reverse(regexp_replace(m, '[^0-9]', '', 'g')), i, 1) as int) end)) % 10 = 0",
     ),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) between 8 and 15"),

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, pii, simhash, warc
+from . import exact_dedup, language_id, line_dedup, mixing, pii, simhash, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": _docs(mixing.mix_digest),
     "op4_line_dedup": _docs(line_dedup.line_digest),
     "op5_exact_dedup": _docs(lambda d: exact_dedup.DigestIndex(d.sparkSession).deduplicate(d)),
+    "op6_language_id": _docs(language_id.language_digest),
     "op7_simhash": _docs(simhash.simhash_digest),
     "op9_pii": _docs(pii.pii_digest),
     "op10_warc": _warc,
