@@ -4,12 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseforge.llm import exact_dedup, mixing, simhash
-from pulseforge.llm.common import durable
+from pulseforge.llm import decontaminate, exact_dedup, language_id, mixing, simhash
+from pulseforge.llm.common import durable, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are of no learned language, or only by a weak score, go; null texts are among them."""
+    return language_id.keep_known_language(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for A-Z case the largest doc_id stays; nulls count as empty."""
     return exact_dedup.drop_copies(docs)
@@ -20,14 +25,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one_of_each(docs)
 
 
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: one row per draw, texts of the last pass cut at a word."""
     return mixing.mixed_rows(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language ID", drop_unknown_language),
     ("exact dedup", drop_exact_copies),
     ("near dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_passages),
     ("mix sources", mix_sources),
 ]
 

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, mixing, pii, quality, simhash, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, pii, quality, simhash, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": _docs(lambda d: exact_dedup.DigestIndex(d.sparkSession).deduplicate(d)),
     "op6_language_id": _docs(language_id.language_digest),
     "op7_simhash": _docs(simhash.simhash_digest),
+    "op8_decontaminate": lambda spark, sf_dir: decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_pii": _docs(pii.pii_digest),
     "op10_warc": _warc,
 }
