@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, pii, quality, simhash, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, pii, quality, simhash, substring_dedup, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -20,6 +20,7 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": lambda spark, sf_dir: quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op2_substring_dedup": _docs(substring_dedup.substring_digest),
     "op3_source_mix": _docs(mixing.mix_digest),
     "op4_line_dedup": _docs(line_dedup.line_digest),
     "op5_exact_dedup": _docs(lambda d: exact_dedup.DigestIndex(d.sparkSession).deduplicate(d)),
