@@ -168,6 +168,8 @@ def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int
     sides = {"tp": (True, True), "fp": (False, True), "fn": (True, False)}
     bit = lambda i, a, b: ((F.col("labels")[i] == a) & (F.col("decided")[i] == b)).cast("int")
     r = r.select("rec_id", "observed", "correct", "inactive", "wrong", "k", *[bit(i, *ab).alias(f"{c}_{i}") for i in range(k) for c, ab in sides.items()])
+    tasks = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = r.repartition(tasks, "rec_id")  # slim rows; what follows is n times the work
     x = r.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     x = x.withColumn("u", (keyed_hash(seed, F.col("it"), F.col("rec_id")) + 0.5) / F.lit(2.0**32))
     x = x.withColumn("m", sum((F.when(F.col("u") > c, 1).otherwise(0) for c in POISSON), F.lit(0)))  # a filter on m would be pushed down with the hash inlined for each comparison

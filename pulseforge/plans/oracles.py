@@ -178,7 +178,7 @@ cf as (select it, class_idx, sum(m) as cells, sum(m * (label <> d)::int) as wron
 v as (select 'challenge' as metric, (o - n) / (c - n) as v from ch union all select 'macro_f1', avg(2 * tp / nullif(2 * tp + fp + fn, 0)) from cf group by it union all select 'hamming_loss', sum(wrong) / sum(cells) from cf group by it)
 select metric, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as lower, round(quantile_cont(v, 0.975), 6) as upper from v group by 1"""
 
-_RUNS = """r as (select 'run' || c_nationkey as run_id, 'model' || c_nationkey % 3 as name, count(*) as n, min(c_acctbal) as lo, max(c_acctbal) as hi, sum(cast(round(c_acctbal * 100) as bigint)) / (count(*) * 100) as mean from customer group by c_nationkey),
+_RUNS = """r as (select 'run' || c_nationkey as run_id, 'model' || c_nationkey % 3 as name, count(*) as n, min(c_acctbal) as lo, max(c_acctbal) as hi, floor(sum(cast(round(c_acctbal * 100) as bigint)) / count(*)) / 100 as mean from customer group by c_nationkey),
 b as (select 'stat' as kind, run_id, name, 'macro_f1' as metric, mean, lo as lower, hi as upper, 1 as dir from r union all select 'stat', run_id, name, 'hamming_loss', hi, null, null, -1 from r union all select 'stat', run_id, name, 'mean_auprc', lo, null, null, 1 from r
  union all select 'stat', run_id, name, 'challenge_score', n, null, null, 1 from r union all select 'perf', run_id, name, 'temps_inference_sec', hi, null, null, -1 from r union all select 'perf', run_id, name, 'rate', n, null, null, 1 from r
  union all select 'bin', run_id, name, 'f1_score', mean, null, null, 1 from r union all select 'bin', run_id, name, 'loss', lo, null, null, -1 from r)"""
