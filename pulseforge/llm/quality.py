@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Classifier | None]:
             found = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["doc_id", "ids", "style"])
 
-    texts = keep_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, ["doc_id"])
+    texts = keep_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), F.broadcast(ids), ["doc_id"])  # of at most MAX_LEARN ids
     got = {r.doc_id: (np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.style)) for r in texts.mapInArrow(run, "doc_id long, ids binary, style binary").dropDuplicates(["doc_id"]).collect()}
     out = []
     for k in range(len(TRAITS)):
