@@ -51,6 +51,7 @@ class DigestIndex:
         batch = self.next_batch()
         rows = durable(digests(docs, id_col, text_col).groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "digests")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        groups = durable(groups, "digest_groups")  # else the anti-join is pushed below the aggregate, and every copy is shuffled
         self.append(groups.join(self.rows().hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch).cast("long")))
         return rows.join(self.files().hint("merge"), "digest").select(
             "doc_id",
