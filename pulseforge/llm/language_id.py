@@ -3,7 +3,7 @@
 Two texts are compared by the blended spectrum of their character n-grams (n = 1, 2, 3, present or absent):
 k(x, y) = |X and Y| / sqrt(|X| |Y|). Landmark texts give a Nyström map, and one-versus-rest kernel ridge
 regression is fitted on a bounded sample of labelled texts, LEARN_PER_LANG of each language by keyed hash and
-MAX_LEARN in all. What the driver gathers are packed presence bits of that sample, never texts.
+MAX_LEARN in all, of the MAX_LANGS most frequent. What the driver gathers are packed presence bits of that sample, never texts.
 
 Scores of a batch of texts are a matrix product. As (X L') a = X (L' a), with L the landmarks' normalised
 presence rows and a the regression's weights, L' a is multiplied out once and every text meets a matrix of one
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import keep_rows
 
 BITS, SPECTRUM, PIECE = 14, (1, 2, 3), 1 << 20
-LEARN_PER_LANG, LANDMARKS_PER_LANG, MAX_LEARN, RIDGE = 400, 64, 8000, 0.1
+LEARN_PER_LANG, LANDMARKS_PER_LANG, MAX_LEARN, MAX_LANGS, RIDGE = 400, 64, 8000, 1000, 0.1
 LEAST_SCORE = 0.2
 UNKNOWN = "und"
 #: Odd multipliers of the n-gram hash.
@@ -102,7 +102,14 @@ def learn(docs: DataFrame, use=None) -> LanguageModel:
     known = docs.filter("lang is not null and text is not null")
     known = known.filter(use) if use is not None else known
     by_lang = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = known.select("doc_id", "lang", F.xxhash64(F.lit("learn"), "doc_id").alias("h")).withColumn("rank", F.row_number().over(by_lang))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    if not sizes:
+        return fit(np.zeros((0, 1 << BITS), dtype=bool), [], np.zeros(0, dtype=bool))
+    # hashes below a share of the range leave a few times as many rows as are picked, however many there are
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(4.0 * (LEARN_PER_LANG + 25) / r["count"], 1.0))])
+    rows = known.select("doc_id", "lang", F.xxhash64(F.lit("learn"), "doc_id").alias("h"))
+    rows = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.element_at(share, F.col("lang")))
+    picked = rows.withColumn("rank", F.row_number().over(by_lang))
     picked = picked.filter(F.col("rank") <= LEARN_PER_LANG).orderBy("rank", "h").limit(MAX_LEARN)
     ranks = {(r.doc_id, r.lang): r["rank"] for r in picked.collect()}
     if not ranks:
