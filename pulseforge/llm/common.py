@@ -1,41 +1,15 @@
-"""What the corpus operators share: the shared folder, normal forms of text, and keeping rows by key."""
+"""What the corpus operators share: normal forms of text, keeping rows by key, and the shared folder."""
 
-import atexit
-import shutil
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folder: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="spark-pulseforge-")
-        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
-    return _own_folder
+from ..shared import durable, keyed_hash, new_path, shared_dir
 
+__all__ = ["WORD", "ascii_lower", "durable", "keep_rows", "keyed_hash", "new_path", "shared_dir", "table"]
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ascii_lower(text: Column) -> Column:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, new_path
+from .common import WORD, durable, keyed_hash, new_path
 
 #: Weights of sources in order, repeating, and the most a target may be of its source's size.
 WEIGHTS = (5, 2, 1)
@@ -32,12 +32,6 @@ MOST = 3
 SEED = 42
 
 
-def keyed_hash(seed: int | str, *cols: Column) -> Column:
-    """32 bits of md5 over seed and columns, as long."""
-    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
-
-
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, n_docs -> with target. One row per source in, one out."""
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

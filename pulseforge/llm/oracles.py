@@ -82,4 +82,17 @@ from t d left join per on d.doc_id = per.doc_id
 """
 
 
-ORACLES = {"op3_source_mix": MIX, "op5_exact_dedup": EXACT, "op9_pii": _pii(), "op10_warc": WARC}
+LINES = r"""
+with p as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as ps from documents),
+x as (select doc_id, unnest(range(1, len(ps) + 1)) as i, len(ps) as n, ps from p),
+l as (select doc_id, i, ps[i] || case when i < n then chr(10) else '' end as unit from x),
+u as (select *, cast(sum(length(unit)) over (partition by doc_id order by i) as bigint) as e, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) as plain from l),
+v as (select *, e - length(unit) as s, length(plain) - length(replace(plain, ' ', '')) >= 4 as counts from u),
+w as (select *, counts and row_number() over (partition by plain, counts order by doc_id, i) > 1 as gone from v)
+select doc_id, cast(sum(length(unit)) as bigint) as n_chars, cast(coalesce(sum(length(unit)) filter (where gone), 0) as bigint) as n_removed,
+  count(*) filter (where gone) as n_spans, coalesce(string_agg(s || ':' || e, ',' order by i) filter (where gone), '') as removed,
+  sha256(coalesce(string_agg(unit, '' order by i) filter (where not gone), '')) as kept_sha256
+from w group by doc_id
+"""
+
+ORACLES = {"op4_line_dedup": LINES, "op3_source_mix": MIX, "op5_exact_dedup": EXACT, "op9_pii": _pii(), "op10_warc": WARC}
