@@ -40,7 +40,8 @@ def tune_thresholds(preds: DataFrame, weights: list[list[float]], nsr: int, epoc
     """
     k = len(weights)
     now = [0.5] * k
-    base = durable(preds.select("rec_id", "labels", F.transform("probs", lambda p: p.cast("double")).alias("probs")), "tuning")
+    base = preds.select("rec_id", "labels", F.transform("probs", lambda p: p.cast("double")).alias("probs"))
+    base = durable(base.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tuning")
     total = base.count()
     best = {m: (-np.inf, list(now)) for m in ("challenge_score", "macro_f1", "mcc")}
     at = lambda c, v: F.sum(F.when(c, v).otherwise(0))
