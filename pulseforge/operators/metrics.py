@@ -87,10 +87,14 @@ def binary_sick(preds: DataFrame, nsr: int) -> DataFrame:
     )
 
 
-def roc_pr_auc(preds: DataFrame, ranges: int = 1024) -> DataFrame:
-    """class_idx, auroc, auprc by descending distinct score. Cumulative in two levels: score ranges, then scores in a range."""
+def roc_pr_auc(preds: DataFrame, steps: int = 32) -> DataFrame:
+    """class_idx, auroc, auprc by descending distinct score. Cumulative in two levels: score ranges, then scores in a range.
+
+    Ranges are steps of the log-odds, as scores of rare classes crowd near 0.
+    """
     at = cells(preds).groupBy("class_idx", "prob").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count("*").alias("n"))
-    at = at.withColumn("range", F.floor(F.col("prob") * ranges))
+    p = F.col("prob")
+    at = at.withColumn("range", F.when(p <= 0, -(10**6)).when(p >= 1, 10**6).otherwise(F.floor(F.log(p / (1 - p)) * steps)))
     sums = at.groupBy("class_idx", "range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
     above = Window.partitionBy("class_idx").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("class_idx")
