@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, GRAM, PIECE, GROUP_BYTES, HOT = 100, 32, 1 << 18, 1 << 24, 4096
+WIDTH, GRAM, PIECE, GROUP_BYTES, GROUPS_IN_TASK, HOT = 100, 32, 1 << 18, 1 << 22, 4, 4096
 REACH = WIDTH - GRAM + 1  # starts of grams inside a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -307,6 +307,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.select(F.sum(F.octet_length(raw)).alias("n")).first()["n"] or 0
     groups = max(1, -(-int(size) // group_bytes))
+    # a few groups fall to each partition, which evens out what hashing deals to it
+    parts = max(-(-groups // GROUPS_IN_TASK), min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     run_buckets, group_of = sort_buckets(groups)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,11 +318,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
     rows = docs.select(ids.alias("doc"), F.encode(raw, "UTF-8").alias("text")).mapInArrow(group, "to long, doc long, text binary")
-    rows = rows.repartition(groups, "to")
+    rows = rows.repartition(parts, "to")
     counts = rows.groupBy("to").applyInArrow(count_keys(groups), SCHEMA)
-    replies = counts.repartition(groups, "to").sortWithinPartitions("to").mapInArrow(lambda batches: find_repeats(batches, hot), SCHEMA)
+    replies = counts.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(lambda batches: find_repeats(batches, hot), SCHEMA)
     sent = rows.groupBy("to").cogroup(replies.groupBy("to")).applyInArrow(send_runs(groups), SCHEMA)
-    cuts = sent.repartition(groups, "to").sortWithinPartitions("to").mapInArrow(run_buckets, SCHEMA)
+    cuts = sent.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(run_buckets, SCHEMA)
     out = rows.groupBy("to").cogroup(cuts.groupBy("to")).applyInArrow(cut_documents, RESULT)
     return out.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
