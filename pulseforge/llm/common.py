@@ -19,13 +19,18 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of docs whose keys are in kept, nulls equal to nulls; kept needs no other columns."""
-    kept = kept.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    on = None
-    for k in keys:
-        on = docs[k].eqNullSafe(kept[f"__{k}"]) if on is None else on & docs[k].eqNullSafe(kept[f"__{k}"])
-    return docs.join(kept, on, "left_semi")
+def keep_rows(docs: DataFrame, kept: DataFrame, keys: list[str], once_by: list[str] | None = None) -> DataFrame:
+    """Rows of docs whose keys are in kept, nulls equal to nulls; kept needs no other columns.
+
+    With once_by, rows that are equal in keys and in once_by come back once. The keys are compared as one struct, which
+    is never null, so that the join and the removal of repeats need a single shuffle of docs.
+    """
+    marked = docs.withColumn("__key", F.struct(*keys))
+    kept = kept.select(F.struct(*[F.col(k).cast(docs.schema[k].dataType).alias(k) for k in keys]).alias("__kept")).distinct()
+    found = marked.join(kept, marked["__key"] == kept["__kept"], "left_semi")
+    if once_by is not None:
+        found = found.dropDuplicates(["__key", *once_by])
+    return found.drop("__key")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

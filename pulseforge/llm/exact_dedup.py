@@ -73,4 +73,4 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     kept = found.filter("kept").select("doc_id", F.unhex("text_sha256").alias("__digest"))
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(text), 256)))
-    return keep_rows(marked, kept, ["doc_id", "__digest"]).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    return keep_rows(marked, kept, ["doc_id", "__digest"], once_by=[]).drop("__digest")

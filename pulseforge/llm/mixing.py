@@ -151,10 +151,11 @@ def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame
 
     Rows whose doc_id repeats must repeat the whole row.
     """
-    draws = plan_mix(docs, shards, seed).select("doc_id", F.explode("draws").alias("d")).select(F.col("doc_id").alias("__id"), "d.copy", "d.shard", "d.words")
-    draws = draws.groupBy("__id", "copy").agg(F.min("shard").alias("shard"), F.max("words").alias("words"))
-    texts = docs.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
-    rows = draws.join(texts, draws["__id"].eqNullSafe(texts["doc_id"]))
+    draws = plan_mix(docs, shards, seed).select("doc_id", F.explode("draws").alias("d"))
+    draws = draws.groupBy(F.struct("doc_id").alias("__drawn"), "d.copy").agg(F.min("d.shard").alias("shard"), F.max("d.words").alias("words"))
+    # structs are never null, and texts placed by one meet their draws without a second shuffle
+    texts = docs.select(F.struct("doc_id").alias("__key"), "doc_id", "text", "lang", "source").repartition("__key").dropDuplicates(["__key"])
+    rows = draws.join(texts, draws["__drawn"] == texts["__key"])
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
     cut = F.when(F.regexp_count("text", F.lit(WORD)) > F.col("words"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
     place = keyed_hash(f"{seed}p", F.col("shard"), F.col("doc_id"), F.col("copy"))

@@ -183,5 +183,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both doc_id and text come back once; documents without an id stay, one for each text.
     """
-    kept = keep_rows(docs, near_duplicates(docs).filter("component_id <=> doc_id").select("doc_id"), ["doc_id"])
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    kept = near_duplicates(docs).filter("component_id <=> doc_id").select("doc_id")
+    return keep_rows(docs.withColumn("__text", F.xxhash64("text")), kept, ["doc_id"], once_by=["__text"]).drop("__text")
