@@ -126,7 +126,7 @@ def pair_confusion(preds: DataFrame) -> DataFrame:
     return rows.select("w", "class_i", F.explode("js").alias("class_j")).groupBy("class_i", "class_j").agg(F.sum("w").alias("a"))
 
 
-def _pair_sum(weights: list[list[float]], labels: Column, decided: Column) -> Column:
+def pair_sum(weights: list[list[float]], labels: Column, decided: Column) -> Column:
     """Sum of weights over true x decided pairs, divided by the union; NaN weights count nothing, nor does an empty union."""
     w = F.array(*[F.array(*[F.lit(0.0 if x != x else float(x)) for x in row]) for row in weights])
     row = lambda r: F.aggregate(F.zip_with(r, decided, lambda x, d: F.when(d, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
@@ -139,7 +139,7 @@ def record_scores(preds: DataFrame, weights: list[list[float]], nsr: int) -> Dat
     """preds with observed, correct and inactive: the record's parts of the challenge score."""
     only = F.transform("labels", lambda x, i: i == nsr)
     y = F.col("labels")
-    return preds.withColumns({"observed": _pair_sum(weights, y, F.col("decided")), "correct": _pair_sum(weights, y, y), "inactive": _pair_sum(weights, y, only)})
+    return preds.withColumns({"observed": pair_sum(weights, y, F.col("decided")), "correct": pair_sum(weights, y, y), "inactive": pair_sum(weights, y, only)})
 
 
 def score_of(observed: Column, correct: Column, inactive: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import durable
-from .metrics import NAN, cells, record_scores
+from .metrics import NAN, cells, pair_sum, record_scores
 
 #: The candidates 0.05, 0.06, .. 0.50 as the doubles that a step of 0.01 gives.
 CANDIDATES = np.arange(0.05, 0.51, 0.01).tolist()
@@ -40,8 +40,9 @@ def tune_thresholds(preds: DataFrame, weights: list[list[float]], nsr: int, epoc
     """
     k = len(weights)
     now = [0.5] * k
-    base = preds.select("rec_id", "labels", F.transform("probs", lambda p: p.cast("double")).alias("probs"))
-    base = durable(base.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tuning")
+    base = preds.select("rec_id", "labels", F.transform("probs", lambda p: p.cast("double")).alias("probs"), F.col("labels").alias("decided"))
+    base = record_scores(base, weights, nsr).drop("observed", "decided").withColumn("steps", F.transform("probs", lambda p: sum((F.when(p >= c, 1).otherwise(0) for c in candidates), F.lit(0))))
+    base = durable(base.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tuning")  # what no step changes is worked out once
     total = base.count()
     best = {m: (-np.inf, list(now)) for m in ("challenge_score", "macro_f1", "mcc")}
     at = lambda c, v: F.sum(F.when(c, v).otherwise(0))
@@ -50,13 +51,11 @@ def tune_thresholds(preds: DataFrame, weights: list[list[float]], nsr: int, epoc
             def decide(bit: bool):
                 return F.transform("probs", lambda p, j: F.when(j == i, F.lit(bit)).otherwise(p >= F.element_at(F.array(*[F.lit(t) for t in now]), j + 1)))
 
-            one = record_scores(base.withColumn("decided", decide(True)), weights, nsr).select("*", F.col("observed").alias("on"))
-            both = record_scores(one.drop("observed", "correct", "inactive").withColumn("decided", decide(False)), weights, nsr)
-            step = sum((F.when(F.col("probs")[i] >= c, 1).otherwise(0) for c in candidates), F.lit(0))
+            both = base.withColumn("decided", decide(False)).withColumns({"on": pair_sum(weights, F.col("labels"), decide(True)), "observed": pair_sum(weights, F.col("labels"), F.col("decided"))})
             y = lambda j: F.col("labels")[j]
             d = lambda j: F.col("decided")[j]
             counts = [f for j in range(k) if j != i for f in (at(y(j) & d(j), 1).alias(f"tp{j}"), at(~y(j) & d(j), 1).alias(f"fp{j}"), at(y(j), 1).alias(f"p{j}"))]
-            t = both.groupBy(step.alias("step")).agg(F.sum("on").alias("on"), F.sum("observed").alias("off"), F.sum("correct").alias("c"), F.sum("inactive").alias("n"), F.count("*").alias("rows"), at(y(i), 1).alias("pos"), *counts)
+            t = both.groupBy(F.col("steps")[i].alias("step")).agg(F.sum("on").alias("on"), F.sum("observed").alias("off"), F.sum("correct").alias("c"), F.sum("inactive").alias("n"), F.count("*").alias("rows"), at(y(i), 1).alias("pos"), *counts)
             rows = sorted(t.collect(), key=lambda r: r["step"])  # at most len(candidates) + 1
             top = -np.inf
             tried, start = list(now), now[i]
