@@ -7,14 +7,16 @@
    leading right singular directions of A (one step of subspace iteration), a matrix of 2^BITS rows whatever the
    corpus holds. The first SKIP directions, which tell languages apart and little else, are left out, and the
    next RANK are scaled to like spread.
-3. Benchmark items are searched for in windows of about their own length with a step of about a quarter of a window. A window's
+3. Benchmark items are searched for in windows of about their own length with a step of about a quarter of a window; items
+   longer than the longest window by overlapping parts of that length, whose hits say where the item would start. A window's
    latent vector is a difference of running sums. Windows with a cosine of at least MIN_COSINE that share SHARED of the
-   item's number of words with it are candidates.
+   part's number of words with the item are candidates. So are, whatever their cosine, places where runs of GRAM words of
+   the item stand in the item's order, if the item's length of words from there shares SHARED of them.
 4. For a candidate the longest common subsequence of words must cover MIN_LCS of the item within a stretch of the
    document little longer than the item, and the item's answer (its last ANSWER words) must be covered to MIN_ANSWER, so
    paraphrases by insertion, deletion and replacement are confirmed, and texts of the same topic are not.
 
-Items are read in blocks of ITEMS to bound what a task holds; all blocks are searched for in all documents.
+Items are read in blocks of about ITEMS parts to bound what a task holds; all blocks are searched for in all documents.
 
 Defined results
 - Null text counts as empty; items without words, or with a null id, match nothing; equal items all match.
@@ -33,8 +35,10 @@ from .common import durable
 
 BITS, SKIP, RANK, EXTRA, BLOCK, SLICE, SEED = 14, 8, 32, 8, 64, 256, 11
 #: Windows as (words, step), both in whole UNITs.
-UNIT, WINDOWS, ITEMS = 4, ((16, 4), (20, 4), (28, 8), (36, 8), (48, 12)), 2048
+UNIT, WINDOWS, ITEMS = 4, ((4, 4), (8, 4), (12, 4), (16, 4), (20, 4), (28, 8), (36, 8), (48, 12)), 2048
 MIN_COSINE, SHARED, MIN_LCS, ANSWER, MIN_ANSWER = 0.65, 0.4, 0.6, 6, 0.5
+#: Words of a run, and the bits of a first look whether any item has it.
+GRAM, SEEN_BITS = 3, 22
 #: Bytes that part words count as blanks, A-Z as a-z.
 _BYTES = np.arange(256, dtype=np.uint8)
 _BYTES[65:91] += 32
@@ -195,23 +199,60 @@ def latent_basis(ids: DataFrame, idf: np.ndarray) -> np.ndarray:
     return (u[:, some] / np.sqrt(np.maximum(spread[some], 1e-6))).astype(np.float32)
 
 
+def part_starts(n: int) -> list[int]:
+    """Where the parts of an item of n words start: half a window or less apart, the last one at the end."""
+    longest = WINDOWS[-1][0]
+    if n <= longest:
+        return [0]
+    more = -(-2 * (n - longest) // longest)
+    return [(n - longest) * k // more for k in range(more + 1)]
+
+
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    """uint64 keys of all runs of so many words, without collisions."""
+    n = max(len(words) - size + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        out = out << np.uint64(BITS + 1) | words[k : k + n].astype(np.uint64)
+    return out
+
+
+def _seen_at(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(_BASE)) >> np.uint64(64 - SEEN_BITS)
+
+
 class Searcher:
-    """Benchmark items as latent unit vectors by window length."""
+    """Benchmark items as latent unit vectors of their parts by window length, and as runs of words."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
         self.terms = np.vstack([basis * idf[:, None], np.zeros((1, RANK), dtype=np.float32)])  # the last row pads
         self.items = [(i, x.astype(np.int64)) for i, x in items if i is not None and len(x)]
-        self.lengths = lengths = np.array([len(x) for _, x in self.items], dtype=np.int64)
+        self.lengths = np.array([len(x) for _, x in self.items], dtype=np.int64)
         self.member = np.zeros(((1 << BITS) + 1, len(self.items)), dtype=bool)
         for k, (_, x) in enumerate(self.items):
             self.member[x, k] = True
+        parts = [(k, at, x[at : at + WINDOWS[-1][0]]) for k, (_, x) in enumerate(self.items) for at in part_starts(len(x))]
+        self.part_of = np.array([k for k, _, _ in parts], dtype=np.int64)
+        self.part_at = np.array([at for _, at, _ in parts], dtype=np.int64)
+        self.part_lengths = lengths = np.array([len(x) for _, _, x in parts], dtype=np.int64)
         near = np.abs(np.log(np.maximum(lengths, 1))[:, None] - np.log(np.array([w for w, _ in WINDOWS]))[None, :]).argmin(axis=1) if len(lengths) else lengths
         self.by_window = {w: np.flatnonzero(near == k) for k, w in enumerate(WINDOWS)}
-        vectors = np.array([self.terms[x].sum(axis=0) for _, x in self.items], dtype=np.float32).reshape(-1, RANK)
+        vectors = np.array([self.terms[x].sum(axis=0) for _, _, x in parts], dtype=np.float32).reshape(-1, RANK)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        self.runs = []
+        for size in sorted({min(n, GRAM) for n in self.lengths.tolist()}):
+            chosen = [k for k, n in enumerate(self.lengths) if min(n, GRAM) == size]
+            grams = [_grams(self.items[k][1], size) for k in chosen]
+            keys = np.concatenate(grams)
+            order = np.argsort(keys, kind="stable")
+            of = np.repeat(np.array(chosen), [len(g) for g in grams])[order]
+            at = np.concatenate([np.arange(len(g)) for g in grams])[order]
+            seen = np.zeros(1 << SEEN_BITS, dtype=bool)
+            seen[_seen_at(keys)] = True
+            self.runs.append((size, keys[order], of, at, seen))
 
     def candidates(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
-        """(document, item number) -> starts of windows that are near it."""
+        """(document, item number) -> where the item would start by windows that are near it, or near a part of it."""
         units = np.array([-(-len(x) // UNIT) for x in docs])
         offsets = np.cumsum(units) - units
         words = np.full(int(units.sum()) * UNIT, 1 << BITS, dtype=np.uint16)
@@ -233,20 +274,49 @@ class Searcher:
             if len(s):
                 k = members[k]
                 at = np.minimum(starts[s][:, None] * UNIT + np.arange(w), len(words) - 1)
-                good = self.member[words[at], k[:, None]].sum(axis=1) >= SHARED * self.lengths[k]
-                for i, item in zip(s[good].tolist(), k[good].tolist(), strict=True):
-                    found.setdefault((int(of[i]), item), []).append(int(starts[i] - offsets[of[i]]) * UNIT)
+                good = self.member[words[at], self.part_of[k][:, None]].sum(axis=1) >= SHARED * np.minimum(self.part_lengths[k], w)
+                for i, part in zip(s[good].tolist(), k[good].tolist(), strict=True):
+                    start = int(starts[i] - offsets[of[i]]) * UNIT - int(self.part_at[part])
+                    found.setdefault((int(of[i]), int(self.part_of[part])), []).append(start)
+        return found
+
+    def run_starts(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
+        """(document, item number) -> where the item would start by runs of its words, in its order and close together."""
+        words, sizes = np.concatenate(docs), np.array([len(x) for x in docs])
+        ends = np.cumsum(sizes)
+        found: dict[tuple[int, int], list[int]] = {}
+        for size, keys, item, at, seen in self.runs:
+            grams = _grams(words, size)
+            p = np.flatnonzero(seen[_seen_at(grams)])
+            of = np.searchsorted(ends, p, side="right")
+            p, of = (x[p + size <= ends[of]] for x in (p, of))
+            lo, hi = (np.searchsorted(keys, grams[p], side=side) for side in ("left", "right"))
+            many = hi - lo
+            which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            k, start = item[which], np.repeat(p, many) - at[which]
+            rows, count = np.unique(np.stack([np.repeat(of, many), k, start]), axis=1, return_counts=True)
+            rows = rows[:, count >= np.maximum((self.lengths[rows[1]] - size + 1) // 8, 1)]
+            for d, i, s in rows.T.tolist():
+                begin, n = int(ends[d] - sizes[d]), int(self.lengths[i])
+                if self.member[words[max(s, begin) : min(s + n, ends[d])], i].sum() >= SHARED * n:
+                    found.setdefault((d, i), []).append(s - begin)
         return found
 
     def confirmed(self, docs: list[np.ndarray]) -> list[list[tuple[int, float]]]:
         """For each document (item_id, covered share) of the items that it holds."""
         out = [[] for _ in docs]
-        for (d, k), starts in self.candidates(docs).items():
+        near, runs = self.candidates(docs), self.run_starts(docs)
+        for d, k in near.keys() | runs.keys():
             item_id, item = self.items[k]
             a, n, best, words = item.tolist(), len(item), 0.0, docs[d]
-            tail = a[-ANSWER:]
-            for s in starts:
-                b = words[max(s - n // 2 - 4, 0) : s + n + n // 2 + 20].tolist()
+            tail, last = a[-ANSWER:], None
+            stretches = [(s - n // 2, s + n + n // 2) for s in runs.get((d, k), [])]
+            for s in sorted(near.get((d, k), [])):
+                if last is None or s - last > n // 8 or n <= WINDOWS[-1][0]:  # hits of parts that say the same
+                    stretches.append((s - n // 2 - 4, s + n + n // 2 + 20))
+                    last = s
+            for lo, hi in stretches:
+                b = words[max(lo, 0) : max(hi, 0)].tolist()
                 covered = lcs(a, b) / n
                 if covered > best and covered >= MIN_LCS and lcs(tail, b) >= MIN_ANSWER * len(tail):
                     best = covered
@@ -261,10 +331,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEMS) -
     idf = inverse_frequency(ids)
     basis = latent_basis(ids, idf)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()
-    schema, found, block = "doc_id long, items array<struct<item_id:long,covered:double>>", None, []
+    schema, found, block, parts = "doc_id long, items array<struct<item_id:long,covered:double>>", None, [], 0
 
     def search(ids: DataFrame, items: list[tuple[int, np.ndarray]]) -> DataFrame:
-        searcher = ids.sparkSession.sparkContext.broadcast(Searcher(items, idf, basis))  # of at most item_block items
+        searcher = ids.sparkSession.sparkContext.broadcast(Searcher(items, idf, basis))  # of about item_block parts of items
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = searcher.value
@@ -282,8 +352,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEMS) -
     found = ids.select("doc_id", F.array().cast("array<struct<item_id:long,covered:double>>").alias("items"), "ids")
     for r in rows:
         block.append((r.item_id, word_ids([r.text])[0]))
-        if len(block) == item_block:
-            found, block = search(found, block), []
+        parts += len(part_starts(len(block[-1][1])))
+        if parts >= item_block:
+            found, block, parts = search(found, block), [], 0
     if block:
         found = search(found, block)
     return found.select("doc_id", "items")
