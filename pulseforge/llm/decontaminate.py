@@ -5,8 +5,9 @@
 2. A randomised SVD of the TF-IDF matrix A of all passages of BLOCK words: each task multiplies its passages into
    A'(A R), R a random start; slices of the product are summed by a shuffle. Its left singular vectors span the
    leading right singular directions of A (one step of subspace iteration), a matrix of 2^BITS rows whatever the
-   corpus holds. The first SKIP directions, which tell languages apart and little else, are left out, and the
-   next RANK are scaled to like spread.
+   corpus holds. Directions of hardly any spread are noise and left out. Of the others the first, SKIP of every SKIP + RANK
+   and at most SKIP, which tell languages apart and little else, are left out too, and the next RANK are scaled to like
+   spread.
 3. Benchmark items are searched for in windows of about their own length with a step of about a quarter of a window; items
    longer than the longest window by overlapping parts of that length, whose hits say where the item would start. A window's
    latent vector is a difference of running sums. Windows with a cosine of at least MIN_COSINE that share SHARED of the
@@ -37,6 +38,8 @@ BITS, SKIP, RANK, EXTRA, BLOCK, SLICE, SEED = 14, 8, 32, 8, 64, 256, 11
 #: Windows as (words, step), both in whole UNITs.
 UNIT, WINDOWS, ITEMS = 4, ((4, 4), (8, 4), (12, 4), (16, 4), (20, 4), (28, 8), (36, 8), (48, 12)), 2048
 MIN_COSINE, SHARED, MIN_LCS, ANSWER, MIN_ANSWER = 0.65, 0.4, 0.6, 6, 0.5
+#: Share of the largest spread under which a direction is rounding noise.
+LEAST_SPREAD = 1e-5
 #: Words of a run, and the bits of a first look whether any item has it.
 GRAM, SEEN_BITS = 3, 22
 #: Bytes that part words count as blanks, A-Z as a-z.
@@ -194,9 +197,18 @@ def latent_basis(ids: DataFrame, idf: np.ndarray) -> np.ndarray:
     b = np.zeros((1 << BITS, width), dtype=np.float64)
     for k, x in got.items():
         b[k * SLICE : (k + 1) * SLICE] = x.reshape(-1, width)
+    return directions(b)
+
+
+def directions(b: np.ndarray) -> np.ndarray:
+    """float32[2^BITS, RANK]: the left singular vectors used, scaled; zeros where the table has fewer."""
     u, spread, _ = np.linalg.svd(b, full_matrices=False)
-    some = slice(SKIP, SKIP + RANK)
-    return (u[:, some] / np.sqrt(np.maximum(spread[some], 1e-6))).astype(np.float32)
+    real = int((spread > LEAST_SPREAD * spread[0]).sum())
+    skip = min(SKIP, real * SKIP // (SKIP + RANK))
+    used = min(real - skip, RANK)
+    out = np.zeros((len(b), RANK), dtype=np.float32)
+    out[:, :used] = u[:, skip : skip + used] / np.sqrt(spread[skip : skip + used])
+    return out
 
 
 def part_starts(n: int) -> list[int]:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pulseforge.llm import decontaminate
 
 
@@ -38,3 +40,23 @@ def test_long_items_with_replaced_words(spark):
         docs.append((k, " ".join([*prose(rng, 70), *[w if rng.random() < 0.85 else f"new{rng.randrange(99)}" for w in item], *prose(rng, 40)])))
     got = found(spark, docs, items)
     assert [k for k, _ in items if k not in got[k]] == []
+
+
+def test_tables_of_few_texts(spark):
+    rng = random.Random(10)
+    for n in (1, 3, 6, 10, 30):
+        docs = [(k, " ".join(prose(rng, rng.randrange(15, 40)))) for k in range(n)]
+        got = found(spark, docs, docs)
+        assert [k for k in range(n) if k not in got[k]] == []
+
+
+def test_directions_span_few_texts():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 10, 30):
+        texts = np.zeros((n, 1 << decontaminate.BITS))
+        for row in texts:
+            row[rng.choice(len(row), 30, replace=False)] = rng.random(30)
+        b = texts.T @ (texts @ rng.standard_normal((texts.shape[1], decontaminate.SKIP + decontaminate.RANK + decontaminate.EXTRA)))
+        latent = texts @ decontaminate.directions(b)
+        held = np.linalg.norm(latent, axis=1)
+        assert (held > 1e-3 * held.max()).all()
