@@ -14,8 +14,9 @@
    part's number of words with the item are candidates. So are, whatever their cosine, places where runs of GRAM words of
    the item stand in the item's order, if the item's length of words from there shares SHARED of them.
 4. For a candidate the longest common subsequence of words must cover MIN_LCS of the item within a stretch of the
-   document little longer than the item, and the item's answer (its last ANSWER words) must be covered to MIN_ANSWER, so
-   paraphrases by insertion, deletion and replacement are confirmed, and texts of the same topic are not.
+   document little longer than the item. Where it covers less than SURE_LCS, the item's answer (its last ANSWER words) must
+   be covered to MIN_ANSWER, so paraphrases by insertion, deletion and replacement and items cut off at either end are
+   confirmed, and texts of the same topic are not.
 
 Items are read in blocks of about ITEMS parts to bound what a task holds; all blocks are searched for in all documents.
 
@@ -37,7 +38,7 @@ from .common import durable
 BITS, SKIP, RANK, EXTRA, BLOCK, SLICE, SEED = 14, 8, 32, 8, 64, 256, 11
 #: Windows as (words, step), both in whole UNITs.
 UNIT, WINDOWS, ITEMS = 4, ((4, 4), (8, 4), (12, 4), (16, 4), (20, 4), (28, 8), (36, 8), (48, 12)), 2048
-MIN_COSINE, SHARED, MIN_LCS, ANSWER, MIN_ANSWER = 0.65, 0.4, 0.6, 6, 0.5
+MIN_COSINE, SHARED, MIN_LCS, SURE_LCS, ANSWER, MIN_ANSWER = 0.65, 0.4, 0.6, 0.75, 6, 0.5
 #: Share of the largest spread under which a direction is rounding noise.
 LEAST_SPREAD = 1e-5
 #: Words of a run, and the bits of a first look whether any item has it.
@@ -330,7 +331,7 @@ class Searcher:
             for lo, hi in stretches:
                 b = words[max(lo, 0) : max(hi, 0)].tolist()
                 covered = lcs(a, b) / n
-                if covered > best and covered >= MIN_LCS and lcs(tail, b) >= MIN_ANSWER * len(tail):
+                if covered > best and (covered >= SURE_LCS or covered >= MIN_LCS and lcs(tail, b) >= MIN_ANSWER * len(tail)):
                     best = covered
             if best:
                 out[d].append((item_id, best))

@@ -60,3 +60,16 @@ def test_directions_span_few_texts():
         latent = texts @ decontaminate.directions(b)
         held = np.linalg.norm(latent, axis=1)
         assert (held > 1e-3 * held.max()).all()
+
+
+def test_items_cut_at_either_end(spark):
+    rng = random.Random(11)
+    docs, items = [(1000 + k, " ".join(prose(rng, 300))) for k in range(60)], []
+    for k in range(20):
+        item = [f"i{k}w{rng.randrange(999)}" for _ in range(20 + 6 * k)]
+        cut = len(item) - len(item) * 13 // 100 - 3
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(prose(rng, 50) + item[:cut])))
+        docs.append((100 + k, " ".join(item[-cut:] + prose(rng, 50))))
+    got = found(spark, docs, items)
+    assert [k for k, _ in items if k not in got[k] or k not in got[100 + k]] == []
