@@ -16,7 +16,7 @@ Defined results
 - Null text has size 0; null source is a source of its own, last in order. Sources of size 0 get target 0.
 - Documents without words are never drawn. Repeated rows are drawn as rows of their own.
 - An empty table gives an empty result. Only id, text and source columns are read.
-- Ties of the hash are broken by doc_id; rows equal in both may trade places without changing the result.
+- Ties of the hash are broken by doc_id, then by the text's digest; rows equal in all may trade places without changing the result.
 """
 
 import math
@@ -88,8 +88,13 @@ def splitting_tree(quotas: DataFrame, shards: int = 16, seed: int = SEED) -> Dat
 
 def plan_mix(docs: DataFrame, shards: int = 16, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, ranges: int = 1024) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target and draws: array<struct<copy, words, shard>>."""
+    return _planned(docs, F.sha2("text", 256), shards, seed, weights, most, ranges).drop("__row")
+
+
+def _planned(docs: DataFrame, digest: Column, shards: int, seed: int, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, ranges: int = 1024) -> DataFrame:
+    """plan_mix with __row, the digest that tells rows of one doc_id apart."""
     h = keyed_hash(seed, F.col("doc_id"))
-    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+    slim = docs.select("doc_id", "source", F.unhex(digest).alias("__row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
     slim = durable(slim.withColumn("range", F.shiftright("h", 32 - int(math.log2(ranges))).cast("int")), "mix_sizes")
 
     parts = slim.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("docs"))
@@ -102,13 +107,13 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = SEED, weights: tuple
     parts = parts.select("source", "range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("words", "docs")])
     parts = durable(_join_source(parts, targets, ["source"]), "mix_parts")
 
-    within = Window.partitionBy("source", "range").orderBy("h", "doc_id")
+    within = Window.partitionBy("source", "range").orderBy("h", "doc_id", "__row")
     placed = _join_source(slim, parts, ["source", "range"])
     placed = placed.withColumn("before", F.col("words_before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rank = F.col("docs_before") + F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, 0)) - 1
     placed = placed.withColumn("rank", rank).withColumn("last", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before"))))
     placed = placed.withColumn("n_draws", F.when(F.col("size") > 0, F.col("passes") + (F.col("last") > 0).cast("long")).otherwise(0))
-    placed = durable(placed.select("doc_id", "source", "range", "size", "source_size", "target", "passes", "n_docs", "rank", "last", "n_draws"), "mix_placed")
+    placed = durable(placed.select("doc_id", "source", "__row", "range", "size", "source_size", "target", "passes", "n_docs", "rank", "last", "n_draws"), "mix_placed")
 
     dealt = splitting_tree(placed.groupBy("source").agg(F.sum("n_draws").alias("quota")), shards, seed)
     by_shard = Window.partitionBy("source").orderBy("shard")
@@ -123,7 +128,7 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = SEED, weights: tuple
         words = F.when(c < F.col("passes"), F.col("size")).otherwise(F.col("last"))
         return F.struct(c.alias("copy"), words.alias("words"), F.size(F.filter("ends", lambda e: e <= at)).alias("shard"))
 
-    return full.select("doc_id", "source", "size", "source_size", "target", F.transform(copies, draw).alias("draws"))
+    return full.select("doc_id", "source", "__row", "size", "source_size", "target", F.transform(copies, draw).alias("draws"))
 
 
 def _join_source(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,12 +154,14 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     """The mix itself: doc_id, text, lang, source, copy, shard, place, words; one row per draw, cut texts cut at a word.
 
-    Rows whose doc_id repeats must repeat the whole row.
+    Rows are told apart by doc_id, source, language and text; equal rows are drawn each.
     """
-    draws = plan_mix(docs, shards, seed).select("doc_id", F.explode("draws").alias("d"))
-    draws = draws.groupBy(F.struct("doc_id").alias("__drawn"), "d.copy").agg(F.min("d.shard").alias("shard"), F.max("d.words").alias("words"))
+    digest = F.sha2(F.concat(F.coalesce("lang", F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256)
+    draws = _planned(docs, digest, shards, seed).select(F.struct("doc_id", "source", "__row").alias("__drawn"), F.explode("draws").alias("d"))
+    draws = draws.select("__drawn", "d.copy", "d.shard", "d.words")
     # structs are never null, and texts placed by one meet their draws without a second shuffle
-    texts = docs.select(F.struct("doc_id").alias("__key"), "doc_id", "text", "lang", "source").repartition("__key").dropDuplicates(["__key"])
+    texts = docs.select(F.struct("doc_id", "source", F.unhex(digest).alias("__row")).alias("__key"), "doc_id", "text", "lang", "source")
+    texts = texts.repartition("__key").dropDuplicates(["__key"])
     rows = draws.join(texts, draws["__drawn"] == texts["__key"])
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
     cut = F.when(F.regexp_count("text", F.lit(WORD)) > F.col("words"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
@@ -165,6 +172,6 @@ def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame
 def write_mix(docs: DataFrame, path: str | None = None, shards: int = 16, seed: int = SEED) -> str:
     """Write the mix by shard, each shuffled locally; returns the folder."""
     path = path or new_path(docs.sparkSession, "mix")
-    rows = mixed_rows(docs, shards, seed).repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "copy")
+    rows = mixed_rows(docs, shards, seed).repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "copy", "text", "words")
     rows.write.partitionBy("shard").parquet(path)
     return path
