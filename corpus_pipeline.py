@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseforge.llm import decontaminate, exact_dedup, language_id, mixing, simhash
+from pulseforge.llm import decontaminate, exact_dedup, language_id, mixing, near_copies
 from pulseforge.llm.common import durable, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,8 +21,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of texts linked by a five-word Jaccard similarity of 0.8 or more the smallest doc_id stays."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,157 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of LEAST or more.
+
+A SimHash distance that holds such pairs (about twelve bits of 64) leaves nothing to key a search by, so links are found by
+MinHash: BANDS keys of ROWS minima each, of which a pair of similarity 0.8 shares at least one but for 3 in 100,000. What shares
+a key is compared by its BANDS * ROWS minima; a key that many texts have is dealt into shares, each compared with every other
+one. Texts that share SURE of their minima with another join its set, and a text is linked with the NEAREST texts of each of
+the SETS nearest sets, never with all, so links grow with the texts. A link counts if the exact Jaccard similarity of the two
+texts' shingles is LEAST or more. Groups of more sets than that, all near LEAST, can lose a link in one key and share. Links' components are near copies.
+
+Defined results
+- Texts are compared as words, A-Z lower-cased; texts of equal words are copies, null and empty texts too.
+- Fewer words than a shingle has make one shingle of the whole sequence.
+- Rows are told apart by doc_id and text. Of a component the least row stays, by doc_id (null last), then by text.
+"""
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import durable
+from .graph import connected_components
+
+SHINGLE, LEAST, BANDS, ROWS, SEED = 5, 0.8, 20, 4, 42
+#: Least share of equal minima for a link to be confirmed, 4.5 standard deviations under LEAST; links to each set; sets; share that joins; texts in a share.
+LOOSE, NEAREST, SETS, SURE, SHARE = 0.6, 3, 16, 0.9, 2048
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """The hash of all words, signed, and the distinct hashes of the shingles, sorted."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(words)
+    h = xxhash.xxh64_intdigest
+    whole = h(line, SEED)
+    if len(words) <= size:
+        of = [whole]
+    else:
+        starts = [0, *accumulate(len(w) + 1 for w in words)]
+        of = [h(line[s : e - 1], SEED) for s, e in zip(starts, starts[size:], strict=False)]
+    return whole - (1 << 64) if whole >> 63 else whole, np.unique(np.array(of, dtype="<u8"))
+
+
+def minima(of: np.ndarray) -> np.ndarray:
+    """uint32[BANDS * ROWS]: the top bits of the least hash under each multiplier."""
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for k in range(0, len(of), 1024):
+        np.minimum(least, (of[k : k + 1024, None] * _ODD).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype("<u4")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, t, text) -> doc_id, t, node (hash of the words), sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingles(t.as_py()) for t in b.column(2)]
+            parts = [pa.array([n for n, _ in got], pa.int64()), pa.array([minima(x).tobytes() for _, x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts], ["doc_id", "t", "node", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, t long, node long, sketch binary")
+
+
+def share_links(nodes: list[tuple[int, bytes]], queries: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
+    """Pairs to confirm: of nodes with earlier ones, and of queries with nodes."""
+    rows = nodes + queries
+    if len(rows) < 2:
+        return
+    grid = np.frombuffer(b"".join(s for _, s in rows), dtype="<u4").reshape(len(rows), -1)
+    label = np.arange(len(rows))
+    for i, (node, _) in enumerate(rows):
+        if not (most := min(i, len(nodes))):
+            continue
+        same = (grid[:most] == grid[i]).sum(axis=1)
+        near = np.flatnonzero(same >= LOOSE * grid.shape[1])
+        near = near[np.argsort(-same[near], kind="stable")]
+        linked: dict[int, int] = {}
+        for j, c in zip(near.tolist(), label[near].tolist(), strict=True):
+            if linked.get(c, 0) < NEAREST and (c in linked or len(linked) < SETS):
+                linked[c] = linked.get(c, 0) + 1
+                yield node, rows[j][0]
+        for c in set(label[near[same[near] >= SURE * grid.shape[1]]].tolist()):
+            label[label == c] = label[i]
+
+
+def candidate_links(sketched: DataFrame) -> DataFrame:
+    """Distinct (node, sketch) -> pairs (a, b) that share a band and most minima."""
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sketch", 4 * ROWS * k + 1, 4 * ROWS)).alias("key")) for k in range(BANDS)])
+    keyed = durable(sketched.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key"), "band_keys")
+    sizes = durable(keyed.groupBy("band", "key").count().filter("count > 1"), "band_sizes")
+    sized = durable(keyed.join(sizes, ["band", "key"]), "band_rows").join(sketched, "node")
+    sized = sized.withColumn("shares", F.ceil(F.col("count") / SHARE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    as_node = F.transform(F.sequence("own", F.col("shares") - 1), lambda q: F.struct(F.col("own").alias("tree"), q.alias("asker"), F.lit(True).alias("is_node")))
+    as_query = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda j: F.struct(j.alias("tree"), F.col("own").alias("asker"), F.lit(False).alias("is_node"))))
+    places = F.concat(as_node, F.coalesce(as_query, F.array().cast("array<struct<tree:int,asker:int,is_node:boolean>>")))
+    group = ["band", "key", "tree", "asker"]
+    dealt = sized.select("band", "key", "node", "sketch", F.explode(places).alias("g")).select("band", "key", "g.tree", "g.asker", "g.is_node", "node", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, queries, out = None, [], [], []
+        for b in batches:
+            for *of, is_node, node, sketch in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                if of != at:
+                    out.extend(share_links(nodes, queries))
+                    at, nodes, queries = of, [], []
+                (nodes if is_node else queries).append((node, sketch))
+            yield _pairs(out)
+            out.clear()
+        if nodes:
+            out.extend(share_links(nodes, queries))
+        yield _pairs(out)
+
+    def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+
+    n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed_links(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) whose texts (node, text) have a Jaccard similarity of LEAST or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = shingles(x.as_py())[1], shingles(y.as_py())[1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= LEAST * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    half = durable(links.join(one, "a"), "links_half")
+    return half.join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The least row of each component, with all columns; rows that repeat both doc_id and text come back once."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    rows = durable(sketches(slim), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    nodes = durable(rows.groupBy("node").agg(F.min(place).alias("least"), F.first("sketch").alias("sketch")), "nodes")
+    links = durable(candidate_links(nodes.select("node", "sketch")), "near_links")
+    linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    linked = nodes.join(linked, "node").select("node", "least.doc_id", "least.t")
+    # the text of a node is that of its least row
+    keys = linked.select("node", F.struct("doc_id", "t").alias("__key"))
+    texts = slim.select(F.struct("doc_id", "t").alias("__key"), "text").join(keys, "__key").dropDuplicates(["node"])
+    labels = connected_components(durable(confirmed_links(links, durable(texts.select("node", "text"), "linked_texts")), "near_pairs"))
+    named = durable(nodes.select(F.col("node").alias("n"), "least").join(labels, F.col("n") == labels["node"], "left").select("least", F.coalesce("label", "n").alias("label")), "named_nodes")
+    kept = durable(named.groupBy("label").agg(F.min("least").alias("least")).select(F.struct("least.doc_id", "least.t").alias("__kept")), "kept_rows")
+    marked = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")))
+    return marked.join(kept, marked["__key"] == kept["__kept"], "left_semi").dropDuplicates(["__key"]).drop("__key")
