@@ -83,16 +83,26 @@ from t d left join per on d.doc_id = per.doc_id
 
 
 LINES = r"""
-with p as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as ps from documents),
-x as (select doc_id, unnest(range(1, len(ps) + 1)) as i, len(ps) as n, ps from p),
-l as (select doc_id, i, ps[i] || case when i < n then chr(10) else '' end as unit from x),
-u as (select *, cast(sum(length(unit)) over (partition by doc_id order by i) as bigint) as e, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) as plain from l),
-v as (select *, e - length(unit) as s, length(plain) - length(replace(plain, ' ', '')) >= 4 as counts from u),
-w as (select *, counts and row_number() over (partition by plain, counts order by doc_id, i) > 1 as gone from v)
-select doc_id, cast(sum(length(unit)) as bigint) as n_chars, cast(coalesce(sum(length(unit)) filter (where gone), 0) as bigint) as n_removed,
-  count(*) filter (where gone) as n_spans, coalesce(string_agg(s || ':' || e, ',' order by i) filter (where gone), '') as removed,
-  sha256(coalesce(string_agg(unit, '' order by i) filter (where not gone), '')) as kept_sha256
-from w group by doc_id
+with p as (select doc_id, coalesce(text, '') as text from documents),
+b as (select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])([\x20\x09-\x0D])', '\1' || chr(57344) || '\2', 'g'), '([\n。！？])', '\1' || chr(57344), 'g'), chr(57344)) as us from p),
+x as (select doc_id, unnest(range(1, len(us) + 1)) as i, us from b),
+l as (select doc_id, i, us[i] as unit, trim(regexp_replace(lower(us[i]), '[\x20\x09-\x0D]+', ' ', 'g')) as plain from x),
+u as (select *, cast(sum(length(unit)) over (partition by doc_id order by i) as bigint) as e from l),
+v as (select doc_id, e - length(unit) as s, e, plain, strlen(plain) as n, sum(strlen(plain)) over w as cum, row_number() over w as k
+  from u where plain <> '' window w as (partition by doc_id order by i)),
+lists as (select doc_id, list(plain order by k) as ps from v group by doc_id),
+r as (select a.doc_id, a.s, b.e, md5(array_to_string(list_slice(ps, a.k, b.k), chr(10))) as d
+  from (select *, cum - n + 100 as need from v) a asof join v b on a.doc_id = b.doc_id and a.need <= b.cum join lists on a.doc_id = lists.doc_id),
+g as (select doc_id, s, e from (select *, row_number() over (partition by d order by doc_id, s) as k from r) where k > 1),
+m as (select *, coalesce(s > max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding), true) as opens from g),
+spans as (select doc_id, min(s) as s, max(e) as e from (select *, sum(opens::int) over (partition by doc_id order by s, e) as o from m) group by doc_id, o),
+cut as (select doc_id, s, e, lag(e, 1, 0) over (partition by doc_id order by s) as f from spans),
+per as (select c.doc_id, cast(sum(e - s) as bigint) as n_removed, count(*) as n_spans, string_agg(s || ':' || e, ',' order by s) as removed,
+  string_agg(substr(text, f + 1, s - f), '' order by s) || substr(any_value(text), max(e) + 1) as kept
+  from cut c join p on c.doc_id = p.doc_id group by c.doc_id)
+select p.doc_id, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(removed, '') as removed,
+  sha256(coalesce(kept, text)) as kept_sha256, cast(length(text) as bigint) as text_length
+from p left join per on p.doc_id = per.doc_id
 """
 
 ORACLES = {"op4_line_dedup": LINES, "op3_source_mix": MIX, "op5_exact_dedup": EXACT, "op9_pii": _pii(), "op10_warc": WARC}
