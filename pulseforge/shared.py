@@ -4,19 +4,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
+#: Folders that new_path has named and discard or scratch has not removed.
+_named: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own if driver and executors are one process."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="spark-pulseforge-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
@@ -24,14 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in _named:
+        _named.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that durable wrote and nothing lazy reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Remove what was written inside the block when it ends, but for the tables put in the list."""
+    before, kept = len(_named), []
+    yield kept
+    for path in set(_named[before:]) - {t._written_to for t in kept}:
+        _remove(spark, path)
 
 
 def keyed_hash(seed: int | str, *cols: Column) -> Column:
