@@ -5,9 +5,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import durable, keyed_hash, new_path, shared_dir
+from ..shared import discard, durable, keyed_hash, new_path, scratch, shared_dir
 
-__all__ = ["WORD", "ascii_lower", "durable", "keep_rows", "keyed_hash", "new_path", "shared_dir", "table"]
+__all__ = ["WORD", "ascii_lower", "discard", "durable", "keep_rows", "keyed_hash", "new_path", "scratch", "shared_dir", "table"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -1,17 +1,23 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by digest. A batch is reduced to one row per digest before any
-wide shuffle, checked against the index by a sort-merge anti-join in which only the batch moves, and what
-is new is appended. Documents then look their digest up in the index.
+The index is a table bucketed and sorted by digest, with a partition for each batch. A batch is reduced to one row per digest
+before any wide shuffle and dealt into the index's buckets, so the sort-merge join with the index moves the batch alone; the
+digests that an anti-join with the index leaves are written as the batch's partition. Documents then look their
+digest up among the batch's own answers.
+
+The bucket count is stored beside the index. A batch is visible once its name is written there as well, so a batch that
+was cut short does no harm, and one that is repeated under its name is answered alike and written over itself.
 
 Defined results
 - Null text counts as empty. Null doc_id is a document of its own, smaller than every other.
-- Rows that repeat both doc_id and text are one document, returned once; group_size counts every row.
-- Of equal texts the largest doc_id stays; a text already in the index before this batch stays nowhere.
+- Rows that repeat both doc_id and text are one document, returned once; group_size counts every row of the batch.
+- Of equal texts the largest doc_id stays; a text that another batch brought stays nowhere in this one, and keep_id is its row there.
 - An empty batch gives an empty result and leaves the index as it is.
 - Only the id and text columns are read, so other columns may have any name.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,45 +25,83 @@ from .common import ascii_lower, durable, keep_rows, new_path
 
 
 class DigestIndex:
-    """(digest binary, keep_id long, group_size long, batch long), bucketed and sorted by digest."""
+    """(digest binary, keep_id long, group_size long, batch string), bucketed and sorted by digest."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.path = path or new_path(spark, "digest_index")
-        self.table = "digest_index_" + self.path.rstrip("/").rsplit("-", 1)[-1].rsplit("/", 1)[-1].replace("-", "_")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.path = spark, (path or new_path(spark, "digest_index")).rstrip("/")
+        stored = self._stored()
+        if stored is None:
+            stored = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            self._store(stored, None)
+        if buckets not in (None, stored):
+            raise ValueError(f"the index has {stored} buckets")
+        self.buckets, self.table = stored, "digest_index_" + uuid.uuid4().hex
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch BIGINT) "
-            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet PARTITIONED BY (batch) "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/data'"
         )
+        if self.batches():
+            spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
 
-    def rows(self) -> DataFrame:
-        """The index as a bucketed table."""
-        return self.spark.table(self.table)
+    def _notes(self) -> DataFrame:
+        return self.spark.read.schema("buckets int, batch string").parquet(f"{self.path}/notes")
 
-    def files(self) -> DataFrame:
-        """The same rows read without their buckets, so that a skewed join with them can be split."""
-        return self.spark.read.schema(self.rows().schema).parquet(self.path)
+    def _stored(self) -> int | None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/notes/_SUCCESS")
+        if not where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+            return None
+        return self._notes().first()["buckets"]
 
-    def append(self, groups: DataFrame) -> None:
-        groups.select("digest", "keep_id", "group_size", "batch").repartition(self.buckets, "digest").write.insertInto(self.table)
-        self.spark.catalog.refreshTable(self.table)
+    def _store(self, buckets: int, batch: str | None) -> None:
+        row = self.spark.range(1).select(F.lit(buckets).cast("int").alias("buckets"), F.lit(batch).cast("string").alias("batch"))
+        row.write.mode("append").parquet(f"{self.path}/notes")
 
-    def next_batch(self) -> int:
-        return (self.rows().agg(F.max("batch")).first()[0] or 0) + 1
+    def batches(self) -> list[str]:
+        """Names of the batches that are in the index: one row each comes back."""
+        return sorted(r.batch for r in self._notes().filter("batch is not null").distinct().collect())
 
-    def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, keep_id, group_size, kept, text_sha256: one row per document of the batch."""
-        batch = self.next_batch()
+    def rows(self) -> DataFrame:
+        """The index as a bucketed table."""
+        return self.spark.table(self.table).filter(F.col("batch").isin(self.batches()))
+
+    def close(self) -> None:
+        """Take the table out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def answers(self, groups: DataFrame, batch: str) -> DataFrame:
+        """groups (digest, keep_id, group_size) -> digest, keep_id, group_size, new. The index stays where it is."""
+        known = self.rows().filter(F.col("batch") != batch).select(F.col("digest").alias("known"), F.col("keep_id").alias("known_id"))
+        found = groups.repartition(self.buckets, "digest").join(known.hint("merge"), F.col("digest") == F.col("known"), "left")
+        new = F.col("known").isNull()
+        return found.select("digest", F.when(new, F.col("keep_id")).otherwise(F.col("known_id")).alias("keep_id"), "group_size", new.alias("new"))
+
+    def append(self, answers: DataFrame, batch: str) -> None:
+        """Write the new digests as the batch's partition, over what an earlier try may have left there, then its name."""
+        view = "new_" + uuid.uuid4().hex
+        answers.filter("new").select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{batch}') SELECT digest, keep_id, group_size FROM {view}")
+        self.spark.catalog.dropTempView(view)
+        if batch not in self.batches():
+            self._store(self.buckets, batch)
+
+    def deduplicate(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, keep_id, group_size, kept, text_sha256: one row per document of the batch.
+
+        batch names it (letters, digits, _ and -); without a name it is never the same batch again.
+        """
+        batch = batch or uuid.uuid4().hex
+        if not all(c.isascii() and (c.isalnum() or c in "_-") for c in batch):
+            raise ValueError(f"not a batch name: {batch!r}")
         rows = durable(digests(docs, id_col, text_col).groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "digests")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-        groups = durable(groups, "digest_groups")  # else the anti-join is pushed below the aggregate, and every copy is shuffled
-        self.append(groups.join(self.rows().hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch).cast("long")))
-        return rows.join(self.files().hint("merge"), "digest").select(
+        groups = durable(groups, "digest_groups")  # else the join is pushed below the aggregate, and every copy is shuffled
+        answers = durable(self.answers(groups, batch), "digest_answers")
+        self.append(answers, batch)
+        return rows.join(answers.hint("merge"), "digest").select(
             "doc_id",
             "keep_id",
             "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)).alias("kept"),
+            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("new")).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
@@ -67,10 +111,17 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(text), 256)).alias("digest"))
 
 
+def exact_digest(docs: DataFrame) -> DataFrame:
+    """The documents as one batch for an index of their own."""
+    index = DigestIndex(docs.sparkSession)
+    found = index.deduplicate(docs, "first")
+    index.close()
+    return found
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; repeated rows come back once."""
-    found = DigestIndex(docs.sparkSession).deduplicate(docs)
-    kept = found.filter("kept").select("doc_id", F.unhex("text_sha256").alias("__digest"))
+    kept = exact_digest(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("__digest"))
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(text), 256)))
     return keep_rows(marked, kept, ["doc_id", "__digest"], once_by=[]).drop("__digest")

@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": _docs(substring_dedup.substring_digest),
     "op3_source_mix": _docs(mixing.mix_digest),
     "op4_line_dedup": _docs(line_dedup.line_digest),
-    "op5_exact_dedup": _docs(lambda d: exact_dedup.DigestIndex(d.sparkSession).deduplicate(d)),
+    "op5_exact_dedup": _docs(exact_dedup.exact_digest),
     "op6_language_id": _docs(language_id.language_digest),
     "op7_simhash": _docs(simhash.simhash_digest),
     "op8_decontaminate": lambda spark, sf_dir: decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),

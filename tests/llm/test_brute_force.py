@@ -104,16 +104,6 @@ def test_components_of_a_long_chain(spark):
     assert {got[i] for i in range(n)} == {0} and got[1001] == 1000
 
 
-def test_exact_index_persists(spark):
-    index = exact_dedup.DigestIndex(spark)
-    first = spark.createDataFrame([(1, "A b"), (2, "a B"), (3, "c")], "doc_id long, text string")
-    assert {(r.doc_id, r.keep_id, r.kept) for r in index.deduplicate(first).collect()} == {(1, 2, False), (2, 2, True), (3, 3, True)}
-    again = exact_dedup.DigestIndex(spark, index.path, index.buckets)
-    second = spark.createDataFrame([(10, "C"), (11, "new")], "doc_id long, text string")
-    assert {(r.doc_id, r.keep_id, r.kept) for r in again.deduplicate(second).collect()} == {(10, 3, False), (11, 11, True)}
-    assert again.rows().count() == 3
-
-
 def test_splitting_tree_sums(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 37), (None, 5), ("z", 0)], "source string, quota long")
     rows = mixing.splitting_tree(quotas, 8).collect()

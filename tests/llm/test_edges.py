@@ -36,7 +36,7 @@ OPS = {
     "substring": lambda d, b, lab: substring_dedup.substring_digest(d),
     "mix": lambda d, b, lab: mixing.mix_digest(d),
     "line": lambda d, b, lab: line_dedup.line_digest(d),
-    "exact": lambda d, b, lab: exact_dedup.DigestIndex(d.sparkSession).deduplicate(d),
+    "exact": lambda d, b, lab: exact_dedup.exact_digest(d),
     "language": lambda d, b, lab: language_id.language_digest(d),
     "simhash": lambda d, b, lab: simhash.simhash_digest(d),
     "decontaminate": lambda d, b, lab: decontaminate.decontamination_report(d, b),
@@ -59,7 +59,7 @@ def test_operators(spark, name):
 
 def test_results_on_the_edges(spark):
     d = docs(spark)
-    exact = {(r.doc_id, r.text_sha256): r for r in exact_dedup.DigestIndex(spark).deduplicate(d).collect()}
+    exact = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_digest(d).collect()}
     assert sum(r.kept for r in exact.values()) == len({(r[1] or "").lower() for r in ROWS})
     fox = next(r for r in exact.values() if r.doc_id == 5)
     assert (fox.keep_id, fox.group_size, fox.kept) == (5, 4, True)
