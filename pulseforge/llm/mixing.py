@@ -9,8 +9,9 @@ draws in the permuted order, so shards are disjoint; within a shard rows are ord
 
 The order within a source is found without sorting a source in one task: rows are ranked within
 (source, hash range) and the ranges' totals are summed up beside them, so a hot source spreads out.
-The table of sources has one row per source and one node of the tree holds one entry per source.
-Hypergeometric draws are rounded normal draws clipped to the exact support.
+The table of sources has one row per source and one node of the tree holds one entry per source, so a mix of more than
+MOST_SOURCES is refused; group hosts into sources first. Draws are hypergeometric, by the inverse of the CDF, but for quotas of
+many millions of documents (see _draw). What a document gives is counted from its draws as the tree deals them to shards.
 
 Defined results
 - Null text has size 0; null source is a source of its own, last in order. Sources of size 0 get target 0.
@@ -30,6 +31,8 @@ from .common import WORD, durable, keyed_hash, new_path
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 42
+#: Standard deviations summed on either side of a draw's mean, the most values summed, and the most sources of a mix.
+TAILS, TERMS, MOST_SOURCES = 8, 4096, 4096
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -51,20 +54,43 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return t.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def _draw(marked: Column, rest: Column, slots: Column, node: Column, source: Column, seed: int) -> Column:
+    """How many of `slots` drawn without replacement from `rest` are among the `marked`: inverse of the hypergeometric CDF.
+
+    The CDF is summed over TAILS standard deviations about the mean, outside of which less than 1e-14 lies. A window of
+    more than TERMS values is answered by a rounded normal draw, whose own spread then exceeds TERMS / 16.
+    """
+    zero = F.lit(0).cast("long")
+    u = (keyed_hash(f"{seed}u", node, source) + (keyed_hash(f"{seed}v", node, source) + 0.5) / F.lit(2.0**32)) / F.lit(2.0**32)
+    least, most = F.greatest(slots - (rest - marked), zero), F.least(marked, slots)
+    p = marked / F.greatest(rest, F.lit(1))
+    mean, spread = slots * p, F.sqrt(slots * p * (1 - p) * (rest - slots) / F.greatest(rest - 1, F.lit(1)))
+    a = F.greatest(least, F.floor(mean - TAILS * spread - TAILS).cast("long"))
+    b = F.greatest(a, F.least(most, F.ceil(mean + TAILS * spread + TAILS).cast("long")))
+    ks = F.sequence(a, b)
+    after = lambda w, k: w * (marked - k) * (slots - k) / ((k + 1) * (rest - marked - slots + k + 1).cast("double"))
+    sums = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("total"))
+    total = F.aggregate(ks, sums, lambda s, k: F.struct(after(s["w"], k).alias("w"), (s["total"] + s["w"]).alias("total")), lambda s: s["total"])
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("cdf"), zero.alias("under"), (u * total).alias("at"))
+
+    def step(s: Column, k: Column) -> Column:
+        cdf = s["cdf"] + s["w"]
+        return F.struct(after(s["w"], k).alias("w"), cdf.alias("cdf"), (s["under"] + (cdf < s["at"]).cast("long")).alias("under"), s["at"].alias("at"))
+
+    exact = F.least(a + F.aggregate(ks, start, step, lambda s: s["under"]), b)
+    u2 = (keyed_hash(f"{seed}w", node, source) + 0.5) / F.lit(2.0**32)
+    normal = F.round(mean + spread * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * u2)).cast("long")
+    return F.when(b - a < TERMS, exact).otherwise(F.least(F.greatest(normal, least), most))
+
+
 def _split(items: Column, node: Column, seed: int) -> Column:
     """array of left quotas for a node's array<struct<source, quota>>, which sum to half of the node."""
     total = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["quota"])
 
     def step(acc: Column, x: Column) -> Column:
-        big, n, k = acc["rest"], acc["slots"], x["quota"]
-        u1 = (keyed_hash(f"{seed}u", node, x["source"]) + 1) / F.lit(2.0**32 + 1)
-        u2 = keyed_hash(f"{seed}v", node, x["source"]) / F.lit(2.0**32)
-        z = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-        p = k / F.greatest(big, F.lit(1))
-        spread = F.sqrt(n * p * (1 - p) * (big - n) / F.greatest(big - 1, F.lit(1)))
-        draw = F.round(n * p + spread * z).cast("long")
-        draw = F.least(F.greatest(draw, n - (big - k), F.lit(0).cast("long")), k, n)
-        return F.struct((big - k).alias("rest"), (n - draw).alias("slots"), F.concat(acc["out"], F.array(draw)).alias("out"))
+        draw = _draw(x["quota"], acc["rest"], acc["slots"], node, x["source"], seed)
+        found = F.struct((acc["rest"] - x["quota"]).alias("rest"), draw.alias("draw"))
+        return F.struct(found["rest"].alias("rest"), (acc["slots"] - found["draw"]).alias("slots"), F.array_append(acc["out"], found["draw"]).alias("out"))
 
     start = F.struct(total.alias("rest"), F.floor(total / 2).cast("long").alias("slots"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(items, start, step, lambda a: a["out"])
@@ -75,7 +101,10 @@ def splitting_tree(quotas: DataFrame, shards: int = 16, seed: int = SEED) -> Dat
     depth = int(math.log2(shards))
     if 2**depth != shards:
         raise ValueError("shards must be a power of two")
-    item = F.struct("source", F.col("quota").cast("long").alias("quota"))
+    quotas = quotas.select("source", F.col("quota").cast("long").alias("quota"))
+    if (n := quotas.count()) > MOST_SOURCES:
+        raise ValueError(f"{n} sources; at most {MOST_SOURCES}")
+    item = F.struct("source", "quota")
     tree = quotas.groupBy().agg(F.sort_array(F.collect_list(item)).alias("items")).select(F.lit(1).alias("node"), "items")
     for _ in range(depth):
         tree = tree.withColumn("left", _split(F.col("items"), F.col("node"), seed))
@@ -141,14 +170,11 @@ def _join_source(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return left.join(right, on).drop(*[f"__{k}" for k in keys])
 
 
-def mix_digest(docs: DataFrame) -> DataFrame:
-    return plan_mix(docs).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"),
-    )
+def mix_digest(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words of the draws dealt to shards), n_draws."""
+    dealt = F.filter("draws", lambda d: d["shard"] < shards)
+    words = F.aggregate(dealt, F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return plan_mix(docs, shards).select("doc_id", "size", "source_size", "target", words.alias("taken"), F.size(dealt).cast("long").alias("n_draws"))
 
 
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:

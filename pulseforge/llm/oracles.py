@@ -22,7 +22,8 @@ s4 as (select *, cast(floor(target + 0.5) as bigint) // greatest(source_size, 1)
 placed as (select s.*, t.source_size, t.target, t.passes, cast(floor(t.target + 0.5) as bigint) - t.passes * t.source_size as rest,
     sum(s.size) over (partition by s.source order by s.h, s.doc_id rows unbounded preceding) - s.size as before
   from slim s join s4 t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target, cast(passes * size + greatest(0, least(size, rest - before)) as bigint) as taken from placed
+select doc_id, size, source_size, target, cast(passes * size + greatest(0, least(size, rest - before)) as bigint) as taken,
+  case when size > 0 then cast(passes + (rest > before)::int as bigint) else 0 end as n_draws from placed
 """
 
 WARC = """
