@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = durable(both, "cc_edges")
     state = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc_labels")
+    written = state
     while True:
         up = state.select(F.col("node").alias("p"), F.col("label").alias("g"))
         jumped = durable(state.join(up, state["label"] == up["p"]).select("node", "label", "g"), "cc_jumped")
@@ -27,6 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = least.join(handed, least["node"] == handed["t"], "left")
         new = durable(new.select("node", F.least("label", "g", "m", "h").alias("label"), F.col("label").alias("old")), "cc_labels")
         changed = new.filter("label <> old").limit(1).count()
-        state = new.select("node", "label")
+        discard(written, jumped, least)
+        written, state = new, new.select("node", "label")
         if not changed:
+            discard(both)
             return state

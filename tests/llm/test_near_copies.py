@@ -2,7 +2,7 @@
 
 import random
 
-from pulseforge.llm import near_copies
+from pulseforge.llm import simhash
 
 
 def sets(text):
@@ -32,5 +32,5 @@ def test_near_copies_are_those_of_brute_force(spark):
             if both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
                 a, b = sorted((top(i), top(j)))
                 parent[b] = a
-    kept = {r.doc_id for r in near_copies.keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == {k for k, p in enumerate(parent) if k == p} and len(kept) < len(docs)
