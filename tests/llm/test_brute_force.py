@@ -249,7 +249,7 @@ def test_warc_random_access(spark, sf):
     of = {r.page_id: r.html or "" for r in pages.collect()}
     for r in index.limit(40).collect():
         head, block = warc.read_record(r.bundle, r.frame, r.record_offset)
-        page = int(r.record_id.rsplit(":", 1)[-1])
+        page = int(r.record_id.split(":")[2])
         assert head["WARC-Record-ID"] == f"<{r.record_id}>"
         if head["WARC-Type"] == "response":
             assert block.split(b"\r\n\r\n", 1)[1] == of[page].encode()
@@ -258,6 +258,29 @@ def test_warc_random_access(spark, sf):
             assert f.read(4) == b"\x28\xb5\x2f\xfd"
 
 
+def test_warc_is_read_back_by_many_tasks(spark, sf):
+    index = warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet").repartition(2), frame_bytes=4096)
+    assert index.select("bundle").distinct().count() <= 2
+    dealt = warc.stretches(index, 2)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) <= 2 * min(sizes) + 1
+    back = warc.read_archives(index, 2)
+    assert back.rdd.getNumPartitions() == len(sizes) and back.count() == index.count()
+
+
+def test_warc_identifiers_differ(spark):
+    big = "<p>" + "x" * 200
+    rows = [(None, "a", big), (None, "b", "y" * 150), (1, "c", big), (1, "c", big), (1, "d", "z"), (2, "e", big), (2, "e", big + "!"), (None, "f", "y" * 150)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = {r.record_id: warc.read_record(r.bundle, r.frame, r.record_offset) for r in index.collect()}
+    assert len(found) == len(rows)
+    revisits = [h for h, _ in found.values() if h["WARC-Type"] == "revisit"]
+    for head in revisits:
+        first = found[head["WARC-Refers-To"].strip("<>")][0]
+        assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == head["WARC-Payload-Digest"]
+    assert len(revisits) == 2
+
+
 def test_pipeline_is_its_stages_and_their_decisions_hold(spark, sf):
     out = corpus_pipeline.run(spark, sf).select("doc_id").distinct().count()
     d = spark.read.parquet(f"{sf}/documents.parquet")
