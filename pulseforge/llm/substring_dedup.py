@@ -15,13 +15,18 @@ earlier. Sorting every suffix would move many times the corpus. Instead:
    bytes before their sample, each being a short string and a sample's rank. Memory is bounded by a bucket.
 4. In each set of equal windows all but the first place go; their bytes are cut from the documents.
 
-Documents are dealt into groups of about GROUP_BYTES by a hash of doc_id. Equal runs are folded within a group before
+Documents are dealt into groups by a hash of doc_id and text. Runs of equal bytes are folded within a group before
 anything moves, so that a copied document or passage costs each group one row; windows of a key with more than HOT
-runs are also dealt one by one, by their own hash. No key can fill a task.
+runs are also dealt one by one, by their own hash, so what a task holds of one key is at most a row of each group.
+
+A group sends each bucket one row, and there are as many buckets as groups. Groups grow with the square root of the corpus, from
+GROUP_BYTES to MOST_GROUP_BYTES, so rows grow in proportion to it (about one for 16 KB) up to 250 GB. From there on they grow
+faster, though never beyond one row a key (one for about 35 bytes), unless groups are let grow with the executors' memory.
 
 Defined results
 - Null text counts as empty. Texts shorter than WIDTH keep every byte.
-- Null doc_id comes before all others. Rows that repeat a doc_id are one document: equal starts are not earlier.
+- Null doc_id comes before all others. Rows of one doc_id are told apart by a 64-bit hash of their text, which orders them too;
+  rows equal in both are one document: equal starts are not earlier.
 - An empty table gives an empty result. Only the id and text columns are read.
 """
 
@@ -33,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, GRAM, PIECE, GROUP_BYTES, GROUPS_IN_TASK, HOT = 100, 32, 1 << 18, 1 << 22, 4, 4096
+WIDTH, GRAM, PIECE, GROUPS_IN_TASK, HOT = 100, 32, 1 << 18, 4, 4096
+GROUP_BYTES, MOST_GROUP_BYTES, GROWTH = 1 << 22, 1 << 26, 128
 REACH = WIDTH - GRAM + 1  # starts of grams inside a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -41,8 +47,8 @@ _NONE = -(2**63)
 _POWERS = np.full(2 * PIECE + 4 * WIDTH, _BASE, dtype=np.uint64)
 _POWERS[0] = 1
 _POWERS = np.cumprod(_POWERS, dtype=np.uint64)
-RUNS = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("back", "<u1"), ("n", "<u1")])
-CUTS = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<i8")])
+RUNS = np.dtype([("key", "<u8"), ("doc", "<i8"), ("t", "<i8"), ("at", "<i4"), ("back", "<u1"), ("n", "<u1")])
+CUTS = np.dtype([("doc", "<i8"), ("t", "<i8"), ("start", "<i8"), ("n", "<i8")])
 #: kind 0: key counts, 1: keys that repeat, 2: runs with their bytes, 3: cuts.
 SCHEMA = "to long, kind int, frm long, a binary, b binary"
 
@@ -58,10 +64,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def pieces(docs: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes of about PIECE of documents, and for each start of a window in them: its index, document and place."""
+def pieces(docs: list[tuple[int, int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes of about PIECE of documents, and for each start of a window in them: its index, document's number and place."""
     data, index, doc, place, size = [], [], [], [], 0
-    for d, text in docs:
+    for d, (_, _, text) in enumerate(docs):
         for k in range(0, max(len(text) - WIDTH + 1, 0), PIECE):
             part = text[k : k + PIECE + WIDTH - 1]
             n = len(part) - WIDTH + 1
@@ -77,11 +83,12 @@ def pieces(docs: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.frombuffer(b"".join(data), dtype=np.uint8), *map(np.concatenate, (index, doc, place))
 
 
-def runs_of(docs: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def runs_of(docs: list[tuple[int, int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Maximal runs of windows with one sample, the index of each run's first byte, and the bytes of the piece.
 
     back: bytes from the first window's start to the sample; n: windows in the run.
     """
+    ids, hashes = (np.array([x[k] for x in docs], dtype=np.int64) for k in (0, 1))
     for data, index, doc, place in pieces(docs):
         h = data.astype(np.uint64) + np.uint64(1)
         for k in range(5):  # 2, 4, .., 32 bytes
@@ -95,13 +102,13 @@ def runs_of(docs: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndar
         new = np.append(True, (sample[1:] != sample[:-1]) | (index[1:] != index[:-1] + 1))
         first = np.flatnonzero(new)
         out = np.empty(len(first), dtype=RUNS)
-        out["key"], out["doc"], out["at"] = h[sample[first]], doc[first], place[first]
+        out["key"], out["doc"], out["t"], out["at"] = h[sample[first]], ids[doc[first]], hashes[doc[first]], place[first]
         out["back"], out["n"] = sample[first] - index[first], np.diff(np.append(first, len(index)))
         yield out, index[first], data
 
 
-def _documents(t: pa.Table) -> list[tuple[int, bytes]]:
-    return list(zip(t.column("doc").to_pylist(), t.column("text").to_pylist(), strict=True))
+def _documents(t: pa.Table) -> list[tuple[int, int, bytes]]:
+    return list(zip(*[t.column(c).to_pylist() for c in ("doc", "t", "text")], strict=True))
 
 
 def count_keys(groups: int):
@@ -171,17 +178,19 @@ def send_runs(groups: int):
             of = _mixed((sums[end] - sums[index]) * _POWERS[len(_POWERS) - 1 - index] + r["n"])
             runs.append((r, of))
             texts += [data[s:e].tobytes() for s, e in zip(index, end, strict=True)]
-        if not runs:
+        if not sum(len(r) for r, _ in runs):
             return _rows([])
         r, of = np.concatenate([x[0] for x in runs]), np.concatenate([x[1] for x in runs])
-        order = np.lexsort((r["at"], r["doc"], of))
+        order = np.lexsort((r["at"], r["t"], r["doc"], of))
         same = np.append(False, of[order][1:] == of[order][:-1])
-        later, kept = order[same], order[~same]
+        firsts = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))]
+        # a hash only says where to look: what differs from the first of its hash is kept
+        same[same] = [texts[i] == texts[j] for i, j in zip(order[same].tolist(), firsts[same].tolist(), strict=True)]
+        later, kept, firsts = order[same], order[~same], firsts[same]
         cut = np.zeros(len(later), dtype=CUTS)
-        cut["doc"], cut["start"], cut["n"] = r["doc"][later], r["at"][later], r["n"][later]
+        cut["doc"], cut["t"], cut["start"], cut["n"] = r["doc"][later], r["t"][later], r["at"][later], r["n"][later]
         # an equal run at the same place, of a repeated row, is not a later one
-        firsts = order[np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))][same]
-        cut = cut[(r["doc"][later] != r["doc"][firsts]) | (r["at"][later] != r["at"][firsts])]
+        cut = cut[(r["doc"][later] != r["doc"][firsts]) | (r["t"][later] != r["t"][firsts]) | (r["at"][later] != r["at"][firsts])]
         out = [(key[0].as_py(), 3, 0, cut.tobytes(), b"")] if len(cut) else []
         by = np.where(np.isin(r["key"][kept], known[hot > 0]), of[kept], r["key"][kept]) if hot.any() else r["key"][kept]
         to = (_mixed(by) % np.uint64(groups)).astype(np.int64)
@@ -224,7 +233,7 @@ def sort_bucket(r: np.ndarray, text: bytes) -> np.ndarray:
     data = np.frombuffer(text, dtype=np.uint8) + np.uint8(1)  # 0 is left for the end; UTF-8 has no 255
     sizes = r["n"].astype(np.int64) + WIDTH - 1
     offset = np.cumsum(sizes) - sizes
-    order = np.lexsort((r["at"] + r["back"], r["doc"]))
+    order = np.lexsort((r["at"] + r["back"], r["t"], r["doc"]))
     r, offset, sizes = r[order], offset[order], sizes[order]
     back, n = r["back"].astype(np.int64), r["n"].astype(np.int64)
     padded = np.pad(data, (REACH, WIDTH))
@@ -249,18 +258,18 @@ def sort_bucket(r: np.ndarray, text: bytes) -> np.ndarray:
         if same.any():
             first = some[o[np.maximum.accumulate(np.where(~same, np.arange(len(o)), 0))]][same]
             later = some[o[same]]
-            other = (r["doc"][first] != r["doc"][later]) | (r["at"][first] + back[first] != r["at"][later] + back[later])
+            other = (r["doc"][first] != r["doc"][later]) | (r["t"][first] != r["t"][later]) | (r["at"][first] + back[first] != r["at"][later] + back[later])
             gone[later[other], (back[later] - d)[other]] = True
     edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edge == 1)
     end = np.nonzero(edge == -1)[1]
     out = np.zeros(len(row), dtype=CUTS)
-    out["doc"], out["start"], out["n"] = r["doc"][row], r["at"][row] + start, end - start
+    out["doc"], out["t"], out["start"], out["n"] = r["doc"][row], r["t"][row], r["at"][row] + start, end - start
     return out
 
 
 def sort_buckets(groups: int):
-    group_of = lambda docs: (_mixed(docs.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    group_of = lambda docs, hashes: (_mixed(_mixed(docs.view(np.uint64)) ^ hashes.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_target(batches):
@@ -269,7 +278,7 @@ def sort_buckets(groups: int):
             if sent:
                 runs = np.concatenate([np.frombuffer(r[3], RUNS) for r in sent])
                 cut = sort_bucket(runs, b"".join(r[4] for r in sent))
-                to = group_of(np.ascontiguousarray(cut["doc"]))
+                to = group_of(np.ascontiguousarray(cut["doc"]), np.ascontiguousarray(cut["t"]))
                 o = np.argsort(to, kind="stable")
                 out += [(int(to[p[0]]), 3, 0, cut[p].tobytes(), b"") for p in np.split(o, np.flatnonzero(np.diff(to[o]) != 0) + 1) if len(p)]
             yield from _rows(out).to_batches()
@@ -282,11 +291,12 @@ RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def cut_documents(key: tuple, docs: pa.Table, cuts: pa.Table) -> pa.Table:
     found = np.concatenate([np.zeros(0, CUTS), *[np.frombuffer(x, CUTS) for x in cuts.column("a").to_pylist()]])
-    found = found[np.argsort(found["doc"], kind="stable")]
+    found = found[np.lexsort((found["t"], found["doc"]))]
+    first = np.flatnonzero(np.append(True, (np.diff(found["doc"]) != 0) | (np.diff(found["t"]) != 0))) if len(found) else []
+    of = {(int(found["doc"][i]), int(found["t"][i])): x for i, x in zip(first, np.split(found, first[1:]), strict=True)} if len(found) else {}
     out = []
-    for d, text in _documents(docs):
-        lo, hi = np.searchsorted(found["doc"], [d, d], side="left")[0], np.searchsorted(found["doc"], d, side="right")
-        mine = found[lo:hi]
+    for d, t, text in _documents(docs):
+        mine = of.get((d, t), found[:0])
         if not len(mine):
             out.append((d, len(text), 0, 0, hashlib.sha256(text).hexdigest(), b""))
             continue
@@ -302,22 +312,27 @@ def cut_documents(key: tuple, docs: pa.Table, cuts: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
+def group_size(size: int) -> int:
+    """Bytes of a group for a corpus of so many."""
+    return int(min(max(GROUP_BYTES, GROWTH * size**0.5), MOST_GROUP_BYTES))
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (binary: start and end of each removed run as int64)."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.select(F.sum(F.octet_length(raw)).alias("n")).first()["n"] or 0
-    groups = max(1, -(-int(size) // group_bytes))
+    groups = max(1, -(-int(size) // (group_bytes or group_size(size))))
     # a few groups fall to each partition, which evens out what hashing deals to it
     parts = max(-(-groups // GROUPS_IN_TASK), min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     run_buckets, group_of = sort_buckets(groups)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(group_of(docs)), b.column(0), b.column(1)], ["to", "doc", "text"])
+            docs, hashes = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(docs, hashes)), *b.columns], ["to", "doc", "t", "text"])
 
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
-    rows = docs.select(ids.alias("doc"), F.encode(raw, "UTF-8").alias("text")).mapInArrow(group, "to long, doc long, text binary")
+    rows = docs.select(ids.alias("doc"), F.xxhash64(raw).alias("t"), F.encode(raw, "UTF-8").alias("text")).mapInArrow(group, "to long, doc long, t long, text binary")
     rows = rows.repartition(parts, "to")
     counts = rows.groupBy("to").applyInArrow(count_keys(groups), SCHEMA)
     replies = counts.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(lambda batches: find_repeats(batches, hot), SCHEMA)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,6 +49,37 @@ def test_substrings_that_repeat_in_many_ways(spark):
         assert got == removed(docs)
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcd ") for _ in range(600))
+    rows = [(rng.choice([None, 1, 2, 2, 3]), base[rng.randrange(300) :][: rng.randrange(50, 300)] + rng.choice(["", "Q"]) * 3) for _ in range(40)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = {(r.doc_id, r.text): (r.doc_id is not None, r.doc_id or 0, r.t) for r in df.select("doc_id", "text", F.xxhash64("text").alias("t")).collect()}
+    want = removed([(order[k], k[1]) for k in order])
+    got = substring_dedup.dedup_substrings(df, group_bytes=900, hot=3).collect()
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((repr(d), *want[order[d, t]]) for d, t in rows)
+
+
+def test_substring_hashes_are_confirmed_by_bytes(spark, monkeypatch):
+    """With a hash that says everything is equal, nothing but equal bytes may be folded."""
+    rng = random.Random(5)
+    docs = [(i, 0, "".join(rng.choice("ab") for _ in range(140)).encode()) for i in range(30)] + [(99, 0, b"a" * 400)]
+    monkeypatch.setattr(substring_dedup, "_mixed", lambda h: np.zeros_like(h))
+    keys = np.unique(np.concatenate([r["key"] for r, _, _ in substring_dedup.runs_of(docs)]))
+    docs_t = pa.table({k: [d[i] for d in docs] for i, k in enumerate(("doc", "t", "text"))})
+    replies = pa.table({"a": [keys.tobytes()], "b": [np.zeros(len(keys), np.uint8).tobytes()]})
+    out = substring_dedup.send_runs(1)((pa.scalar(0),), docs_t, replies).to_pylist()
+    cuts = np.concatenate([np.frombuffer(r["a"], substring_dedup.CUTS) for r in out if r["kind"] == 3] or [np.zeros(0, substring_dedup.CUTS)])
+    assert set(cuts["doc"].tolist()) <= {99}
+
+
+def test_substring_messages_grow_with_the_text():
+    for size in (10**8, 10**9, 10**10, 10**11):
+        assert (size / substring_dedup.group_size(size)) ** 2 <= size / 16000
+    assert substring_dedup.group_size(10**15) == substring_dedup.MOST_GROUP_BYTES
+
+
 def slow_fingerprint(text):
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
