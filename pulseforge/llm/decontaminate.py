@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words (lower-cased, outer punctuation stripped) become hashed ids, written once per document; later passes read
-   these alone. Document frequencies over all documents give the idf.
+1. Words (lower-cased, outer punctuation stripped) become 64-bit hashes. Their top BITS bits, terms, are written once per
+   document for the passes that build the latent space. Document frequencies over all documents give the idf.
 2. A randomised SVD of the TF-IDF matrix A of all passages of BLOCK words: each task multiplies its passages into
    A'(A R), R a random start; slices of the product are summed by a shuffle. Its left singular vectors span the
    leading right singular directions of A (one step of subspace iteration), a matrix of 2^BITS rows whatever the
@@ -13,16 +13,18 @@
    latent vector is a difference of running sums. Windows with a cosine of at least MIN_COSINE that share SHARED of the
    part's number of words with the item are candidates. So are, whatever their cosine, places where runs of GRAM words of
    the item stand in the item's order, if the item's length of words from there shares SHARED of them.
-4. For a candidate the longest common subsequence of words must cover MIN_LCS of the item within a stretch of the
+4. For a candidate the longest common subsequence of words, by all 64 bits, must cover MIN_LCS of the item within a stretch of the
    document little longer than the item. Where it covers less than SURE_LCS, the item's answer (its last ANSWER words) must
    be covered to MIN_ANSWER, so paraphrases by insertion, deletion and replacement and items cut off at either end are
    confirmed, and texts of the same topic are not.
 
-Items are read in blocks of about ITEMS parts to bound what a task holds; all blocks are searched for in all documents.
+Items are searched for in blocks of about ITEMS parts. Each block is one pass over all texts whose hits are written before the next
+block is broadcast, so driver and tasks hold one block however many items there are.
 
 Defined results
 - Null text counts as empty; items without words, or with a null id, match nothing; equal items all match.
-- A document shorter than the window is one window. Repeated rows are each returned.
+- A document shorter than the window is one window. Repeated rows are each returned. What is found depends on the text alone; rows
+  are told apart by doc_id and a 64-bit hash of the text.
 - Empty tables give documents without matches, or no documents. Only the named columns are read.
 """
 
@@ -30,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 BITS, SKIP, RANK, EXTRA, BLOCK, SLICE, SEED = 14, 8, 32, 8, 64, 256, 11
 #: Windows as (words, step), both in whole UNITs.
@@ -54,12 +57,12 @@ _POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 
 
 def word_ids(texts: list[str | None]) -> list[np.ndarray]:
-    """uint16 ids of each text's words, in order: top bits of a polynomial hash, found for all words of a piece at once."""
+    """uint64 hashes of each text's words, in order: a polynomial hash, found for all words of a piece at once."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = _BYTES[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], data != 0])))
     starts, ends = edge[0::2], edge[1::2]
-    out = np.zeros(len(starts), dtype="<u2")
+    out = np.zeros(len(starts), dtype="<u8")
     k, most = 0, len(_POWERS) - 1
     while k < len(starts):
         last = max(int(np.searchsorted(ends, starts[k] + most, side="right")), k + 1)
@@ -68,12 +71,17 @@ def word_ids(texts: list[str | None]) -> list[np.ndarray]:
         s, e = starts[k:last] - lo, np.minimum(ends[k:last], hi) - lo
         h = (sums[e] - sums[s]) * _POWERS[most - s]  # every word's sum raised to the same power
         h ^= h >> np.uint64(29)
-        out[k:last] = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
+        out[k:last] = h * np.uint64(0xBF58476D1CE4E5B9)
         k = last
     cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw])[:-1]) if raw else []
     return np.split(out, cuts) if raw else []
 
 
+def terms(words: np.ndarray) -> np.ndarray:
+    """uint16: the top BITS of words' hashes."""
+    return (words >> np.uint64(64 - BITS)).astype("<u2")
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bits of a long integer."""
     at: dict[int, int] = {}
@@ -88,18 +96,17 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def hashed_words(docs: DataFrame) -> DataFrame:
-    """doc_id, ids (binary of uint16)."""
+def hashed_words(texts: DataFrame, of=terms) -> DataFrame:
+    """texts (id, text) -> id, ids: each text's terms, or what else `of` makes of its words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = [], b.column(1)
             for k in range(0, len(texts), 256):
-                ids += [x.tobytes() for x in word_ids(texts[k : k + 256].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                ids += [of(x).tobytes() for x in word_ids(texts[k : k + 256].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return durable(rows.mapInArrow(run, "doc_id long, ids binary"), "word_ids")
+    return durable(texts.mapInArrow(run, "id long, ids binary"), "word_ids")
 
 
 def _arrays(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -235,11 +242,13 @@ def _seen_at(keys: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """Benchmark items as latent unit vectors of their parts by window length, and as runs of words."""
+    """Benchmark items (id, words' hashes) as latent unit vectors of their parts by window length, and as runs of terms."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
         self.terms = np.vstack([basis * idf[:, None], np.zeros((1, RANK), dtype=np.float32)])  # the last row pads
-        self.items = [(i, x.astype(np.int64)) for i, x in items if i is not None and len(x)]
+        items = [(i, x) for i, x in items if i is not None and len(x)]
+        self.words = [x.tolist() for _, x in items]
+        self.items = [(i, terms(x).astype(np.int64)) for i, x in items]
         self.lengths = np.array([len(x) for _, x in self.items], dtype=np.int64)
         self.member = np.zeros(((1 << BITS) + 1, len(self.items)), dtype=bool)
         for k, (_, x) in enumerate(self.items):
@@ -316,12 +325,12 @@ class Searcher:
         return found
 
     def confirmed(self, docs: list[np.ndarray]) -> list[list[tuple[int, float]]]:
-        """For each document (item_id, covered share) of the items that it holds."""
-        out = [[] for _ in docs]
-        near, runs = self.candidates(docs), self.run_starts(docs)
+        """For each document, given as its words' hashes, (item_id, covered share) of the items that it holds."""
+        out, small = [[] for _ in docs], [terms(x) for x in docs]
+        near, runs = self.candidates(small), self.run_starts(small)
         for d, k in near.keys() | runs.keys():
-            item_id, item = self.items[k]
-            a, n, best, words = item.tolist(), len(item), 0.0, docs[d]
+            item_id, a, best, words = self.items[k][0], self.words[k], 0.0, docs[d]
+            n = len(a)
             tail, last = a[-ANSWER:], None
             stretches = [(s - n // 2, s + n + n // 2) for s in runs.get((d, k), [])]
             for s in sorted(near.get((d, k), [])):
@@ -338,39 +347,72 @@ class Searcher:
         return [sorted(x) for x in out]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEMS) -> DataFrame:
-    """doc_id, items: array<struct<item_id, covered>>; one row for each row of docs."""
-    ids = hashed_words(docs)
-    idf = inverse_frequency(ids)
-    basis = latent_basis(ids, idf)
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()
-    schema, found, block, parts = "doc_id long, items array<struct<item_id:long,covered:double>>", None, [], 0
+HITS = "doc_id long, t long, item_id long, covered double"
+
 
-    def search(ids: DataFrame, items: list[tuple[int, np.ndarray]]) -> DataFrame:
-        searcher = ids.sparkSession.sparkContext.broadcast(Searcher(items, idf, basis))  # of about item_block parts of items
+def search(texts: DataFrame, searcher: Broadcast) -> DataFrame:
+    """texts (doc_id, t, text) -> a row for each item that a text holds."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = searcher.value
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.float64())]))
-            for b in batches:
-                got, words = b.column(1).to_pylist(), _arrays(b)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, names = searcher.value, [x.split()[0] for x in HITS.split(", ")]
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                words = word_ids(b.column(2)[k : k + 256].to_pylist())
                 some = [i for i, x in enumerate(words) if len(x)]
                 rows = (r for run in _runs(words) for r in s.confirmed(run))
-                for i, r in zip(some, rows, strict=True):
-                    got[i] = got[i] + [{"item_id": item, "covered": c} for item, c in r]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind), b.column(2)], ["doc_id", "items", "ids"])
+                hits = [(k + i, item, c) for i, r in zip(some, rows, strict=True) for item, c in r]
+                at = pa.array([h[0] for h in hits], pa.int64())
+                found = [b.column(0).take(at), b.column(1).take(at), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64())]
+                yield pa.RecordBatch.from_arrays(found, names)
+
+    return texts.mapInArrow(run, HITS)
 
-        return ids.mapInArrow(run, schema + ", ids binary")
 
-    found = ids.select("doc_id", F.array().cast("array<struct<item_id:long,covered:double>>").alias("items"), "ids")
-    for r in rows:
-        block.append((r.item_id, word_ids([r.text])[0]))
+def _blocks(benchmark: DataFrame, item_block: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items' words, about item_block parts at a time; no more come to the driver at once."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    block, parts = [], 0
+    for r in hashed_words(items.filter("item_id is not null"), lambda x: x).toLocalIterator():
+        block.append((r["id"], np.frombuffer(r["ids"], "<u8")))
         parts += len(part_starts(len(block[-1][1])))
         if parts >= item_block:
-            found, block, parts = search(found, block), [], 0
+            yield block
+            block, parts = [], 0
     if block:
-        found = search(found, block)
-    return found.select("doc_id", "items")
+        yield block
+
+
+def item_hits(texts: DataFrame, benchmark: DataFrame, item_block: int = ITEMS) -> DataFrame:
+    """texts (doc_id, t, text) -> doc_id, t, items: array<struct<item_id, covered>>; only of texts that hold some."""
+    spark = texts.sparkSession
+    ids = hashed_words(texts.select("t", "text"))
+    idf = inverse_frequency(ids)
+    basis = latent_basis(ids, idf)
+    discard(ids)
+    hits = None
+    for block in _blocks(benchmark, item_block):
+        searcher = spark.sparkContext.broadcast(Searcher(block, idf, basis))  # of about item_block parts of items
+        found = durable(search(texts, searcher), "item_hits")
+        searcher.destroy()
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        hits = texts.select("doc_id", "t", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("covered")).limit(0)
+    hits = hits.groupBy("doc_id", "t", "item_id").agg(F.max("covered").alias("covered"))
+    return hits.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("item_id", "covered"))).alias("items"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEMS) -> DataFrame:
+    """doc_id, items: array<struct<item_id, covered>>; one row for each row of docs."""
+    texts = _texts(docs)
+    hits = item_hits(texts, benchmark, item_block).select(F.struct("doc_id", "t").alias("__hit"), "items")
+    rows = texts.select("doc_id", F.struct("doc_id", "t").alias("__key"))
+    rows = rows.join(durable(hits, "held_items"), F.col("__key") == F.col("__hit"), "left")
+    return rows.select("doc_id", F.coalesce("items", F.array().cast("array<struct<item_id:bigint,covered:double>>")).alias("items"))
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -385,7 +427,8 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all columns, that hold no benchmark item. Texts decide, by 64 bits of hash, whatever their doc_id."""
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = find_items(texts, benchmark).filter("size(items) > 0").select(F.col("doc_id").alias("__text")).distinct()
-    return docs.join(durable(found, "contaminated"), F.xxhash64(docs["text"]) == F.col("__text"), "left_anti")
+    """The documents, with all columns, that hold no benchmark item. Each row's own text decides, whatever its doc_id."""
+    hits = durable(item_hits(_texts(docs), benchmark).select(F.struct("doc_id", "t").alias("__hit")), "contaminated")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    marked = docs.withColumn("__key", key)
+    return marked.join(hits, marked["__key"] == hits["__hit"], "left_anti").drop("__key")

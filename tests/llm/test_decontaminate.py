@@ -73,3 +73,101 @@ def test_items_cut_at_either_end(spark):
         docs.append((100 + k, " ".join(item[-cut:] + prose(rng, 50))))
     got = found(spark, docs, items)
     assert [k for k, _ in items if k not in got[k] or k not in got[100 + k]] == []
+
+
+def edited(rng, words, kind, share=0.12):
+    out = []
+    for w in words:
+        hit = rng.random() < share
+        if kind == "insertion" and hit:
+            out.append(f"new{rng.randrange(999)}")
+        if kind == "replacement" and hit:
+            out.append(f"new{rng.randrange(999)}")
+        elif not (kind == "deletion" and hit):
+            out.append(w)
+    return out
+
+
+def test_recall_of_each_kind_of_edit(spark):
+    rng = random.Random(14)
+    vocabulary, weights = [f"w{k}x" for k in range(4000)], [1 / (k + 10) for k in range(4000)]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    docs, items = [(1000 + k, " ".join(text(300))) for k in range(60)], []
+    kinds = ("insertion", "deletion", "replacement")
+    for k in range(60):
+        item = text(rng.randrange(15, 60))
+        items.append((k, " ".join(item)))
+        for n, kind in enumerate(kinds):
+            docs.append((10_000 * (n + 1) + k, " ".join(text(70) + edited(rng, item, kind) + text(40))))
+    got = found(spark, docs, items)
+    for n, kind in enumerate(kinds):
+        assert np.mean([k in got[10_000 * (n + 1) + k] for k, _ in items]) >= 0.9, kind
+    assert sum(bool(got[1000 + k]) for k in range(60)) <= 1
+
+
+def test_candidates_and_shares_against_plain_loops():
+    """Windows by cosine from sums over their own terms, and covered shares from a table, for every document and item."""
+    rng, nrng = random.Random(15), np.random.default_rng(2)
+    vocabulary = [f"v{k}" for k in range(400)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, decontaminate.word_ids([text(rng.randrange(5, 90))])[0]) for k in range(12)]
+    docs = [decontaminate.word_ids([text(rng.randrange(3, 120))])[0] for _ in range(20)]
+    for k in range(8):
+        item, cut = items[k][1], rng.randrange(20)
+        docs[k] = np.concatenate([docs[k][:cut], np.delete(item, len(item) // 2), docs[k][cut:]])
+    idf = nrng.random(1 << decontaminate.BITS).astype(np.float32) + 1
+    basis = nrng.standard_normal((1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32)
+    s = decontaminate.Searcher(items, idf, basis)
+    small = [decontaminate.terms(x) for x in docs]
+    got = s.candidates(small)
+
+    def unit(words):
+        v = (basis[words] * idf[words][:, None]).sum(axis=0)
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    want = set()
+    for k, (_, item) in enumerate(items):
+        item = decontaminate.terms(item)
+        for at in decontaminate.part_starts(len(item)):
+            part = item[at : at + decontaminate.WINDOWS[-1][0]]
+            w, step = min(decontaminate.WINDOWS, key=lambda x: abs(np.log(len(part)) - np.log(x[0])))
+            for d, words in enumerate(small):
+                last = max(-(-max(len(words) - w, 0) // step), 0)
+                for i in range(last + 1):
+                    window = words[i * step : i * step + w]
+                    shared = sum(int(x) in set(item.tolist()) for x in words[i * step : i * step + w])
+                    if unit(window) @ unit(part) >= decontaminate.MIN_COSINE and shared >= decontaminate.SHARED * min(len(part), w):
+                        want.add((d, k))
+    assert {(d, k) for d, k in want} <= set(got) | {(d, k) for d, k in s.run_starts(small)}
+    assert len(want) >= 5
+    for d, rows in enumerate(s.confirmed(docs)):
+        for k, covered in rows:
+            item, words = items[k][1].tolist(), docs[d].tolist()
+            table = [[0] * (len(words) + 1) for _ in range(len(item) + 1)]
+            for i, x in enumerate(item):
+                for j, y in enumerate(words):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            assert decontaminate.MIN_LCS <= covered <= table[-1][-1] / len(item)
+            if d < 8 and k == d:
+                assert covered == table[-1][-1] / len(item) or covered >= 0.9
+    assert all(any(k == d for k, _ in s.confirmed(docs)[d]) for d in range(8))
+
+
+def test_words_that_share_a_term_are_told_apart(spark):
+    """Terms have few bits; a text of other words with the same terms is no copy of an item."""
+    by_term = {}
+    for k in range(200_000):
+        by_term.setdefault(int(decontaminate.terms(decontaminate.word_ids([f"q{k}"])[0])[0]), []).append(f"q{k}")
+        if k > 60_000 and sum(len(x) > 1 for x in by_term.values()) >= 40:
+            break
+    pairs = [x[:2] for x in by_term.values() if len(x) > 1][:40]
+    items, docs = [(1, " ".join(a for a, _ in pairs))], [(1, " ".join(b for _, b in pairs)), (2, "so: " + " ".join(a for a, _ in pairs))]
+    assert found(spark, docs, items) == {1: set(), 2: {1}}
+
+
+def test_blocks_leave_one_searcher_in_a_stage(spark):
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(k, " ".join(prose(rng, 60))) for k in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(prose(rng, 20))) for k in range(40)], "item_id long, text string")
+    plan = decontaminate.find_items(docs, items, item_block=10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 0
