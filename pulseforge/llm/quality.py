@@ -5,11 +5,13 @@ keyed hash, gives every document its own evidence for two traits: quality and to
 by host (pre-aggregated, so a hot host costs no more than others). Host posteriors shrink toward the global mean, path posteriors
 toward their host; how strongly is estimated from the spread of the means themselves by the method of moments, so
 sparse sites lean on their prior. A document's posterior adds the log-odds of its path, relative to the global
-mean, to its own log-odds, weighted by SITE_WEIGHT.
+mean, to its own log-odds, weighted by SITE_WEIGHT. Its own evidence is taken out of its path's and host's sums first, so it
+counts once: alone on its path, a document meets its host's posterior, and alone on its host the global mean.
 
 Defined results
 - Null text counts as empty. Null host and path are sites of their own.
 - Without labels of a trait its evidence is PRIOR for every document. Null labels are not learned from.
+- Of a doc_id's labels the largest of each trait counts; of its texts the one least by hash is learned from.
 - Repeated rows are each returned and each counted. An empty table gives an empty result.
 - Only the named columns are read, so other columns may have any name.
 """
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, keep_rows
+from .decontaminate import word_ids
 
 TRAITS = ("quality", "toxic")
 BITS, MAX_LEARN, FEATURES, LEAST_DOCS, RIDGE, STEPS = 18, 6000, 2000, 4, 1.0, 300
@@ -34,17 +36,20 @@ _ASCII[[9, 10, 11, 12, 13, 32]] = 5
 STYLE = 7
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashed word ids, and STYLE measures between about 0 and 1."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.lower().split()
-    kinds = set(words)
-    ids = np.unique(np.fromiter((xxhash.xxh32_intdigest(w.strip(b".,;:!?#$%&*|")) for w in kinds), dtype=np.uint32, count=len(kinds)) >> np.uint32(32 - BITS))
-    of = np.bincount(_ASCII[np.frombuffer(data, dtype=np.uint8)], minlength=6)
-    n, m = max(len(data), 1), max(len(words), 1)
-    lines = data.split(b"\n")
-    style = [of[1] / n, of[2] / n, of[0] / n, min(len(data) / m, 40) / 40, len(kinds) / m, len(set(lines)) / len(lines), min(math.log1p(m) / 12, 1)]
-    return ids.astype(np.int64), np.array(style, dtype=np.float64)
+def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted hashed word ids, and STYLE measures between about 0 and 1."""
+    out = []
+    for k in range(0, len(texts), 256):
+        some = texts[k : k + 256]
+        for text, words in zip(some, word_ids(some), strict=True):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            kinds = np.unique(words)
+            of = np.bincount(_ASCII[np.frombuffer(data, dtype=np.uint8)], minlength=6)
+            n, m = max(len(data), 1), max(len(words), 1)
+            lines = data.split(b"\n")
+            style = [of[1] / n, of[2] / n, of[0] / n, min(len(data) / m, 40) / 40, len(kinds) / m, len(set(lines)) / len(lines), min(math.log1p(m) / 12, 1)]
+            out.append((np.unique(kinds >> np.uint64(64 - BITS)).astype(np.int64), np.array(style, dtype=np.float64)))
+    return out
 
 
 class Classifier:
@@ -91,20 +96,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Classifier
 
 def learn(docs: DataFrame, labels: DataFrame) -> list[Classifier | None]:
     """A classifier for each trait, from a bounded sample of labelled documents."""
-    some = labels.filter(" or ".join(f"{t} is not null" for t in TRAITS)).select("doc_id", *TRAITS)
+    some = labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TRAITS])
+    some = some.filter(" or ".join(f"{t} is not null" for t in TRAITS))
     some = some.orderBy(F.xxhash64(F.lit("learn"), "doc_id"), "doc_id").limit(MAX_LEARN)
-    said = {r.doc_id: [r[t] for t in TRAITS] for r in some.collect() if r.doc_id is not None}
+    said = {r.doc_id: [r[t] for t in TRAITS] for r in some.collect()}
     if not said:
         return [None] * len(TRAITS)
     ids = docs.sparkSession.createDataFrame([(d,) for d in sorted(said)], "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["doc_id", "ids", "style"])
-
-    texts = keep_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), F.broadcast(ids), ["doc_id"])  # of at most MAX_LEARN ids
-    got = {r.doc_id: (np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.style)) for r in texts.mapInArrow(run, "doc_id long, ids binary, style binary").dropDuplicates(["doc_id"]).collect()}
+            found = features(b.column(2).to_pylist())
+            parts = [pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *parts], ["doc_id", "t", "ids", "style"])
+
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    texts = keep_rows(texts, F.broadcast(ids), ["doc_id"])  # of at most MAX_LEARN ids
+    rows = texts.mapInArrow(run, "doc_id long, t long, ids binary, style binary").groupBy("doc_id").agg(F.min_by(F.struct("ids", "style"), "t").alias("f"))
+    got = {r.doc_id: (np.frombuffer(r.f.ids, "<i4").astype(np.int64), np.frombuffer(r.f.style)) for r in rows.collect()}
     out = []
     for k in range(len(TRAITS)):
         use = [d for d in sorted(got) if said[d][k] is not None]
@@ -118,7 +128,7 @@ def evidence(docs: DataFrame, models: list[Classifier | None], host: str, path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t) for t in b.column(3).to_pylist()]
+            found = features(b.column(3).to_pylist())
             ps = [pa.array([m.probability(*f) if m else PRIOR for f in found], pa.float64()) for m in models]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *ps], names)
 
@@ -140,19 +150,27 @@ def _strengths(groups: DataFrame, prior: dict[str, Column]) -> dict[str, float]:
     return out
 
 
+def _shrunk(prior: Column, strength: float, total: Column, n: Column) -> Column:
+    return (strength * prior + total) / (strength + n)
+
+
 def site_posteriors(rows: DataFrame) -> DataFrame:
-    """host, path, n, and for each trait all_, host_ and path_<trait>. One row per path."""
+    """host, path, for each trait all_, host_ and path_<trait>, and what they are made of: n and s_ of the path, host_n and
+    host_s_ of the host, k_host_ and k_path_. One row per path."""
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(f"p_{t}").alias(f"s_{t}") for t in TRAITS])
     paths = durable(paths, "quality_paths")
     hosts = durable(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{t}").alias(f"s_{t}") for t in TRAITS]), "quality_hosts")
     whole = hosts.agg(*[(F.sum(f"s_{t}") / F.sum("n")).alias(t) for t in TRAITS]).first()
     mean = {t: F.lit(whole[t] if whole[t] is not None else PRIOR) for t in TRAITS}
-    k = _strengths(hosts, mean)
-    hosts = hosts.select(F.col("host").alias("__host"), *[((k[t] * mean[t] + F.col(f"s_{t}")) / (k[t] + F.col("n"))).alias(f"host_{t}") for t in TRAITS])
-    out = durable(paths.join(hosts, paths["host"].eqNullSafe(hosts["__host"])).drop("__host"), "quality_nested")
-    k = _strengths(out, {t: F.col(f"host_{t}") for t in TRAITS})
-    path = [((k[t] * F.col(f"host_{t}") + F.col(f"s_{t}")) / (k[t] + F.col("n"))).alias(f"path_{t}") for t in TRAITS]
-    return out.select("host", "path", "n", *[mean[t].alias(f"all_{t}") for t in TRAITS], *[f"host_{t}" for t in TRAITS], *path)
+    host_k = _strengths(hosts, mean)
+    hosts = hosts.select(F.col("host").alias("__host"), F.col("n").alias("host_n"), *[F.col(f"s_{t}").alias(f"host_s_{t}") for t in TRAITS])
+    out = paths.join(hosts, paths["host"].eqNullSafe(hosts["__host"])).drop("__host")
+    out = out.select("*", *[_shrunk(mean[t], host_k[t], F.col(f"host_s_{t}"), F.col("host_n")).alias(f"host_{t}") for t in TRAITS])
+    out = durable(out, "quality_nested")
+    path_k = _strengths(out, {t: F.col(f"host_{t}") for t in TRAITS})
+    path = [_shrunk(F.col(f"host_{t}"), path_k[t], F.col(f"s_{t}"), F.col("n")).alias(f"path_{t}") for t in TRAITS]
+    known = [F.lit(k[t]).alias(f"k_{of}_{t}") for of, k in (("host", host_k), ("path", path_k)) for t in TRAITS]
+    return out.select("*", *[mean[t].alias(f"all_{t}") for t in TRAITS], *path, *known)
 
 
 def _logit(p: Column) -> Column:
@@ -166,8 +184,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: Col
     rows = durable(evidence(docs, learn(docs, labels), host, path), "quality_evidence")
     sites = durable(site_posteriors(rows), "quality_sites").withColumnRenamed("host", "__host").withColumnRenamed("path", "__path")
     out = rows.join(sites, rows["host"].eqNullSafe(sites["__host"]) & rows["path"].eqNullSafe(sites["__path"]))
-    for t in TRAITS:
-        odds = _logit(F.col(f"p_{t}")) + SITE_WEIGHT * (_logit(F.col(f"path_{t}")) - _logit(F.col(f"all_{t}")))
+    for t in TRAITS:  # without the document itself
+        own = F.col(f"p_{t}")
+        host_of = _shrunk(F.col(f"all_{t}"), F.col(f"k_host_{t}"), F.col(f"host_s_{t}") - own, F.col("host_n") - 1)
+        path_of = _shrunk(host_of, F.col(f"k_path_{t}"), F.col(f"s_{t}") - own, F.col("n") - 1)
+        odds = _logit(own) + SITE_WEIGHT * (_logit(path_of) - _logit(F.col(f"all_{t}")))
         out = out.withColumn(f"post_{t}", 1 / (1 + F.exp(-odds)))
     keep = (F.col("post_quality") >= 0.5) & (F.col("post_toxic") < 0.5)
     return out.select("doc_id", "host", "path", *[f"{a}_{t}" for t in TRAITS for a in ("p", "host", "path", "post")], keep.alias("keep"))
