@@ -2,8 +2,9 @@
 
 Two texts are compared by the blended spectrum of their character n-grams (n = 1, 2, 3, present or absent):
 k(x, y) = |X and Y| / sqrt(|X| |Y|). Landmark texts give a Nyström map, and one-versus-rest kernel ridge
-regression is fitted on a bounded sample of labelled texts, LEARN_PER_LANG of each language by keyed hash and
-MAX_LEARN in all, of the MAX_LANGS most frequent. What the driver gathers are packed presence bits of that sample, never texts.
+regression is fitted on a bounded sample of labelled texts: by keyed hash LEARN_PER_LANG of each language, or as many of each as
+MAX_LEARN in all allows, of the MAX_LANGS most frequent languages. Landmarks are the first of each language, MAX_LANDMARKS in all.
+What the driver gathers are packed presence bits of that sample, 2 KB a text, never texts; it unpacks CHUNK of them at a time.
 
 Scores of a batch of texts are a matrix product. As (X L') a = X (L' a), with L the landmarks' normalised
 presence rows and a the regression's weights, L' a is multiplied out once and every text meets a matrix of one
@@ -12,7 +13,8 @@ column per language.
 Defined results
 - Null text, or one without a letter, is `und` with score 0; so is everything if nothing can be learned.
 - Only text is an input of a prediction; a null doc_id counts as the empty text for the fold.
-- Rows without lang or text are never learned from; repeated rows are each returned.
+- Rows without lang or text are never learned from; equal rows are learned from once and each returned. Rows of one doc_id are told
+  apart by their text.
 - Very long texts are read in pieces whose presence bits are joined. Other columns may have any name.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import keep_rows
 
 BITS, SPECTRUM, PIECE = 14, (1, 2, 3), 1 << 20
-LEARN_PER_LANG, LANDMARKS_PER_LANG, MAX_LEARN, MAX_LANGS, RIDGE = 400, 64, 8000, 1000, 0.1
+LEARN_PER_LANG, LANDMARKS_PER_LANG, MAX_LEARN, MAX_LANDMARKS, MAX_LANGS, CHUNK, RIDGE = 400, 64, 8000, 1024, 1000, 512, 0.1
 LEAST_SCORE = 0.2
 UNKNOWN = "und"
 #: Odd multipliers of the n-gram hash.
@@ -81,52 +83,57 @@ class LanguageModel:
         return names, scores
 
 
-def fit(rows: np.ndarray, langs: list[str], landmark: np.ndarray) -> LanguageModel:
-    """rows: bool presence of each learned text, langs: theirs, landmark: which of them are landmarks."""
+def _normalised(packed: np.ndarray) -> np.ndarray:
+    """float32 rows of unit length from packed presence bits."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+def fit(packed: np.ndarray, langs: list[str], landmark: np.ndarray) -> LanguageModel:
+    """packed: presence bits of each learned text, langs: theirs, landmark: which of them are landmarks."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((1 << BITS, 0), dtype=np.float32))
-    x = rows.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    marks = x[landmark]
+    marks = _normalised(packed[landmark])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = (x @ marks.T).astype(np.float64) @ root
+    z = np.vstack([(_normalised(packed[k : k + CHUNK]) @ marks.T).astype(np.float64) @ root for k in range(0, len(packed), CHUNK)])
     y = np.array([[lang == n for n in names] for lang in langs], dtype=np.float64)
     w = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ y)
-    return LanguageModel(names, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32))
+    return LanguageModel(names, (marks.T @ (root @ w).astype(np.float32)))
 
 
 def learn(docs: DataFrame, use=None) -> LanguageModel:
     """Learn from documents with text and lang for which `use` holds (all, if not given)."""
     known = docs.filter("lang is not null and text is not null")
     known = known.filter(use) if use is not None else known
-    by_lang = Window.partitionBy("lang").orderBy("h", "doc_id")
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit("learn"), "doc_id", "text").alias("h"))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    nothing = np.zeros((0, (1 << BITS) // 8), dtype=np.uint8)
     if not sizes:
-        return fit(np.zeros((0, 1 << BITS), dtype=bool), [], np.zeros(0, dtype=bool))
+        return fit(nothing, [], np.zeros(0, dtype=bool))
+    most = min(LEARN_PER_LANG, MAX_LEARN // len(sizes))
     # hashes below a share of the range leave a few times as many rows as are picked, however many there are
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(4.0 * (LEARN_PER_LANG + 25) / r["count"], 1.0))])
-    rows = known.select("doc_id", "lang", F.xxhash64(F.lit("learn"), "doc_id").alias("h"))
-    rows = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.element_at(share, F.col("lang")))
-    picked = rows.withColumn("rank", F.row_number().over(by_lang))
-    picked = picked.filter(F.col("rank") <= LEARN_PER_LANG).orderBy("rank", "h").limit(MAX_LEARN)
-    ranks = {(r.doc_id, r.lang): r["rank"] for r in picked.collect()}
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(4.0 * (most + 25) / r["count"], 1.0))])
+    rows = known.select("lang", "h").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.element_at(share, F.col("lang"))).distinct()
+    by_lang = Window.partitionBy("lang").orderBy("h")
+    picked = rows.withColumn("rank", F.row_number().over(by_lang)).filter(F.col("rank") <= most)
+    ranks = {(r.h, r.lang): r["rank"] for r in picked.collect()}
     if not ranks:
-        return fit(np.zeros((0, 1 << BITS), dtype=bool), [], np.zeros(0, dtype=bool))
-    ids = docs.sparkSession.createDataFrame([(d, lang) for d, lang in ranks], known.select("doc_id", "lang").schema)
+        return fit(nothing, [], np.zeros(0, dtype=bool))
+    ids = docs.sparkSession.createDataFrame(list(ranks), "h long, lang string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = [np.packbits(presence(t)).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
-
-    rows = keep_rows(known.select("doc_id", "lang", "text"), F.broadcast(ids), ["doc_id", "lang"])
-    kind = known.schema["doc_id"].dataType.simpleString()
-    got = {(r.doc_id, r.lang): r.bits for r in rows.mapInArrow(run, f"doc_id {kind}, lang string, bits binary").dropDuplicates(["doc_id", "lang"]).collect()}
-    order = sorted(got, key=lambda k: (ranks[k], str(k)))
-    bits = np.array([np.unpackbits(np.frombuffer(got[k], dtype=np.uint8)) for k in order], dtype=bool)
-    return fit(bits, [k[1] for k in order], np.array([ranks[k] <= LANDMARKS_PER_LANG for k in order]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["h", "lang", "bits"])
+
+    rows = keep_rows(known.select("h", "lang", "text"), F.broadcast(ids), ["h", "lang"])  # of at most MAX_LEARN hashes
+    got = {(r.h, r.lang): r.bits for r in rows.mapInArrow(run, "h long, lang string, bits binary").dropDuplicates(["h", "lang"]).collect()}
+    order = sorted(got, key=lambda k: (ranks[k], k[1], k[0]))
+    packed = np.frombuffer(b"".join(got[k] for k in order), dtype=np.uint8).reshape(len(order), -1)
+    landmark = np.array([ranks[k] <= LANDMARKS_PER_LANG for k in order]) & (np.arange(len(order)) < MAX_LANDMARKS)
+    return fit(packed, [k[1] for k in order], landmark)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
