@@ -52,11 +52,22 @@ _PII = {
     ),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) between 8 and 15"),
     "iban": (
-        r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
-        "alone and list_reduce(list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: case when ascii(c) < 58 then ascii(c) - 48 else ascii(c) - 55 end), "
+        r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
+        "alone and list_reduce(list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(m, 1, 4), ''), lambda c: case when ascii(c) < 58 then ascii(c) - 48 else ascii(c) - 55 end), "
         "lambda a, v: (a * case when v > 9 then 100 else 10 end + v) % 97) = 1",
     ),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "alone and regexp_matches(near, 'ssn|social security|tax id')"),
+    "secret": (r"[A-Fa-f0-9]{32,64}", "alone and regexp_matches(near, 'token|secret|key|password|auth')"),
+}
+#: A kind's score in hundredths, and its context words.
+_SCORES = {
+    "email": (70, "mail|contact|write"),
+    "ip": (50, "ip|host|server|address"),
+    "card": (80, "card|visa|credit|payment"),
+    "phone": (50, "phone|call|tel|mobile"),
+    "iban": (90, "iban|account|bank|transfer"),
+    "ssn": (20, "ssn|social security|tax id"),
+    "secret": (30, "token|secret|key|password|auth"),
 }
 
 
@@ -64,8 +75,8 @@ def _pii() -> str:
     parts = []
     for k, (kind, (pattern, holds)) in enumerate(_PII.items()):
         parts.append(f"""
-select doc_id, {k} as k, '{kind}' as kind, s, s + length(m) as e from (
-  select doc_id, text, m, s, lower(substr(text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0))) as near,
+select doc_id, {k} as k, '{kind}' as kind, s, s + length(m) as e, least(100, {_SCORES[kind][0]} + case when regexp_matches(near, '{_SCORES[kind][1]}') then 30 else 0 end) as score from (
+  select doc_id, text, m, s, lower(substr(text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || chr(10) || substr(text, s + length(m) + 1, 40)) as near,
     not regexp_matches(case when s > 0 then substr(text, s, 1) else '' end || ' ' || substr(text, s + length(m) + 1, 1), '[A-Za-z0-9]') as alone
   from (select doc_id, text, m, cast(sum(length(g) + length(m)) over (partition by doc_id order by i) - length(m) as bigint) as s
     from (select doc_id, text, i, ms[i] as m, string_split_regex(text, '{pattern}')[i] as g
@@ -76,9 +87,9 @@ select doc_id, {k} as k, '{kind}' as kind, s, s + length(m) as e from (
 with t as (select doc_id, coalesce(text, '') as text from documents), found as ({' union all '.join(parts)}),
 per as (select doc_id, {counts},
   sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by k, s) filter (where k < 4), '')) as base_sha256,
-  string_agg(kind || ':' || s || ':' || e, ',' order by k, s) as spans from found group by doc_id)
+  string_agg(kind || ':' || s || ':' || e, ',' order by k, s) as spans, count(*) as n_spans, string_agg(score, ',' order by k, s) as scores from found group by doc_id)
 select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
-  coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans
+  coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans, coalesce(scores, '') as scores
 from t d left join per on d.doc_id = per.doc_id
 """
 

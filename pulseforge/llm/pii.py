@@ -3,8 +3,9 @@ r"""Personal data: patterns propose spans, checksums confirm them, words nearby
 Everything is a built-in column expression. `regexp_extract_all` gives the matches of a kind and `split` by
 the same pattern gives the text between them, so the running sum of both lengths is each match's offset.
 
-The base kinds are email, ip, card and phone. Added kinds are iban (confirmed by the mod-97 rule) and ssn
-(no checksum, so it needs a context word). Patterns are written with possessive quantifiers where nothing
+The base kinds are email, ip, card and phone. Added kinds are iban (in one piece or in groups of four, confirmed by the
+mod-97 rule), ssn and secret (a long hexadecimal string); the last two have no checksum, so they need a context word.
+Context is CONTEXT_CHARS characters on either side. Patterns are written with possessive quantifiers where nothing
 can be given back, which keeps matching linear and free of recursion on very long runs; `\G` lets a match
 start in the middle of a run only where the previous match ended, as a plain leftmost search would.
 
@@ -23,14 +24,15 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"[A-Fa-f0-9]{32,64}",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A text without this has no match of the kind.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
-#: Score of a confirmed span, and the words before it that add CONTEXT_GAIN.
-SCORES = {"email": 0.7, "ip": 0.5, "card": 0.8, "phone": 0.5, "iban": 0.9, "ssn": 0.2}
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "secret": None}
+#: Score of a confirmed span, and the words near it that add CONTEXT_GAIN.
+SCORES = {"email": 0.7, "ip": 0.5, "card": 0.8, "phone": 0.5, "iban": 0.9, "ssn": 0.2, "secret": 0.3}
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "ip|host|server|address",
@@ -38,6 +40,7 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile",
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social security|tax id",
+    "secret": "token|secret|key|password|auth",
 }
 CONTEXT_GAIN, CONTEXT_CHARS, LEAST_SCORE = 0.3, 40, 0.45
 
@@ -59,7 +62,8 @@ def _luhn(m: Column) -> Column:
 
 
 def _mod97(m: Column) -> Column:
-    turned = F.concat(F.substring(m, 5, 99), F.substring(m, 1, 4))
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, 5, 99), F.substring(plain, 1, 4))
 
     def step(acc: Column, i: Column) -> Column:
         code = F.ascii(F.substring(turned, i, F.lit(1)))
@@ -91,7 +95,7 @@ def _confirmed(kind: str, text: Column, x: Column) -> Column:
         return F.length(_digits(m)).between(8, 15)
     if kind == "iban":
         return F.when(_alone(text, x["s"], x["e"]), _mod97(m)).otherwise(False)
-    if kind == "ssn":
+    if kind in ("ssn", "secret"):
         return _alone(text, x["s"], x["e"])
     return F.lit(True)
 
@@ -110,9 +114,10 @@ def _spans(kind: str, text: Column, between: Column, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, found).otherwise(none)
 
 
-def _score(kind: str, text: Column, s: Column) -> Column:
+def _score(kind: str, text: Column, s: Column, e: Column) -> Column:
     first = F.greatest(s - CONTEXT_CHARS, F.lit(0))
-    near = F.lower(F.substring(text, first + 1, s - first)).rlike(CONTEXT[kind])
+    around = F.concat(F.substring(text, first + 1, s - first), F.lit("\n"), F.substring(text, e + 1, F.lit(CONTEXT_CHARS)))
+    near = F.lower(around).rlike(CONTEXT[kind])
     return F.least(F.lit(SCORES[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0.0), F.lit(1.0))
 
 
@@ -133,7 +138,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     def kept(kind: str) -> Column:
         good = F.filter(F.col(f"s_{kind}"), lambda x: _confirmed(kind, text, x))
-        scored = F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _score(kind, text, x["s"]).alias("score")))
+        scored = F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _score(kind, text, x["s"], x["e"]).alias("score")))
         return scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST_SCORE)
 
     out = out.select(*carried, *[kept(k).alias(f"k_{k}") for k in PATTERNS])
@@ -141,6 +146,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
+    """As the columns say; scores are in hundredths, in the spans' order."""
     found = F.col("found")
     of_kind = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
     place = lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])
@@ -150,6 +156,8 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         *[of_kind(k).alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.transform(base, place), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(found, place), ",").alias("spans"),
+        F.size(found).cast("long").alias("n_spans"),
+        F.array_join(F.transform(found, lambda x: F.round(x["score"] * 100).cast("int")), ",").alias("scores"),
     )
 
 

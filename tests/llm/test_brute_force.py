@@ -176,7 +176,7 @@ def test_folded_kernel_is_the_two_step_product():
     texts = ["the house of the rising sun", "la maison de la reine", "das haus der lichter", "and then the night", "et puis la nuit", "und dann die nacht"] * 4
     langs = ["en", "fr", "de", "en", "fr", "de"] * 4
     x = np.array([language_id.presence(t) for t in texts])
-    m = language_id.fit(x, langs, np.arange(len(texts)) < 6)
+    m = language_id.fit(np.packbits(x, axis=1), langs, np.arange(len(texts)) < 6)
     names, scores = m.score(["the light of the house", "die lichter der nacht", None, "12 3"])
     assert names == ["en", "de", "und", "und"] and all(0 <= s <= 1 for s in scores)
     grams = lambda t: set(np.flatnonzero(language_id.presence(t)))
@@ -270,6 +270,17 @@ def test_pii_spans(spark):
     assert pii.find_pii(far).first().found == []
 
 
+def test_pii_context_on_either_side_and_grouped_ibans(spark):
+    hexes = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    texts = ["123-45-6789 is my ssn", "pay to DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 01", f'token = "{hexes}"', f"commit {hexes}", f"{hexes} is the api key", f"token x{hexes}", "no 10.0.0.1 here", "the host 10.0.0.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x["kind"], x["m"], round(x["score"], 2)) for x in r.found] for r in pii.find_pii(df).collect()}
+    assert got[0] == [("ssn", "123-45-6789", 0.5)]
+    assert got[1] == [("iban", "DE89 3704 0044 0532 0130 00", 0.9)] and got[2] == []
+    assert got[3] == got[5] == [("secret", hexes, 0.6)] and got[4] == got[6] == []
+    assert got[7] == [("ip", "10.0.0.1", 0.5)] and got[8] == [("ip", "10.0.0.1", 0.8)]
+
+
 def test_pii_on_long_runs(spark):
     df = spark.createDataFrame([(1, "7" * 60000), (2, "a." * 40000 + "@"), (3, "+1" + " " * 50000 + "2"), (4, "1." * 30000)], "doc_id long, text string")
     assert all(r.n_email == 0 and r.n_card == 0 for r in pii.pii_digest(df).collect())
