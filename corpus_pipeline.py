@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseforge.llm import decontaminate, exact_dedup, language_id, mixing, simhash
-from pulseforge.llm.common import durable, table
+from pulseforge.llm.common import discard, durable, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,7 +21,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a five-word Jaccard similarity of 0.8 or more the smallest doc_id stays."""
+    """Of texts whose five-word shingles link them at a Jaccard similarity of 0.8 or more the smallest doc_id stays."""
     return simhash.keep_one_of_each(docs)
 
 
@@ -48,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs, "stage_" + name.replace(" ", "_"))
-    return docs
+    """The stages in order. What a stage wrote for itself is removed once its result, and the next one's, is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            docs = durable(stage(spark, docs, sf_dir), "stage_" + name.replace(" ", "_"))
+            kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
