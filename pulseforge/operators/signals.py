@@ -1,53 +1,82 @@
 """Signal operators. A row is one exam with tracing: array<array<float>> by lead, ragged, no padding stored.
 
-Array forms run numpy over Arrow batches, without a shuffle; the width of each source, which sets the baseline's
-kernel, is one slim aggregate joined back. Long forms take (exam_id, lead, t, x) and are windows over an exam's lead.
+Array forms run numpy over Arrow batches, without a shuffle: a batch's samples are one flat buffer, of which an exam's matrix is
+a view, and results are put together as flat buffers. The width of each source, which sets the baseline's kernel, is one
+slim aggregate looked up in a broadcast of checked size. Long forms take (exam_id, lead, t, x) and are windows over an exam's lead.
 """
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructType
 
 from ..functions import kernels
-
-
-def _matrix(tracing) -> np.ndarray:
-    rows = [np.asarray(r, dtype=np.float64) for r in tracing]
-    return np.stack(rows) if rows else np.zeros((0, 0))
-
-
-def _lists(x: np.ndarray, kind: str = "float") -> list[list[float]]:
-    return x.astype(np.float32 if kind == "float" else np.float64).tolist()
-
-
-def map_exams(df: DataFrame, f: Callable[[pd.Series], dict | list[dict]], schema: str) -> DataFrame:
-    """f of each row, as a row or rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.strip().split(" ")[0] for x in _split_schema(schema)]
+from ..shared import durable
+
+#: Most sources whose widths are broadcast; more are joined. Bytes of samples in a batch given back.
+BROADCAST_SOURCES, BATCH_BYTES = 100_000, 1 << 26
+
+
+def matrices(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Leads by samples of each row, float64; of a null row none. The leads of an exam must be of one length."""
+    leads = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    inner = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(inner), 0).to_numpy()
+    flat = inner.flatten().to_numpy(zero_copy_only=False)
+    at = k = 0
+    for n in leads:
+        of = sizes[k : k + n]
+        wide = int(of[0]) if n else 0
+        if (of != wide).any():
+            raise ValueError("leads of different lengths")
+        yield flat[at : at + n * wide].reshape(n, wide).astype(np.float64)
+        at, k = at + int(n) * wide, k + n
+
+
+def list_column(found: list[np.ndarray], kind: str = "float") -> pa.ListArray:
+    """array<array<kind>> of matrices."""
+    flat = np.concatenate([np.zeros(0), *[x.ravel() for x in found]]).astype(np.float32 if kind == "float" else np.float64)
+    inner = np.concatenate([[0], *[np.full(len(x), x.shape[1]) for x in found]]).cumsum()
+    outer = np.concatenate([[0], [len(x) for x in found]]).cumsum()
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat)))
+
+
+def map_exams(df: DataFrame, carried: list[str], f: Callable[..., list[tuple]], added: str, args: list[str] | None = None, kind: str = "float", name: str = "tracing") -> DataFrame:
+    """Rows for what f(matrix, *args) gives: tuples of the added int columns and a matrix, which becomes column `name`."""
+    extra, args = [x.split()[0] for x in added.split(", ")] if added else [], args or []
+    rows = df.select(*carried, *[F.col(a).alias(f"__{a}") for a in args], F.col("tracing").alias("__tracing"))
+    schema = StructType([df.select(*carried).schema[c] for c in carried])
+    for x in extra:
+        schema = schema.add(x, IntegerType())
+    schema = schema.add(name, ArrayType(ArrayType(FloatType() if kind == "float" else DoubleType())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                got = f(r)
-                rows += got if isinstance(got, list) else [got]
-            yield pd.DataFrame(rows, columns=names)
+            values = zip(*[b.column(len(carried) + k).to_pylist() for k in range(len(args))], strict=True) if args else ((),) * b.num_rows
+            of, numbers, found, size = [], [], [], 0
 
-    return df.mapInPandas(run, schema)
+            def taken() -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                columns = [b.column(k).take(at) for k in range(len(carried))]
+                columns += [pa.array([n[k] for n in numbers], pa.int32()) for k in range(len(extra))]
+                return pa.RecordBatch.from_arrays([*columns, list_column(found, kind)], [*carried, *extra, name])
 
+            for i, (x, v) in enumerate(zip(matrices(b.column(b.num_columns - 1)), values, strict=True)):
+                for *n, y in f(x, *v):
+                    of.append(i)
+                    numbers.append(n)
+                    found.append(y)
+                    size += y.nbytes
+                if size > BATCH_BYTES:
+                    yield taken()
+                    of, numbers, found, size = [], [], [], 0
+            yield taken()
 
-def _split_schema(schema: str) -> list[str]:
-    out, depth, word = [], 0, ""
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(word)
-            word = ""
-        else:
-            word += c
-    return [*out, word]
+    return rows.mapInArrow(run, schema)
 
 
 def n_samples(tracing: str = "tracing") -> Column:
@@ -55,9 +84,14 @@ def n_samples(tracing: str = "tracing") -> Column:
 
 
 def with_source_width(df: DataFrame) -> DataFrame:
-    """Each row with source_max_t, the longest recording of its source."""
-    widths = df.select("source", n_samples().alias("n")).groupBy("source").agg(F.max("n").alias("source_max_t"))
-    return df.join(widths, "source")  # the slim side; Spark checks its size before it broadcasts
+    """Each row with source_max_t, the longest recording of its source; null is a source too. The arrays stay where they are.
+
+    The lengths come from a column n_samples, if there is one.
+    """
+    n = F.col("n_samples") if "n_samples" in df.columns else n_samples()
+    widths = durable(df.select("source", n.alias("n")).groupBy(F.col("source").alias("__source")).agg(F.max("n").alias("source_max_t")), "widths")
+    widths = F.broadcast(widths) if widths.count() <= BROADCAST_SOURCES else widths
+    return df.join(widths, df["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
 def to_lead_major(df: DataFrame, col: str = "tracing") -> DataFrame:
@@ -90,30 +124,33 @@ def active_bounds_long(rows: DataFrame, threshold: float = 1e-6) -> DataFrame:
     return rows.groupBy("exam_id").agg(F.coalesce(F.min(on), F.lit(0)).alias("start_idx"), F.coalesce(F.max(on) + 1, F.lit(0)).alias("end_idx"))
 
 
+def _exams(df: DataFrame) -> DataFrame:
+    return df.withColumn("exam_id", F.col("exam_id").cast("string"))
+
+
 def remove_baseline(df: DataFrame, kind: str = "float") -> DataFrame:
-    """exam_id, source, tracing (of kind float or double), end_idx."""
-    def f(r):
-        y, end = kernels.remove_baseline(_matrix(r.tracing), int(r.source_max_t))
-        return {"exam_id": r.exam_id, "source": r.source, "tracing": _lists(y, kind), "end_idx": end}
+    """exam_id, source, end_idx, tracing (of kind float or double)."""
+    def f(x, width):
+        y, end = kernels.remove_baseline(x, int(width or 0))
+        return [(end, y)]
+
+    return map_exams(with_source_width(_exams(df)), ["exam_id", "source"], f, "end_idx int", ["source_max_t"], kind)
+
 
-    return map_exams(with_source_width(df).select("exam_id", "source", "tracing", "source_max_t"), f, f"exam_id string, source string, tracing array<array<{kind}>>, end_idx int")
+def _usable(rate: float | None) -> bool:
+    return rate is not None and rate == rate and int(rate) > 0
 
 
-def resample(df: DataFrame, fo: int = 400) -> DataFrame:
+def resample(df: DataFrame, fo: int = 400, kind: str = "float") -> DataFrame:
     """exam_id, tracing, from rate to fo; without a usable rate the result is empty. Kernels are kept by worker."""
-    def f(r):
-        x = _matrix(r.tracing)
-        known = r.rate is not None and r.rate == r.rate and int(r.rate) > 0
-        return {"exam_id": r.exam_id, "tracing": _lists(kernels.resample(x, int(r.rate), fo)) if known else [[] for _ in x]}
+    def f(x, rate):
+        return [(kernels.resample(x, int(rate), fo) if _usable(rate) else x[:, :0],)]
 
-    return map_exams(df.select("exam_id", "tracing", "rate"), f, "exam_id string, tracing array<array<float>>")
+    return map_exams(_exams(df), ["exam_id"], f, "", ["rate"], kind)
 
 
 def z_norm(df: DataFrame, eps: float = 1e-5, kind: str = "float") -> DataFrame:
-    def f(r):
-        return {"exam_id": r.exam_id, "source": r.source, "tracing": _lists(kernels.z_norm(_matrix(r.tracing), eps), kind)}
-
-    return map_exams(df.select("exam_id", "source", "tracing"), f, f"exam_id string, source string, tracing array<array<{kind}>>")
+    return map_exams(_exams(df), ["exam_id", "source"], lambda x: [(kernels.z_norm(x, eps),)], "", kind=kind)
 
 
 def z_norm_long(rows: DataFrame, eps: float = 1e-5) -> DataFrame:
@@ -139,16 +176,15 @@ def length_offset(df: DataFrame) -> DataFrame:
 def normalize_signals(df: DataFrame) -> DataFrame:
     """NaN exams dropped, then baseline, resampling (D1), z-norm and bounds in one pass over the arrays.
 
-    Takes exam_id, source, collection, rate, tracing; gives exam_id, source, tracing, length, start_offset.
+    Takes exam_id, source, collection, rate, tracing; gives exam_id, source, length, start_offset, tracing.
     """
-    clean = df.filter(~F.exists("tracing", lambda lead: F.exists(lead, lambda x: F.isnan(x))))
+    clean = df.filter(~F.exists("tracing", lambda lead: F.exists(lead, lambda x: F.isnan(x)))).withColumn("rate", F.col("rate").cast("double"))
 
-    def f(r):
-        x, length, start = kernels.normalize(_matrix(r.tracing), int(r.source_max_t), r.rate, r.collection)
-        return {"exam_id": r.exam_id, "source": r.source, "tracing": _lists(x), "length": length, "start_offset": start}
+    def f(x, width, rate, collection):
+        y, length, start = kernels.normalize(x, int(width or 0), rate, collection)
+        return [(length, start, y)]
 
-    rows = with_source_width(clean).select("exam_id", "source", "collection", F.col("rate").cast("double").alias("rate"), "tracing", "source_max_t")
-    return map_exams(rows, f, "exam_id string, source string, tracing array<array<float>>, length int, start_offset int")
+    return map_exams(with_source_width(_exams(clean)), ["exam_id", "source"], f, "length int, start_offset int", ["source_max_t", "rate", "collection"])
 
 
 def trim_pad(df: DataFrame, target: Column | int, tracing: str = "tracing") -> DataFrame:
@@ -201,21 +237,20 @@ def trace_coords(windows: DataFrame, h: int = 512, w: int = 512, mode: str = "to
     return rows.select("exam_id", "window", "lead", xs.alias("xs"), F.transform("sig", y).alias("ys"))
 
 
-def log_spectrogram(df: DataFrame, n_fft: int = 128, hop: int = 64) -> DataFrame:
+def log_spectrogram(df: DataFrame, n_fft: int = 128, hop: int = 64, kind: str = "float") -> DataFrame:
     """exam_id, lead, spec: array of frequencies by time."""
-    def f(r):
-        x = _matrix(r.tracing)
-        return [{"exam_id": r.exam_id, "lead": k, "spec": _lists(s)} for k, s in enumerate(kernels.log_spectrogram(x, n_fft, hop))] if x.size else []
+    def f(x):
+        return list(enumerate(kernels.log_spectrogram(x, n_fft, hop))) if x.size else []
 
-    return map_exams(df.select("exam_id", "tracing"), f, "exam_id string, lead int, spec array<array<float>>")
+    return map_exams(_exams(df), ["exam_id"], f, "lead int", kind=kind, name="spec")
 
 
-def chunk_stft(df: DataFrame, n_fft: int = 256, hop: int = 64, chunk: int = 4000) -> DataFrame:
+def chunk_stft(df: DataFrame, n_fft: int = 256, hop: int = 64, chunk: int = 4000, kind: str = "float") -> DataFrame:
     """exam_id, chunk, lead, spec for chunks whose first sample is below length."""
-    def f(r):
-        return [{"exam_id": r.exam_id, "chunk": k, "lead": j, "spec": _lists(s)} for k, by in kernels.chunk_stft(_matrix(r.tracing), int(r.length), n_fft, hop, chunk) for j, s in enumerate(by)]
+    def f(x, length):
+        return [(k, j, s) for k, by in kernels.chunk_stft(x, int(length), n_fft, hop, chunk) for j, s in enumerate(by)]
 
-    return map_exams(df.select("exam_id", "tracing", "length"), f, "exam_id string, chunk int, lead int, spec array<array<float>>")
+    return map_exams(_exams(df), ["exam_id"], f, "chunk int, lead int", ["length"], kind, "spec")
 
 
 def audit_signals(df: DataFrame) -> DataFrame:
@@ -258,16 +293,37 @@ def norm_quality(df: DataFrame) -> DataFrame:
     return t.withColumn("valid", (F.col("max_abs_mean") < 0.2) & (F.col("min_std") > 0.5) & (F.col("max_std") < 1.5) & F.col("padding_clean"))
 
 
-def synthetic_exams(keys: DataFrame, n_leads: int = 12, seconds: float = 2.0, rates: tuple[int, ...] = (1000, 257, 250, 500, 128)) -> DataFrame:
-    """One test exam for each key (column `key`) and rate: per lead a sinusoid with offset and noise, seeded by the key."""
-    rows = keys.select("key", F.explode(F.array(*[F.lit(r) for r in rates])).alias("rate"))
+#: A linear congruential step, so that noise is the same in any engine.
+_STEP, _ADD, _MOD = 1103515245, 12345, 1 << 31
+
 
-    def f(r):
-        rng = np.random.default_rng([int(r.key), int(r.rate)])
-        t = np.arange(int(seconds * r.rate)) / r.rate
-        amp, offset = rng.uniform(-40, 40, n_leads)[:, None], rng.uniform(-100, 100, n_leads)[:, None]
-        x = amp * np.sin(2 * np.pi * rng.uniform(0.5, 3, n_leads)[:, None] * t + rng.uniform(0, 2 * np.pi, n_leads)[:, None]) + offset
-        x = x + rng.standard_normal(x.shape) * 0.1 * np.abs(amp)
-        return {"exam_id": f"SYNTH_Fs{r.rate}_{r.key}", "rate": int(r.rate), "tracing": _lists(x)}
+def _uniform(*parts: tuple[Column, int]) -> Column:
+    """0 to 1 from whole numbers and their multipliers."""
+    h = sum((c.cast("long") * m for c, m in parts), F.lit(7).cast("long")) % _MOD
+    for _ in range(3):
+        h = (h * _STEP + _ADD) % _MOD
+        h = h.bitwiseXOR(F.shiftright(h, 15))
+    return (h + 0.5) / _MOD
 
-    return map_exams(rows, f, "exam_id string, rate int, tracing array<array<float>>")
+
+def synthetic_exams(keys: DataFrame, leads: DataFrame, seconds: float = 2.0, rates: tuple[int, ...] = (1000, 257, 250, 500, 128)) -> DataFrame:
+    """One test exam for each key (column `key`) and rate: per lead a sinusoid with offset and noise, seeded by the key.
+
+    leads (lead, amplitude, offset) has how far amplitudes and offsets go to either side; it is one row per lead. Only the
+    standard deviation of the noise, a tenth of the amplitude, is not drawn. Built-in expressions alone.
+    """
+    rows = keys.select("key", F.explode(F.array(*[F.lit(r) for r in rates])).alias("rate")).crossJoin(F.broadcast(leads))  # by a few leads
+    of = lambda n: _uniform((F.col("key"), 7919), (F.col("rate"), 104729), (F.col("lead"), 1299709), (F.lit(n), 611953))
+    rows = rows.select(
+        "key", "rate", "lead", ((2 * of(1) - 1) * F.col("amplitude")).alias("a"), ((2 * of(2) - 1) * F.col("offset")).alias("o"),
+        (0.5 + 2.5 * of(3)).alias("f"), (2 * np.pi * of(4)).alias("p"),
+    )
+    angle = 2 * np.pi * F.col("f") * (F.col("t") / F.col("rate")) + F.col("p")
+    noise = lambda n: _uniform((F.col("key"), 7919), (F.col("rate"), 104729), (F.col("lead"), 1299709), (F.col("t"), 15485863), (F.lit(n), 32452843))
+    normal = F.sqrt(-2 * F.log(noise(5))) * F.cos(2 * np.pi * noise(6))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), (F.col("rate") * seconds).cast("int") - 1)).alias("t"))
+    x = F.col("a") * F.sin(angle) + F.col("o") + normal * 0.1 * F.abs("a")
+    lead = rows.select("key", "rate", "lead", F.struct("t", x.cast("float").alias("x")).alias("s")).groupBy("key", "rate", "lead")
+    lead = lead.agg(F.transform(F.sort_array(F.collect_list("s")), lambda v: v["x"]).alias("xs"))
+    exam = lead.groupBy("key", "rate").agg(F.transform(F.sort_array(F.collect_list(F.struct("lead", "xs"))), lambda v: v["xs"]).alias("tracing"))
+    return exam.select(F.concat(F.lit("SYNTH_Fs"), "rate", F.lit("_"), "key").alias("exam_id"), "rate", "tracing")

@@ -185,3 +185,101 @@ b as (select 'stat' as kind, run_id, name, 'macro_f1' as metric, mean, lo as low
 ORACLES["R1_leaderboard"] = f"with {_RUNS} select kind, run_id, name, metric, {_r('mean', 'lower', 'upper')}, mean * dir = max(mean * dir) over (partition by kind, metric) as best from b"
 ORACLES["R2_format_metrics"] = f"""with {_RUNS}, f as (select run_id, name, metric, case when upper is not null then printf('%.3f / %.3f / %.3f', upper, mean, lower) else printf('%.3f', mean) end as s from b where kind = 'stat')
 select run_id, name, """ + ", ".join(f"coalesce(max(s) filter (where metric = '{m}'), '-') as {m}" for m in ("macro_f1", "hamming_loss", "challenge_score", "mean_auprc")) + " from f group by 1, 2"
+
+# -- resampling and spectra as plain sums --------------------------------------------------------------------------
+
+
+def _i0(z: str) -> str:
+    """The modified Bessel function of order 0, by its power series."""
+    return f"list_sum(list_transform(range(60), lambda k: exp(2 * k * ln(({z}) / 2 + 1e-300) - 2 * lgamma(k + 1))))"
+
+
+def _fourier(source: str, n: int, *keys: str) -> str:
+    """re and im of source (keys, f, j, v) by frequency q."""
+    by = ", ".join(keys)
+    return f"""select {by}, f, q, sum(v * cos(2 * pi() * q * j / {n})) as re, sum(v * sin(2 * pi() * q * j / {n})) as im
+    from {source} cross join (select unnest(range({n // 2 + 1})) as q) group by {by}, f, q"""
+
+
+_RESAMPLED = f"""{SIG}, rt as (select exam_id, max(t) + 1 as n, ({_list(RATES)})[exam_id % 5 + 1] as rate from lng group by 1),
+rr as (select *, rate // gcd(rate, 400) as old, 400 // gcd(rate, 400) as new from rt),
+ot as (select exam_id, old, new, least(old, new) * 0.99::double as cut, unnest(range(cast(ceil(new * n / old::double) as bigint))) as m from rr),
+tap as (select o.exam_id, lead, m, x, cut / old as g, (t / old::double - m / new::double) * cut as z from ot o join lng l on l.exam_id = o.exam_id and abs(t / old::double - m / new::double) * cut < 6),
+ker as (select *, case when z = 0 then 1.0 else sin(pi() * z) / (pi() * z) end * ({_i0('14.769656459379492 * sqrt(greatest(1 - (z / 6) ** 2, 0))')}) / ({_i0('14.769656459379492')}) * g as h from tap),
+rs as (select exam_id, lead, m, sum(x * h) as x from ker group by 1, 2, 3)"""
+ORACLES["G3_resample"] = f"with {_RESAMPLED} select cast(exam_id as varchar) as exam_id, lead, m::int as t, round(x, 4) as x from rs"
+ORACLES["G10_log_spectrogram"] = f"""with {_RESAMPLED}, nn as (select exam_id, max(m) + 1 as n from rs group by 1),
+fr as (select exam_id, lead, f, j, n, f * 16 + j - 16 as p from (select exam_id, n, unnest(range(n // 16 + 1)) as f from nn) cross join (select unnest(range(32)) as j) cross join (select unnest([0, 1]) as lead)),
+sm as (select a.exam_id, a.lead, f, j, coalesce(x, 0) * (0.5 - 0.5 * cos(2 * pi() * j / 32)) as v from fr a left join rs on rs.exam_id = a.exam_id and rs.lead = a.lead
+  and rs.m = case when n > 16 and p < 0 then -p when n > 16 and p >= n then 2 * (n - 1) - p else p end),
+ft as ({_fourier('sm', 32, 'exam_id', 'lead')}), lg as (select *, ln(greatest(re * re + im * im, 1e-10)) as s from ft)
+select cast(exam_id as varchar) as exam_id, lead, q::int as freq, f::int as frame,
+  round((s - avg(s) over (partition by exam_id, lead)) / greatest(stddev_samp(s) over (partition by exam_id, lead), 1e-8), 4) as x from lg"""
+ORACLES["G11_chunk_stft"] = f"""{CUT}, ch as (select exam_id, k from (select exam_id, e - s as length, unnest(range(cast(ceil(n / 40.0) as bigint))) as k from bnd) where k * 40 < length),
+fr as (select exam_id, lead, k, f, j, f * 8 + j - 8 as p from ch cross join (select unnest(range(6)) as f) cross join (select unnest(range(16)) as j) cross join (select unnest([0, 1]) as lead)),
+sm as (select a.exam_id, a.lead, k, f, j, coalesce(x, 0) * (0.5 - 0.5 * cos(2 * pi() * j / 16)) as v from fr a left join lng l on l.exam_id = a.exam_id and l.lead = a.lead
+  and l.t = k * 40 + case when p < 0 then -p when p >= 40 then 78 - p else p end),
+ft as ({_fourier('sm', 16, 'exam_id', 'lead', 'k')})
+select cast(exam_id as varchar) as exam_id, k::int as chunk, lead, q::int as freq, f::int as frame, round(ln(1 + sqrt(re * re + im * im)), 4) as x from ft"""
+
+
+# -- test exams ------------------------------------------------------------------------------------------------------
+
+
+def _stirred(source: str, *names: str) -> str:
+    """source with each named whole number turned into a share between 0 and 1."""
+    for _ in range(3):
+        source = f"(select * replace ({', '.join(f'(({n} * 1103515245 + 12345) % 2147483648) as {n}' for n in names)}) from {source})"
+        source = f"(select * replace ({', '.join(f'xor({n}, {n} >> 15) as {n}' for n in names)}) from {source})"
+    return f"(select * replace ({', '.join(f'(({n} + 0.5::double) / 2147483648) as {n}' for n in names)}) from {source})"
+
+
+_EXAM = "7 + key * 7919 + rate * 104729 + lead * 1299709"
+_LEAD_ROWS = f"""(select *, {', '.join(f'({_EXAM} + {n} * 611953) % 2147483648 as u{n}' for n in (1, 2, 3, 4))} from (select s_suppkey::bigint as key from supplier)
+  cross join (select unnest([1000, 257, 250, 500, 128]::bigint[]) as rate) cross join (select event_id % 12 as lead, round(stddev_pop(value), 6) as amplitude, round(avg(value), 6) as o from events group by 1))"""
+_SAMPLE_ROWS = f"(select *, {', '.join(f'({_EXAM} + t * 15485863 + {n} * 32452843) % 2147483648 as v{n}' for n in (5, 6))} from (select *, unnest(range(rate * 2)) as t from ld))"
+ORACLES["W8_synthetic_exams"] = f"""with ld as (select key, rate, lead, (2 * u1 - 1) * amplitude as a, (2 * u2 - 1) * o as o, 0.5 + 2.5 * u3 as f, 2 * pi() * u4 as p from {_stirred(_LEAD_ROWS, 'u1', 'u2', 'u3', 'u4')}),
+x as (select *, round((a * sin(2 * pi() * f * (t / rate) + p) + o + sqrt(-2 * ln(v5)) * cos(2 * pi() * v6) * 0.1 * abs(a))::float::double, 6) as x from {_stirred(_SAMPLE_ROWS, 'v5', 'v6')})
+select 'SYNTH_Fs' || rate || '_' || key as exam_id, rate::int as rate, lead::int as lead, count(*) as n, round(avg(x), 4) as mean, round(max(x), 3) as greatest from x group by all"""
+
+
+# -- threshold search ------------------------------------------------------------------------------------------------
+
+
+def _tuning(epochs: int) -> str:
+    """Every step as a CTE: `b{s}` sums by candidate interval, `c{s}` the candidates' scores, `n{s + 1}` the thresholds after it."""
+    wy = "[" + ", ".join(" + ".join(f"y[{a + 1}]::int * {WEIGHTS[a][j]!r}::double" for a in range(K)) for j in range(K)) + "]"
+    add = lambda xs: " + ".join(xs)
+    parts = [
+        CELLS,
+        "rc as (select rec_id, list(label order by class_idx) as y, list(prob order by class_idx) as p from cells group by 1)",
+        f"""ba as materialized (select y, p, wy, ny, {add(f'y[{j + 1}]::int * wy[{j + 1}]' for j in range(K))} as cor0, wy[1] as ina0,
+        list_transform(p, lambda v: len(list_filter({_list(CANDIDATES, 'double')}, lambda c: v >= c))) as st from (select *, {wy} as wy, {add(f'y[{j + 1}]::int' for j in range(K))} as ny from rc))""",
+        f"n0 as (select {_list([0.5] * K, 'double')} as th)",
+        f"ca as (select unnest(range({len(CANDIDATES)})) as c, unnest({_list(CANDIDATES, 'double')}) as th)",
+    ]
+    for s in range(epochs * K):
+        i = s % K + 1
+        others = [j for j in range(1, K + 1) if j != i]
+        d = {j: f"(p[{j}] >= th[{j}])" for j in others}
+        off = add(f"{d[j]}::int * wy[{j}]" for j in others)
+        un = add(f"(y[{j}] or {d[j]})::int" for j in others)
+        counts = ", ".join(f"sum((y[{j}] and {d[j]})::int) as tp{j}, sum((not y[{j}] and {d[j]})::int) as fp{j}, sum(y[{j}]::int) as p{j}" for j in others)
+        parts.append(f"""b{s} as materialized (select st[{i}] as k, sum(({off} + wy[{i}]) / ({un} + 1)) as hi, sum(case when {un} + y[{i}]::int > 0 then ({off}) / ({un} + y[{i}]::int) else 0 end) as lo,
+        sum(case when ny > 0 then cor0 / ny else 0 end) as cor, sum(ina0 / (ny + (not y[1])::int)) as ina, count(*) as n, sum(y[{i}]::int) as pos, {counts} from ba cross join n{s} group by 1)""")
+        fixed = ", ".join(f"sum(tp{j}) as tp{j}, sum(fp{j}) as fp{j}, sum(p{j}) as p{j}" for j in others)
+        parts.append(f"""s{s} as (select c, any_value(th) as cand, sum(case when k > c then hi else lo end) as obs, sum(cor) as cor, sum(ina) as ina, sum(n) * {K} as cells,
+        coalesce(sum(pos) filter (where k > c), 0) as tp{i}, coalesce(sum(n - pos) filter (where k > c), 0) as fp{i}, sum(pos) as p{i}, {fixed} from ca cross join b{s} group by c)""")
+        f1 = ", ".join(f"2 * tp{j}::double / nullif(tp{j} + fp{j} + p{j}, 0)" for j in range(1, K + 1))
+        parts.append(f"""c{s} as materialized (select *, case when abs(cor - ina) > 1e-12 then round((obs - ina) / (cor - ina), 12) else 0.0 end as challenge_score, round(list_avg(list_filter([{f1}], lambda v: v is not null)), 12) as macro_f1,
+        round(case when (a + b)::double * e * (cells - e) * (cells - a - b) > 0 then (a::double * (cells - b - e) - b::double * (e - a)) / sqrt((a + b)::double * e * (cells - e) * (cells - a - b)) else 0.0 end, 12) as mcc
+        from (select *, {add(f'tp{j}' for j in range(1, K + 1))} as a, {add(f'fp{j}' for j in range(1, K + 1))} as b, {add(f'p{j}' for j in range(1, K + 1))} as e from s{s}))""")
+        tried = lambda v: "[" + ", ".join(v if j == i else f"th[{j}]" for j in range(1, K + 1)) + "]"  # noqa: B023, E731
+        parts.append(f"v{s} as materialized (select {s} * 1000 + c as nth, {tried('cand')} as th, challenge_score, macro_f1, mcc from c{s} cross join n{s})")
+        parts.append(f"n{s + 1} as materialized (select th from v{s} order by challenge_score desc, nth limit 1)")
+    parts.append("v as (" + " union all ".join(f"select * from v{s}" for s in range(epochs * K)) + ")")
+    best = " union all ".join(f"(select '{m}' as metric, th, {m} as score from v where {m} is not null order by {m} desc, nth limit 1)" for m in ("challenge_score", "macro_f1", "mcc"))
+    return f"with {', '.join(parts)} select metric, k::int as class_idx, round(th[k + 1], 2) as threshold, round(score, 6) as score from ({best}) cross join (select unnest(range({K})) as k)"
+
+
+ORACLES["U2_tune_thresholds"] = _tuning(3)

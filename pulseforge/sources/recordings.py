@@ -3,10 +3,12 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.signals import list_column
+
 
 def parse_headers(files: DataFrame) -> DataFrame:
     """path, value (whole text) -> exam_id, dataset, path, freq, age, is_male, codes.
@@ -45,17 +47,17 @@ RAW = "exam_id string, tracing array<array<float>>"
 def decode_recordings(rows: DataFrame) -> DataFrame:
     """exam_id, content (interleaved little-endian int16), gains, baselines (a number per lead) -> exam_id, tracing by lead."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                leads = len(r.gains)
-                x = np.frombuffer(r.content, dtype="<i2")
+            found, gains, baselines = [], b.column(2).to_pylist(), b.column(3).to_pylist()
+            for content, gain, base in zip(b.column(1), gains, baselines, strict=True):
+                x = np.frombuffer(content.as_buffer(), dtype="<i2") if content.is_valid else np.zeros(0, "<i2")
+                leads = len(gain)
                 x = x[: len(x) // leads * leads].reshape(-1, leads).T if leads else np.zeros((0, 0))
-                out.append(((x - np.asarray(r.baselines, dtype=float)[:, None]) / np.asarray(r.gains, dtype=float)[:, None]).astype(np.float32).tolist() if leads else [])
-            yield pd.DataFrame({"exam_id": b.exam_id, "tracing": out})
+                found.append((x - np.asarray(base, dtype=float)[:, None]) / np.asarray(gain, dtype=float)[:, None])
+            yield pa.RecordBatch.from_arrays([b.column(0), list_column(found)], ["exam_id", "tracing"])
 
-    return rows.select("exam_id", "content", "gains", "baselines").mapInPandas(run, RAW)
+    return rows.select(F.col("exam_id").cast("string").alias("exam_id"), "content", "gains", "baselines").mapInArrow(run, RAW)
 
 
 def lead_scales(files: DataFrame) -> DataFrame:

@@ -14,18 +14,32 @@ def source_pairs(signals: DataFrame, metas: DataFrame) -> DataFrame:
     return s.join(m, "name", "left").withColumn("has_meta", F.col("meta_path").isNotNull())
 
 
+def headers_of(spark: SparkSession, folders: list[str]) -> dict[str, list[str]]:
+    """Each first line that files have, with their paths; one short row comes back for a file."""
+    lines = spark.read.text(folders, recursiveFileLookup=True).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    first = lines.groupBy("file_path").agg(F.min_by("value", F.struct("file_block_start", "row")).alias("header"))
+    path = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    of: dict[str, list[str]] = {}
+    for r in first.select(path.alias("path"), "header").orderBy("path").collect():
+        of.setdefault(r.header, []).append(r.path)
+    return of
+
+
 def read_metadata(spark: SparkSession, folders: list[str], classes: list[str]) -> DataFrame:
-    """Many CSV sets as one table of strings, with source_classes: which of `classes` the file's header has.
+    """Many CSV files as one table of strings, with source_classes: which of `classes` the file's own header has.
 
-    Each folder holds files of one header; headers may have blanks around names. Columns that a folder lacks are null.
+    Every file is read by its own header, whatever the others in its folder have; headers may have blanks around names.
+    Columns that a file lacks are null. Empty files are passed over.
     """
     out = None
-    for folder in folders:
-        one = spark.read.csv(folder, header=True, recursiveFileLookup=True)
+    for paths in (of := headers_of(spark, folders)).values():
+        one = spark.read.csv(paths, header=True)
         one = one.toDF(*[c.strip() for c in one.columns]).drop(DROPPED)
         has = [c for c in classes if c in one.columns]
         one = one.withColumn("source_classes", F.array(*[F.lit(c) for c in has]) if has else F.array().cast("array<string>"))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if not of:
+        raise ValueError("no metadata files")
     return out
 
 

@@ -92,7 +92,8 @@ def test_audit_edges(spark):
 
 
 def test_normalized_synthetic_exams_are_valid(spark):
-    x = signals.synthetic_exams(spark.range(2).withColumnRenamed("id", "key"), n_leads=3)
+    leads = spark.createDataFrame([(k, 40.0, 100.0) for k in range(3)], "lead int, amplitude double, offset double")
+    x = signals.synthetic_exams(spark.range(2).withColumnRenamed("id", "key"), leads)
     x = x.withColumn("source", F.lit("s")).withColumn("collection", F.lit("D1"))
     n = signals.normalize_signals(x)
     assert all(r.length == 800 for r in n.collect())
