@@ -4,10 +4,17 @@ Record-wise measures are column expressions over the arrays, so no record is shu
 the cells and are combined before the shuffle, which leaves one row for each class and task.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import apply_thresholds
+from ..shared import durable, keyed_hash
+from .ranking import global_rank
 
 NAN = float("nan")
 
@@ -157,31 +164,66 @@ def challenge_score(preds: DataFrame, weights: list[list[float]], nsr: int) -> D
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
-def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int = 100, seed: int = 42) -> DataFrame:
-    """metric, mean, lower, upper over n resamples of the records, each drawn Poisson(1) times by keyed hash.
+def exact_draws(records: DataFrame, n: int, seed: int) -> DataFrame:
+    """records with `its`: the resample numbers for which a record is drawn, once for each time. Each resample is of N draws of N.
 
-    A resample of N records with replacement tends to this as N grows, and needs no record to be looked up elsewhere.
-    Records become a few sums per resample before anything is shuffled.
+    Draws are keyed hashes of their numbers scaled to ranks, so N must be well under 2^32; n * N slim rows are shuffled once.
     """
-    from ..shared import keyed_hash
-
+    ranked = durable(global_rank(records, ["rec_id"], name="__rank"), "bootstrap")
+    total = ranked.count()
+    draws = records.sparkSession.range(n * total).select((F.col("id") % n).cast("int").alias("it"), F.expr(f"id div {n}").alias("d"))
+    rank = (keyed_hash(seed, F.col("it"), F.col("d")) * total).alias("h")
+    its = draws.select("it", rank).select("it", F.expr("h div 4294967296").alias("__drawn")).groupBy("__drawn").agg(F.collect_list("it").alias("its"))
+    return ranked.join(its, F.col("__rank") == F.col("__drawn")).drop("__rank", "__drawn")
+
+
+def poisson_draws(records: DataFrame, n: int, seed: int) -> DataFrame:
+    """records with `its`, each drawn Poisson(1) times in each resample, which N draws of N tend to; nothing is looked up elsewhere."""
+    u = lambda it: (keyed_hash(seed, it, F.col("rec_id")) + 0.5) / F.lit(2.0**32)
+    times = lambda x: F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: x > c))
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda it: F.array_repeat(it, times(u(it))))
+    return records.withColumn("its", F.flatten(each))
+
+
+def resample_sums(rows: DataFrame, n: int) -> DataFrame:
+    """rows (its, stats array<double>) -> it, sums array<double>: one matrix product for a batch, n rows for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            stats = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            many = pc.list_value_length(b.column(0)).to_numpy()
+            cell = b.column(0).flatten().to_numpy().astype(np.int64) * b.num_rows + np.repeat(np.arange(b.num_rows), many)
+            times = np.bincount(cell, minlength=n * b.num_rows).reshape(n, b.num_rows)
+            total = times @ stats if total is None else total + times @ stats
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(total))], ["it", "sums"])
+
+    wide = rows.select("its", "stats").mapInArrow(run, "it int, sums array<double>")
+    long = wide.select("it", F.posexplode("sums").alias("k", "x")).groupBy("it", "k").agg(F.sum("x").alias("x"))
+    return long.groupBy("it").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("sums"))
+
+
+def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int = 100, seed: int = 42, poisson: bool = False) -> DataFrame:
+    """metric, mean, lower, upper over n resamples of the records: N draws of N with replacement, or with `poisson`, for very
+    many records, a Poisson(1) number of each. What a resample needs of a record is one short vector of numbers.
+    """
+    k = len(weights)
     r = record_scores(preds, weights, nsr)
     wrong = _both(F.col("labels"), F.col("decided"), lambda a, b: (a != b).cast("int"))
-    r = r.select("rec_id", "observed", "correct", "inactive", wrong.alias("wrong"), F.size("labels").alias("k"), "labels", "decided")
-    k = len(weights)
-    sides = {"tp": (True, True), "fp": (False, True), "fn": (True, False)}
-    bit = lambda i, a, b: ((F.col("labels")[i] == a) & (F.col("decided")[i] == b)).cast("int")
-    r = r.select("rec_id", "observed", "correct", "inactive", "wrong", "k", *[bit(i, *ab).alias(f"{c}_{i}") for i in range(k) for c, ab in sides.items()])
-    tasks = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.repartition(tasks, "rec_id")  # slim rows; what follows is n times the work
-    x = r.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    x = x.withColumn("u", (keyed_hash(seed, F.col("it"), F.col("rec_id")) + 0.5) / F.lit(2.0**32))
-    x = x.withColumn("m", sum((F.when(F.col("u") > c, 1).otherwise(0) for c in POISSON), F.lit(0)))  # a filter on m would be pushed down with the hash inlined for each comparison
-    parts = [F.sum(F.col("m") * F.col(c)).alias(c) for c in ("observed", "correct", "inactive", "wrong")] + [F.sum(F.col("m") * F.col("k")).alias("cells")]
-    parts += [F.sum(F.col("m") * F.col(f"{c}_{i}")).alias(f"{c}_{i}") for i in range(k) for c in sides]
-    by = x.groupBy("it").agg(*parts)
-    f1 = F.array_compact(F.array(*[F.when(2 * F.col(f"tp_{i}") + F.col(f"fp_{i}") + F.col(f"fn_{i}") > 0, 2 * F.col(f"tp_{i}") / (2 * F.col(f"tp_{i}") + F.col(f"fp_{i}") + F.col(f"fn_{i}"))) for i in range(k)]))
-    by = by.select("it", score_of(F.col("observed"), F.col("correct"), F.col("inactive")).alias("challenge"), (F.aggregate(f1, F.lit(0.0), lambda s, v: s + v) / F.size(f1)).alias("macro_f1"), (F.col("wrong") / F.col("cells")).alias("hamming_loss"))
+    bits = [F.zip_with("labels", "decided", f) for f in (lambda y, d: (y & d).cast("double"), lambda y, d: (~y & d).cast("double"), lambda y, d: (y & ~d).cast("double"))]
+    head = F.array(*[c.cast("double") for c in (F.col("observed"), F.col("correct"), F.col("inactive"), wrong, F.size("labels"))])
+    records = r.select("rec_id", F.concat(head, *bits).alias("stats"))
+    by = resample_sums((poisson_draws if poisson else exact_draws)(records, n, seed), n)
+    at = lambda i: F.col("sums")[i]
+    f1 = []
+    for i in range(k):
+        tp, fp, fn = at(5 + i), at(5 + k + i), at(5 + 2 * k + i)
+        f1.append(F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)))
+    f1 = F.array_compact(F.array(*f1))
+    by = by.select("it", score_of(at(0), at(1), at(2)).alias("challenge"), (F.aggregate(f1, F.lit(0.0), lambda s, v: s + v) / F.size(f1)).alias("macro_f1"), (at(3) / at(4)).alias("hamming_loss"))
     long = by.unpivot("it", ["challenge", "macro_f1", "hamming_loss"], "metric", "v")
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("lower"), F.percentile("v", F.lit(0.975)).alias("upper"))
 

@@ -4,11 +4,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import durable
-from .metrics import NAN, cells, pair_sum, record_scores
+from .metrics import NAN, cells, record_scores
 
 #: The candidates 0.05, 0.06, .. 0.50 as the doubles that a step of 0.01 gives.
 CANDIDATES = np.arange(0.05, 0.51, 0.01).tolist()
@@ -31,6 +32,38 @@ def score_batches(df: DataFrame, load_model: Callable[[], Callable[[list[np.ndar
     return df.select("rec_id", "labels", "tracing").mapInPandas(run, "rec_id long, labels array<boolean>, probs array<double>, finite boolean")
 
 
+def interval_sums(base: DataFrame, weights: list[list[float]], now: list[float], i: int, candidates: list[float]) -> np.ndarray:
+    """What class i's candidates need, a row for each of their len(candidates) + 1 intervals: sums over the records whose probability
+    falls there of observed with the class decided and not, correct, inactive, records, and by class positives, tp and fp
+    (those of class i are filled in later). One matrix product for a batch; so many rows come back from a task.
+    """
+    w = np.array([[0.0 if x != x else x for x in row] for row in weights])
+    k = len(now)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(candidates) + 1, 5 + 3 * k))
+        for b in batches:
+            y = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            d = p >= np.array(now)
+            d[:, i] = False
+            row, off = y @ w, (y | d).sum(axis=1)
+            low, on = (row * d).sum(axis=1), off + ~y[:, i]
+            values = [(low + row[:, i]) / on, np.divide(low, off, out=np.zeros(len(y)), where=off > 0), b.column(2).to_numpy(), b.column(3).to_numpy(), np.ones(len(y)), *y.T, *(y & d).T, *(~y & d).T]
+            step = np.searchsorted(candidates, p[:, i], side="right")
+            step[np.isnan(p[:, i])] = 0
+            for c, v in enumerate(values):
+                total[:, c] += np.bincount(step, weights=v, minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total))], ["step", "sums"])
+
+    wide = base.select("labels", "probs", "correct", "inactive").mapInArrow(run, "step int, sums array<double>")
+    sums = wide.groupBy("step").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(5 + 3 * k)]).alias("sums"))
+    out = np.zeros((len(candidates) + 1, 5 + 3 * k))
+    for r in sums.collect():  # len(candidates) + 1 rows
+        out[r.step] = r.sums
+    return out
+
+
 def tune_thresholds(preds: DataFrame, weights: list[list[float]], nsr: int, epochs: int = 3, candidates: list[float] = CANDIDATES) -> dict[str, tuple[float, list[float]]]:
     """metric -> (score, thresholds) for challenge_score, macro_f1 and mcc seen on the challenge-driven path.
 
@@ -41,50 +74,32 @@ def tune_thresholds(preds: DataFrame, weights: list[list[float]], nsr: int, epoc
     k = len(weights)
     now = [0.5] * k
     base = preds.select("rec_id", "labels", F.transform("probs", lambda p: p.cast("double")).alias("probs"), F.col("labels").alias("decided"))
-    base = record_scores(base, weights, nsr).drop("observed", "decided").withColumn("steps", F.transform("probs", lambda p: sum((F.when(p >= c, 1).otherwise(0) for c in candidates), F.lit(0))))
+    base = record_scores(base, weights, nsr).select("labels", "probs", "correct", "inactive")
     base = durable(base.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tuning")  # what no step changes is worked out once
-    total = base.count()
     best = {m: (-np.inf, list(now)) for m in ("challenge_score", "macro_f1", "mcc")}
-    at = lambda c, v: F.sum(F.when(c, v).otherwise(0))
-    for _ in range(epochs):
-        for i in range(k):
-            def decide(bit: bool):
-                return F.transform("probs", lambda p, j: F.when(j == i, F.lit(bit)).otherwise(p >= F.element_at(F.array(*[F.lit(t) for t in now]), j + 1)))
-
-            both = base.withColumn("decided", decide(False)).withColumns({"on": pair_sum(weights, F.col("labels"), decide(True)), "observed": pair_sum(weights, F.col("labels"), F.col("decided"))})
-            y = lambda j: F.col("labels")[j]
-            d = lambda j: F.col("decided")[j]
-            counts = [f for j in range(k) if j != i for f in (at(y(j) & d(j), 1).alias(f"tp{j}"), at(~y(j) & d(j), 1).alias(f"fp{j}"), at(y(j), 1).alias(f"p{j}"))]
-            t = both.groupBy(F.col("steps")[i].alias("step")).agg(F.sum("on").alias("on"), F.sum("observed").alias("off"), F.sum("correct").alias("c"), F.sum("inactive").alias("n"), F.count("*").alias("rows"), at(y(i), 1).alias("pos"), *counts)
-            rows = sorted(t.collect(), key=lambda r: r["step"])  # at most len(candidates) + 1
-            top = -np.inf
-            tried, start = list(now), now[i]
-            for c, th in enumerate(candidates):
-                up = [r for r in rows if r["step"] > c]
-                low = [r for r in rows if r["step"] <= c]
-                observed = sum(r["on"] for r in up) + sum(r["off"] for r in low)
-                correct, inactive = sum(r["c"] for r in rows), sum(r["n"] for r in rows)
-                chal = round((observed - inactive) / (correct - inactive), 12) if abs(correct - inactive) > 1e-12 else 0.0
-                tp, fp, p = [0] * k, [0] * k, [0] * k
-                for j in range(k):
-                    if j == i:
-                        tp[j] = sum(r["pos"] for r in up)
-                        fp[j] = sum(r["rows"] - r["pos"] for r in up)
-                        p[j] = sum(r["pos"] for r in rows)
-                    else:
-                        tp[j], fp[j], p[j] = (sum(r[f"{s}{j}"] for r in rows) for s in ("tp", "fp", "p"))
-                f1 = [2 * a / (2 * a + b + e - a) for a, b, e in zip(tp, fp, p, strict=True) if 2 * a + b + e - a]
-                f1 = float(np.mean(f1)) if f1 else NAN
-                a, b, e, n = sum(tp), sum(fp), sum(p), total * k
-                den = np.sqrt(float(a + b) * e * (n - e) * (n - a - b))
-                mcc = (a * (n - b - e) - b * (e - a)) / den if den else 0.0
-                tried[i] = th
-                if chal > top:
-                    top, start = chal, th
-                for m, v in (("challenge_score", chal), ("macro_f1", round(f1, 12)), ("mcc", round(mcc, 12))):
-                    if v > best[m][0]:
-                        best[m] = (v, list(tried))
-            now[i] = start
+    for i in [*range(k)] * epochs:
+        sums = interval_sums(base, weights, now, i, candidates)
+        # above[c]: records whose probability reaches candidate c
+        above = sums[::-1].cumsum(axis=0)[::-1][1:]
+        whole = sums.sum(axis=0)
+        observed = above[:, 0] + (whole - above)[:, 1]
+        correct, inactive, n = whole[2], whole[3], whole[4] * k
+        chal = (observed - inactive) / (correct - inactive) if abs(correct - inactive) > 1e-12 else np.zeros(len(candidates))
+        p, tp, fp = (np.tile(whole[5 + j * k : 5 + (j + 1) * k], (len(candidates), 1)) for j in range(3))
+        tp[:, i], fp[:, i] = above[:, 5 + i], above[:, 4] - above[:, 5 + i]
+        any_of = tp + fp + p
+        with np.errstate(invalid="ignore", divide="ignore"):
+            f1 = np.where(any_of > 0, 2 * tp / any_of, np.nan)
+            f1 = np.nanmean(f1, axis=1) if (any_of > 0).any() else np.full(len(candidates), NAN)
+            a, b, e = (x.sum(axis=1) for x in (tp, fp, p))
+            den = np.sqrt((a + b) * e * (n - e) * (n - a - b))
+            mcc = np.where(den > 0, (a * (n - b - e) - b * (e - a)) / den, 0.0)
+        for m, found in (("challenge_score", chal), ("macro_f1", f1), ("mcc", mcc)):
+            found = np.round(found, 12)
+            if (found > best[m][0]).any():
+                c = int(np.nanargmax(found))
+                best[m] = (float(found[c]), [*now[:i], candidates[c], *now[i + 1 :]])
+        now[i] = candidates[int(np.argmax(np.round(chal, 12)))]
     return best
 
 

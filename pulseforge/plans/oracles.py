@@ -171,13 +171,22 @@ select exam_id, class from c where class <> 'Brady' or exam_id not in (select ex
 assert set(_NAMES) == set(CLASSES)
 
 _CDF = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]::double[]"
-ORACLES["A14_bootstrap_ci"] = f"""with {CELLS}, {DEC}, {W}, {REC}, it as (select unnest(range(100)) as it),
-dr as (select it, rec_id, len(list_filter({_CDF}, lambda c: ({keyed('42', 'it', 'rec_id')} + 0.5::double) / 4294967296.0::double > c)) as m from rec cross join it),
+
+
+def _bootstrap(draws: str) -> str:
+    """draws: it, rec_id, m."""
+    return f"""with {CELLS}, {DEC}, {W}, {REC}, it as (select unnest(range(100)) as it), {draws},
 ch as (select it, sum(m * obs) as o, sum(m * cor) as c, sum(m * ina) as n from dr join rec using (rec_id) group by it),
 cf as (select it, class_idx, sum(m) as cells, sum(m * (label <> d)::int) as wrong, sum(m * (label and d)::int) as tp, sum(m * (not label and d)::int) as fp, sum(m * (label and not d)::int) as fn from dr join dec using (rec_id) group by 1, 2),
 v as (select 'challenge' as metric, (o - n) / (c - n) as v from ch union all select 'macro_f1', avg(2 * tp / nullif(2 * tp + fp + fn, 0)) from cf group by it union all select 'hamming_loss', sum(wrong) / sum(cells) from cf group by it)
 select metric, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as lower, round(quantile_cont(v, 0.975), 6) as upper from v group by 1"""
 
+
+ORACLES["A14_bootstrap_ci"] = _bootstrap(f"""rk as (select rec_id, row_number() over (order by rec_id) - 1 as k, count(*) over () as n from rec),
+dd as (select it, ({keyed('42', 'it', 'd')} * n) // 4294967296 as k from (select it, n, unnest(range(n)) as d from it cross join (select count(*) as n from rec))),
+dr as (select it, rec_id, m from (select it, k, count(*) as m from dd group by 1, 2) join rk using (k))""")
+ORACLES["A14_bootstrap_poisson"] = _bootstrap(f"dr as (select it, rec_id, len(list_filter({_CDF}, lambda c: ({keyed('42', 'it', 'rec_id')} + 0.5::double) / 4294967296.0::double > c)) as m from rec cross join it)")
+
 _RUNS = """r as (select 'run' || c_nationkey as run_id, 'model' || c_nationkey % 3 as name, count(*) as n, min(c_acctbal) as lo, max(c_acctbal) as hi, floor(sum(cast(round(c_acctbal * 100) as bigint)) / count(*)) / 100 as mean from customer group by c_nationkey),
 b as (select 'stat' as kind, run_id, name, 'macro_f1' as metric, mean, lo as lower, hi as upper, 1 as dir from r union all select 'stat', run_id, name, 'hamming_loss', hi, null, null, -1 from r union all select 'stat', run_id, name, 'mean_auprc', lo, null, null, 1 from r
  union all select 'stat', run_id, name, 'challenge_score', n, null, null, 1 from r union all select 'perf', run_id, name, 'temps_inference_sec', hi, null, null, -1 from r union all select 'perf', run_id, name, 'rate', n, null, null, 1 from r

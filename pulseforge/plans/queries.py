@@ -392,6 +392,11 @@ def A14_bootstrap_ci(s, d):
     return metrics.bootstrap_ci(decided(s, d), b.WEIGHTS, b.NSR).select("metric", r6("mean"), r6("lower"), r6("upper"))
 
 
+@query
+def A14_bootstrap_poisson(s, d):
+    return metrics.bootstrap_ci(decided(s, d), b.WEIGHTS, b.NSR, poisson=True).select("metric", r6("mean"), r6("lower"), r6("upper"))
+
+
 @query
 def A15_per_class_report(s, d):
     return metrics.per_class_report(decided(s, d)).select("class_idx", *[r6(c) for c in ("f1", "recall", "specificity", "auroc", "auprc", "brier")])
