@@ -70,8 +70,11 @@ def S3_read_headers(s, d):
     rate = F.when(F.col("k") % 4 == 0, F.concat(F.lit("E 2 bad 100\nlead 16 "), F.col("k"))).otherwise(F.concat(F.lit("E 2 "), F.col("k") % 500 + 100, F.lit(" 100")))
     sex = F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "# Sex: Male\n").otherwise("# Sex: f\n")
     value = F.concat(rate, F.lit("\n# Age: "), F.when(F.col("k") % 5 == 0, F.lit("n/a")).otherwise((F.col("k") % 90).cast("string")), F.lit("\n"), sex, F.lit("# Dx: 1, "), F.col("k") % 7, F.lit("\n"))
-    path = F.concat(F.lit("/data/ds"), F.col("c_nationkey"), F.lit("/g1/E"), F.col("k"), F.lit(".hea"))
-    return recordings.parse_headers(c.select(path.alias("path"), value.alias("value"))).withColumn("codes", F.array_join("codes", ","))
+    path = F.concat(F.lit("data/ds"), F.col("c_nationkey"), F.lit("/g1/E"), F.col("k"), F.lit(".hea"))
+    root = new_path(s, "headers")
+    recordings.write_files(c.select(path.alias("path"), F.encode(value, "UTF-8").alias("content")), root)
+    found = recordings.read_headers(s, root)
+    return found.withColumns({"codes": F.array_join("codes", ","), "path": F.regexp_extract("path", "/data/ds.*", 0)})
 
 
 @query
@@ -81,8 +84,11 @@ def S4_read_recordings(s, d):
     two = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
     word = lambda i: F.concat(two(F.pmod(v(i), F.lit(256))), two(F.floor(F.pmod(v(i), F.lit(65536)) / 256)))
     content = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), word), ""))
-    rows = c.select(F.col("k").cast("string").alias("exam_id"), content.alias("content"), F.array(F.lit(200.0), F.lit(100.0)).alias("gains"), F.array(F.lit(0.0), F.lit(-5.0)).alias("baselines"))
-    return samples(recordings.decode_recordings(rows), "exam_id")
+    head = F.concat(F.col("k"), F.lit(" 2 500 4\n"), F.col("k"), F.lit(".dat 16 200/mV\n"), F.col("k"), F.lit(".dat 16 100(-5)/mV\n# Age: 1\n"))
+    name = lambda end: F.concat(F.lit("set/g"), F.col("k") % 10, F.lit("/"), F.col("k"), F.lit(end)).alias("path")
+    root = new_path(s, "recordings")
+    recordings.write_files(c.select(name(".dat"), content.alias("content")).union(c.select(name(".hea"), F.encode(head, "UTF-8"))), root)
+    return samples(recordings.read_recordings(s, root), "exam_id")
 
 
 @query

@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,22 @@ def read_recordings(spark: SparkSession, root: str) -> DataFrame:
     return decode_recordings(data.join(heads, "exam_id"))
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write rows (path under root, content binary) as a file each; how many. A repeated task writes the same bytes over again."""
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                where.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(f"{top}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_normalized(df: DataFrame, path: str) -> None:
     """Signals with their metadata, a folder for each source. A hot source is written by as many tasks as hold it."""
     df.write.partitionBy("source").parquet(path)
