@@ -28,6 +28,8 @@ from .common import durable
 #: What ends a unit of each kind.
 ENDS = {"sentence": r"[\n。！？]|[.!?](?=[\x20\x09-\x0D])", "line": r"\n", "paragraph": r"\n\n+"}
 LEAST = 100
+#: Runs in a batch that a task gives.
+AT_ONCE = 1 << 15
 RUNS = "doc_id long, t long, s int, e int, digest binary"
 
 
@@ -54,17 +56,23 @@ def unit_runs(docs: DataFrame, unit: str = "sentence", least: int = LEAST) -> Da
     pattern = ENDS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = re.compile(pattern)
-        names = [x.split()[0] for x in RUNS.split(", ")]
+        ends, names = re.compile(pattern), [x.split()[0] for x in RUNS.split(", ")]
+
+        def taken(b: pa.RecordBatch, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+            place = pa.array(of, pa.int64())
+            columns = [pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(1).take(place), *columns], names)
+
         for b in batches:
             of, found = [], []
             for i, text in enumerate(b.column(2)):
-                found += runs_of(text.as_py(), ends, least)
-                of += [i] * (len(found) - len(of))
-            place = pa.array(of, pa.int64())
-            columns = [b.column(0).take(place), b.column(1).take(place)]
-            columns += [pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                for r in runs_of(text.as_py(), ends, least):
+                    of.append(i)
+                    found.append(r)
+                    if len(found) >= AT_ONCE:
+                        yield taken(b, of, found)
+                        of, found = [], []
+            yield taken(b, of, found)
 
     return docs.mapInArrow(run, RUNS)
 
