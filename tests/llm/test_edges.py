@@ -20,6 +20,10 @@ ROWS = [
     (7, "1234 !!", None, "b", 1),
     (8, "x" * 150000, None, "c", 1),
     (9, "\n\n \t\r\n", "en", "c", 1),
+    (5, "Another text altogether, under an id that two other rows have as well, and long enough to be compared.", "en", "b", 1),
+    (None, "A second text without an id, which is no copy of the first one and must not be taken for it anywhere.", None, None, 1),
+    (None, "A third text without an id. " * 40, "en", None, 1),
+    (10, "甲乙丙丁" * 60 + "。\n" + "甲乙丙丁" * 60 + "。", "zh", "c", 1),
 ]
 BENCH = [(1, "What does the quick brown fox jump over before it runs away"), (2, None), (None, "nothing at all here to find"), (3, "")]
 
@@ -65,7 +69,8 @@ def test_results_on_the_edges(spark):
     assert (fox.keep_id, fox.group_size, fox.kept) == (5, 4, True)
     fp = {r.doc_id: r for r in simhash.simhash_digest(d).collect()}
     assert fp[2].fingerprint == fp[3].fingerprint == fp[9].fingerprint == "0" * 16 and fp[9].component_id == 2
-    assert fp[None].component_id == 1
+    found = {(r.doc_id, r.component_id) for r in simhash.simhash_digest(d).collect()}
+    assert (None, 1) in found and (None, None) in found  # a copy of document 1, and texts that have no id among their copies
     lang = {r.doc_id: r for r in language_id.language_digest(d).collect()}
     assert all(lang[k].lang_pred == "und" and lang[k].score == 0 for k in (2, 3, 7, 9))
     sub = {r.doc_id: r for r in substring_dedup.substring_digest(d).collect()}
