@@ -54,6 +54,11 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return t.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def _let(value: Column, f) -> Column:
+    """f of the value, worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _draw(marked: Column, rest: Column, slots: Column, node: Column, source: Column, seed: int) -> Column:
     """How many of `slots` drawn without replacement from `rest` are among the `marked`: inverse of the hypergeometric CDF.
 
@@ -62,25 +67,35 @@ def _draw(marked: Column, rest: Column, slots: Column, node: Column, source: Col
     """
     zero = F.lit(0).cast("long")
     u = (keyed_hash(f"{seed}u", node, source) + (keyed_hash(f"{seed}v", node, source) + 0.5) / F.lit(2.0**32)) / F.lit(2.0**32)
-    least, most = F.greatest(slots - (rest - marked), zero), F.least(marked, slots)
     p = marked / F.greatest(rest, F.lit(1))
-    mean, spread = slots * p, F.sqrt(slots * p * (1 - p) * (rest - slots) / F.greatest(rest - 1, F.lit(1)))
-    a = F.greatest(least, F.floor(mean - TAILS * spread - TAILS).cast("long"))
-    b = F.greatest(a, F.least(most, F.ceil(mean + TAILS * spread + TAILS).cast("long")))
-    ks = F.sequence(a, b)
+    spread = F.sqrt(slots * p * (1 - p) * (rest - slots) / F.greatest(rest - 1, F.lit(1)))
+    known = F.struct(u.alias("u"), (slots * p).alias("mean"), spread.alias("spread"), F.greatest(slots - (rest - marked), zero).alias("least"), F.least(marked, slots).alias("most"))
     after = lambda w, k: w * (marked - k) * (slots - k) / ((k + 1) * (rest - marked - slots + k + 1).cast("double"))
-    sums = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("total"))
-    total = F.aggregate(ks, sums, lambda s, k: F.struct(after(s["w"], k).alias("w"), (s["total"] + s["w"]).alias("total")), lambda s: s["total"])
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("cdf"), zero.alias("under"), (u * total).alias("at"))
 
-    def step(s: Column, k: Column) -> Column:
-        cdf = s["cdf"] + s["w"]
-        return F.struct(after(s["w"], k).alias("w"), cdf.alias("cdf"), (s["under"] + (cdf < s["at"]).cast("long")).alias("under"), s["at"].alias("at"))
+    def inverse(v: Column) -> Column:
+        """v: known, with the window's ends a and b."""
+        ks = F.sequence(v["a"], v["b"])
+        sums = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("total"))
+        total = F.aggregate(ks, sums, lambda s, k: F.struct(after(s["w"], k).alias("w"), (s["total"] + s["w"]).alias("total")), lambda s: s["total"])
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("cdf"), zero.alias("under"), (v["u"] * total).alias("at"))
+
+        def step(s: Column, k: Column) -> Column:
+            cdf = s["cdf"] + s["w"]
+            return F.struct(after(s["w"], k).alias("w"), cdf.alias("cdf"), (s["under"] + (cdf < s["at"]).cast("long")).alias("under"), s["at"].alias("at"))
+
+        return F.least(v["a"] + F.aggregate(ks, start, step, lambda s: s["under"]), v["b"])
+
+    def normal(v: Column) -> Column:
+        u2 = (keyed_hash(f"{seed}w", node, source) + 0.5) / F.lit(2.0**32)
+        near = F.round(v["mean"] + v["spread"] * F.sqrt(-2 * F.log(v["u"])) * F.cos(2 * math.pi * u2)).cast("long")
+        return F.least(F.greatest(near, v["least"]), v["most"])
+
+    def windowed(v: Column) -> Column:
+        a = F.greatest(v["least"], F.floor(v["mean"] - TAILS * v["spread"] - TAILS).cast("long"))
+        b = F.least(v["most"], F.ceil(v["mean"] + TAILS * v["spread"] + TAILS).cast("long"))
+        return F.struct(*[v[c].alias(c) for c in ("u", "mean", "spread", "least", "most")], a.alias("a"), F.greatest(a, b).alias("b"))
 
-    exact = F.least(a + F.aggregate(ks, start, step, lambda s: s["under"]), b)
-    u2 = (keyed_hash(f"{seed}w", node, source) + 0.5) / F.lit(2.0**32)
-    normal = F.round(mean + spread * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * u2)).cast("long")
-    return F.when(b - a < TERMS, exact).otherwise(F.least(F.greatest(normal, least), most))
+    return _let(_let(known, windowed), lambda v: F.when(v["b"] - v["a"] < TERMS, inverse(v)).otherwise(normal(v)))
 
 
 def _split(items: Column, node: Column, seed: int) -> Column:
@@ -89,8 +104,7 @@ def _split(items: Column, node: Column, seed: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         draw = _draw(x["quota"], acc["rest"], acc["slots"], node, x["source"], seed)
-        found = F.struct((acc["rest"] - x["quota"]).alias("rest"), draw.alias("draw"))
-        return F.struct(found["rest"].alias("rest"), (acc["slots"] - found["draw"]).alias("slots"), F.array_append(acc["out"], found["draw"]).alias("out"))
+        return _let(draw, lambda n: F.struct((acc["rest"] - x["quota"]).alias("rest"), (acc["slots"] - n).alias("slots"), F.array_append(acc["out"], n).alias("out")))
 
     start = F.struct(total.alias("rest"), F.floor(total / 2).cast("long").alias("slots"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(items, start, step, lambda a: a["out"])
@@ -101,11 +115,10 @@ def splitting_tree(quotas: DataFrame, shards: int = 16, seed: int = SEED) -> Dat
     depth = int(math.log2(shards))
     if 2**depth != shards:
         raise ValueError("shards must be a power of two")
-    quotas = quotas.select("source", F.col("quota").cast("long").alias("quota"))
-    if (n := quotas.count()) > MOST_SOURCES:
-        raise ValueError(f"{n} sources; at most {MOST_SOURCES}")
-    item = F.struct("source", "quota")
-    tree = quotas.groupBy().agg(F.sort_array(F.collect_list(item)).alias("items")).select(F.lit(1).alias("node"), "items")
+    item = F.struct("source", F.col("quota").cast("long").alias("quota"))
+    items = quotas.groupBy().agg(F.sort_array(F.collect_list(item)).alias("items"))
+    checked = F.when(F.size("items") > MOST_SOURCES, F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))).otherwise(F.col("items"))
+    tree = items.select(F.lit(1).alias("node"), checked.alias("items"))
     for _ in range(depth):
         tree = tree.withColumn("left", _split(F.col("items"), F.col("node"), seed))
         take = lambda side: F.zip_with("items", "left", lambda x, q: F.struct(x["source"].alias("source"), (q if side == 0 else x["quota"] - q).alias("quota")))
