@@ -28,7 +28,7 @@ from .common import durable, keep_rows
 from .decontaminate import word_ids
 
 TRAITS = ("quality", "toxic")
-BITS, MAX_LEARN, FEATURES, LEAST_DOCS, RIDGE, STEPS = 18, 6000, 2000, 4, 1.0, 300
+BITS, MAX_LEARN, FEATURES, LEAST_DOCS, RIDGE, STEPS, TOLERANCE = 18, 6000, 2000, 4, 1.0, 100, 1e-5
 SITE_WEIGHT, PRIOR, MOST_SHRINK = 0.25, 0.5, 1e6
 _ASCII = np.zeros(256, dtype=np.int64)
 _ASCII[65:91], _ASCII[48:58], _ASCII[97:123], _ASCII[128:] = 1, 2, 3, 4
@@ -66,6 +66,32 @@ class Classifier:
         return 1 / (1 + math.exp(-min(max(x, -30), 30)))
 
 
+def least(f, w: np.ndarray) -> np.ndarray:
+    """Where f, which gives value and slope, is least: limited-memory BFGS from w, at most STEPS steps."""
+    value, slope = f(w)
+    past: list[tuple] = []
+    for _ in range(STEPS):
+        d, alphas = -slope, []
+        for s, y, r in reversed(past):
+            alphas.append(r * (s @ d))
+            d = d - alphas[-1] * y
+        d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.linalg.norm(slope), 1.0))
+        for (s, y, r), a in zip(past, reversed(alphas), strict=True):
+            d = d + s * (a - r * (y @ d))
+        step = 1.0
+        while step > 1e-6 and (found := f(w + step * d))[0] > value + 1e-4 * step * (slope @ d):
+            step /= 2
+        if step <= 1e-6:
+            break
+        s, y = step * d, found[1] - slope
+        w, (value, slope) = w + s, found
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-10:]
+        if np.linalg.norm(slope) < TOLERANCE * max(np.linalg.norm(w), 1.0):
+            break
+    return w
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Classifier | None:
     if len(set(y.tolist())) < 2:
         return None
@@ -76,20 +102,27 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Classifier
     spread = np.where(ones + zeros >= LEAST_DOCS, (a - b) ** 2 / (a + b), -1.0)
     chosen = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
     chosen = chosen[spread[chosen] >= 0]
-    x = np.zeros((len(rows), len(chosen)))
-    for k, (ids, _) in enumerate(rows):
-        x[k] = np.isin(chosen, ids)
     style = np.array([s for _, s in rows])
     mean, scale = style.mean(axis=0), np.maximum(style.std(axis=0), 1e-3)
-    x = np.hstack([x, (style - mean) / scale, np.ones((len(rows), 1))])
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    step = 4.0 / np.linalg.norm(x, axis=1).max() ** 2
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ (w + 0.9 * velocity), -30, 30)))
-        slope = x.T @ (weight * (p - y)) / len(y) + RIDGE / len(y) * np.append(w[:-1], 0)
-        velocity = 0.9 * velocity - 10 * step * slope
-        w = w + velocity
+    x = np.ones((len(rows), len(chosen) + STYLE + 1), dtype=np.float32)
+    place = np.full(1 << BITS, -1)
+    place[chosen] = np.arange(len(chosen))
+    x[:, : len(chosen)] = 0
+    for k, (ids, _) in enumerate(rows):
+        at = place[ids]
+        x[k, at[at >= 0]] = 1
+    x[:, len(chosen) : -1] = (style - mean) / scale
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    ridge = np.full(x.shape[1], RIDGE / len(y))
+    ridge[-1] = 0
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = (x @ w.astype(np.float32)).astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        of = weight * (np.logaddexp(0, z) - y * z)
+        return of.sum() + ridge @ w**2 / 2, ((weight * (p - y)).astype(np.float32) @ x).astype(np.float64) + ridge * w
+
+    w = least(loss, np.zeros(x.shape[1]))
     n = len(chosen)
     return Classifier(chosen, w[:n], w[n:-1], mean, scale, float(w[-1]))
 
