@@ -56,8 +56,8 @@ _POWERS[0] = 1
 _POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 
 
-def word_ids(texts: list[str | None]) -> list[np.ndarray]:
-    """uint64 hashes of each text's words, in order: a polynomial hash, found for all words of a piece at once."""
+def word_ids(texts: list[str | None], start: int | None = None) -> list[np.ndarray]:
+    """uint64 hashes of each text's words, or of their first `start` bytes, in order: a polynomial hash, found for all words of a piece at once."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = _BYTES[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], data != 0])))
@@ -69,6 +69,7 @@ def word_ids(texts: list[str | None]) -> list[np.ndarray]:
         lo, hi = int(starts[k]), int(min(ends[last - 1], starts[k] + most))
         sums = np.concatenate([[np.uint64(0)], np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _POWERS[: hi - lo], dtype=np.uint64)])
         s, e = starts[k:last] - lo, np.minimum(ends[k:last], hi) - lo
+        e = e if start is None else np.minimum(e, s + start)
         h = (sums[e] - sums[s]) * _POWERS[most - s]  # every word's sum raised to the same power
         h ^= h >> np.uint64(29)
         out[k:last] = h * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,6 +1,6 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic regression on hashed words and a few style measures, fitted on at most MAX_LEARN labelled documents by
+A logistic regression on hashed words, their first bytes, and a few style measures, fitted on at most MAX_LEARN labelled documents by
 keyed hash, gives every document its own evidence for two traits: quality and toxic. Evidence is summed by path and
 by host (pre-aggregated, so a hot host costs no more than others). Host posteriors shrink toward the global mean, path posteriors
 toward their host; how strongly is estimated from the spread of the means themselves by the method of moments, so
@@ -34,21 +34,24 @@ _ASCII = np.zeros(256, dtype=np.int64)
 _ASCII[65:91], _ASCII[48:58], _ASCII[97:123], _ASCII[128:] = 1, 2, 3, 4
 _ASCII[[9, 10, 11, 12, 13, 32]] = 5
 STYLE = 7
+#: Bytes of a word's start, and what tells its hash from a whole word's.
+START, _OTHER = 6, np.uint64(0x94D049BB133111EB)
 
 
 def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the sorted hashed word ids, and STYLE measures between about 0 and 1."""
+    """For each text the sorted hashed ids of its words and of their starts, and STYLE measures between about 0 and 1."""
     out = []
     for k in range(0, len(texts), 256):
         some = texts[k : k + 256]
-        for text, words in zip(some, word_ids(some), strict=True):
+        for text, words, starts in zip(some, word_ids(some), word_ids(some, START), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             kinds = np.unique(words)
             of = np.bincount(_ASCII[np.frombuffer(data, dtype=np.uint8)], minlength=6)
             n, m = max(len(data), 1), max(len(words), 1)
             lines = data.split(b"\n")
             style = [of[1] / n, of[2] / n, of[0] / n, min(len(data) / m, 40) / 40, len(kinds) / m, len(set(lines)) / len(lines), min(math.log1p(m) / 12, 1)]
-            out.append((np.unique(kinds >> np.uint64(64 - BITS)).astype(np.int64), np.array(style, dtype=np.float64)))
+            ids = np.unique(np.concatenate([kinds, np.unique(starts) ^ _OTHER]) >> np.uint64(64 - BITS)).astype(np.int64)
+            out.append((ids, np.array(style, dtype=np.float64)))
     return out
 
 
