@@ -28,7 +28,7 @@ from .common import durable, keep_rows
 from .decontaminate import word_ids
 
 TRAITS = ("quality", "toxic")
-BITS, MAX_LEARN, FEATURES, LEAST_DOCS, RIDGE, STEPS, TOLERANCE = 18, 6000, 2000, 4, 1.0, 100, 1e-5
+BITS, MAX_LEARN, FEATURES, LEAST_DOCS, RIDGE, STEPS, TOLERANCE = 18, 6000, 4000, 4, 1.0, 100, 1e-5
 SITE_WEIGHT, PRIOR, MOST_SHRINK = 0.25, 0.5, 1e6
 _ASCII = np.zeros(256, dtype=np.int64)
 _ASCII[65:91], _ASCII[48:58], _ASCII[97:123], _ASCII[128:] = 1, 2, 3, 4
