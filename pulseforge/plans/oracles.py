@@ -230,6 +230,19 @@ sm as (select a.exam_id, a.lead, k, f, j, coalesce(x, 0) * (0.5 - 0.5 * cos(2 *
   and l.t = k * 40 + case when p < 0 then -p when p >= 40 then 78 - p else p end),
 ft as ({_fourier('sm', 16, 'exam_id', 'lead', 'k')})
 select cast(exam_id as varchar) as exam_id, k::int as chunk, lead, q::int as freq, f::int as frame, round(ln(1 + sqrt(re * re + im * im)), 4) as x from ft"""
+_CLEANED = ORACLES["G2_remove_baseline"].replace("round(case", "(case").replace("else 0.0 end, 6) as x", "else 0.0 end) as x")
+ORACLES["normalize_signals"] = f"""with g2 as ({_CLEANED}), rt as (select distinct exam_id, end_idx as n, cast(exam_id as int) % 5 as k, ({_list(RATES)})[cast(exam_id as int) % 5 + 1] as rate from g2),
+rr as (select *, rate // gcd(rate, 400) as old, 400 // gcd(rate, 400) as new from rt where k <> 4),
+ot as (select exam_id, n, old, new, least(old, new) * 0.99::double as cut, unnest(range(cast(ceil(new * n / old::double) as bigint))) as m from rr),
+tap as (select o.exam_id, lead, m, x, cut / old as g, (t / old::double - m / new::double) * cut as z from ot o join g2 on g2.exam_id = o.exam_id and t < n and abs(t / old::double - m / new::double) * cut < 6),
+ker as (select *, case when z = 0 then 1.0 else sin(pi() * z) / (pi() * z) end * ({_i0('14.769656459379492 * sqrt(greatest(1 - (z / 6) ** 2, 0))')}) / ({_i0('14.769656459379492')}) * g as h from tap),
+y as (select exam_id, lead, m as t, sum(x * h) as x from ker group by 1, 2, 3 union all select exam_id, lead, t, x from g2 where cast(exam_id as int) % 5 = 4),
+sz as (select exam_id, count(*) // 2 as n, coalesce(min(t) filter (where abs(x) > 1e-5), 0) as s, coalesce(max(t) filter (where abs(x) > 1e-5) + 1, 0) as e from y group by 1),
+mo as (select y.exam_id, lead, avg(x) as mu, avg(x * x) - avg(x) ** 2 as v from y join sz on sz.exam_id = y.exam_id and t >= s and t < e group by 1, 2),
+z as (select y.exam_id, t, (x - mu) / greatest(sqrt(greatest(v, 1e-8)), 1e-5) as z from y join sz on sz.exam_id = y.exam_id and t >= s and t < e join mo on mo.exam_id = y.exam_id and mo.lead = y.lead),
+zb as (select exam_id, min(t) as s, max(t) + 1 as e from z where abs(z) > 1e-5 group by 1)
+select rt.exam_id, cast(k as varchar) as source, coalesce(zb.e - zb.s, 0)::int as length, coalesce(zb.s, 0)::int as start_offset, coalesce(sz.n, 0) || ',' || coalesce(sz.n, 0) as sizes
+from rt left join sz on sz.exam_id = rt.exam_id left join zb on zb.exam_id = rt.exam_id"""
 
 
 # -- test exams ------------------------------------------------------------------------------------------------------
