@@ -117,4 +117,17 @@ select p.doc_id, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_
 from p left join per on p.doc_id = per.doc_id
 """
 
-ORACLES = {"op4_line_dedup": LINES, "op3_source_mix": MIX, "op5_exact_dedup": EXACT, "op9_pii": _pii(), "op10_warc": WARC}
+FIM = """
+with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as u from d),
+k as (select *, len(u) as n, list_transform([0, 1, 2, 3], lambda i: cast('0x' || substr(h, 8 * i + 1, 8) as bigint)) as hs from u),
+c as (select *, least(hs[1] % (n + 1), hs[2] % (n + 1)) as a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) as b,
+  case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or hs[3] % 100 >= 90 then 'plain' when hs[4] % 100 < 20 then 'spm' else 'psm' end as form from k),
+p as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(text) as restored_sha256 from p
+"""
+
+ORACLES = {"op4_line_dedup": LINES, "op3_source_mix": MIX, "op5_exact_dedup": EXACT, "op9_pii": _pii(), "op10_warc": WARC, "op11_fill_middle": FIM}

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, pii, quality, simhash, substring_dedup, warc
+from . import byte_bpe, decontaminate, exact_dedup, fill_middle, importance, language_id, line_dedup, mixing, pii, quality, simhash, substring_dedup, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -18,6 +18,12 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": lambda spark, sf_dir: quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op2_substring_dedup": _docs(substring_dedup.substring_digest),
@@ -29,6 +35,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": lambda spark, sf_dir: decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_pii": _docs(pii.pii_digest),
     "op10_warc": _warc,
+    "op11_fill_middle": _docs(fill_middle.fim_digest),
+    "op12_byte_bpe": _bpe,
+    "op13_importance": lambda spark, sf_dir: importance.resampling_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 

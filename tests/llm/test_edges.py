@@ -1,13 +1,14 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseforge.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, pii, quality, simhash, substring_dedup, warc
+from pulseforge.llm import decontaminate, exact_dedup, fill_middle, importance, language_id, line_dedup, mixing, pii, quality, queries, simhash, substring_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["digest", "h", "range", "size", "fp", "kept", "keep_id", "to", "doc", "spans", "score", "held_out", "found", "label", "ids", "words", "rank", "host", "path", "batch", "shard", "copy", "s", "e"]
+CLASH = ["digest", "h", "range", "size", "fp", "kept", "keep_id", "to", "doc", "spans", "score", "held_out", "found", "label", "ids", "words", "rank", "host", "path", "batch", "shard", "copy", "s", "e", "n", "form", "frames", "units", "chars", "marked", "output", "key", "bytes", "weight", "t", "n_words", "n_features", "buckets"]
 LONG = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. " * 20000
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog and runs away from it.", "en", "a", 1),
@@ -45,6 +46,9 @@ OPS = {
     "simhash": lambda d, b, lab: simhash.simhash_digest(d),
     "decontaminate": lambda d, b, lab: decontaminate.decontamination_report(d, b),
     "pii": lambda d, b, lab: pii.pii_digest(d),
+    "fim": lambda d, b, lab: fill_middle.fim_digest(d),
+    "bpe": lambda d, b, lab: queries.byte_bpe.bpe_digest(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    "importance": lambda d, b, lab: importance.resampling_digest(d, b),
     "mask": lambda d, b, lab: pii.mask_pii(d),
 }
 
