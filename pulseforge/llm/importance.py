@@ -1,15 +1,15 @@
 """Importance resampling toward a target distribution over hashed n-grams, with n-grams' CRCs taken from prefix CRCs.
 
-A document is normalised once: A-Z lower-cased, words (letters a-z, digits, anything beyond ASCII) joined by one blank. One scan keeps
-the running CRC-32 at the start and the end of each word. CRC-32 is linear over GF(2): appending n bytes to a prefix shifts
+A document is normalised: A-Z lower-cased, words (letters a-z, digits, anything beyond ASCII) joined by one blank. One scan keeps
+the running CRC-32 at the start of each word; at its end it is that of the next start taken back by the blank's byte. CRC-32 is linear over GF(2): appending n bytes to a prefix shifts
 its state by n bytes, whatever they are, so the CRC of a substring is the CRC of the prefix that ends with it, xor the shifted
 CRC of the prefix before it. The shift by n bytes is multiplication by x^(8n) modulo the polynomial, a table of four
 times 256 words for each n below SHORT, and longer shifts are put together from those by powers of two. All n-grams
 of 1 to MAX_WORDS words so cost two look-ups each, and no n-gram is ever built.
 
-Buckets of a document's features (CRC modulo BUCKETS) are written once beside its id and read by both passes: counts by bucket, of which
-each task hands on one row for each bucket, and weights, the sum of the buckets' gains. What comes to the driver and is broadcast are
-gains, BUCKETS numbers whatever the corpus holds. Gumbel noise keyed by the id makes the highest scores a draw without replacement in
+Two passes over the texts take a document's buckets (CRC modulo BUCKETS): one counts by bucket, and each task hands on one row for each
+bucket; the other sums the buckets' gains. Nothing of a text's size is written or shuffled. What comes to the driver and is broadcast
+are gains, BUCKETS numbers whatever the corpus holds. Gumbel noise keyed by the id makes the highest scores a draw without replacement in
 proportion to the exponential of the weight; ranks are dealt by range partitions of slim rows, not by one task.
 
 Defined results
@@ -34,7 +34,7 @@ from ..operators.ranking import global_rank
 from .common import durable
 
 BUCKETS, MAX_WORDS, LEAST_WORDS, SHARE, SEED = 10_000, 3, 20, 5, 42
-SHORT, PIECE, BATCH_BYTES = 256, 1 << 16, 1 << 24
+SHORT, PIECE = 256, 1 << 16
 #: Fixed value: the CRC-32 polynomial, bits reflected.
 _POLY = np.uint32(0xEDB88320)
 #: Bytes as words see them: A-Z lower-cased, other ASCII but letters and digits a blank.
@@ -61,13 +61,13 @@ class Shift:
     """CRC states shifted by any number of zero bytes."""
 
     def __init__(self) -> None:
-        step = _byte_steps()
+        step = _STEPS
         state = np.array([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
         tables = [state]
         for _ in range(SHORT - 1):
             state = step[state & np.uint32(255)] ^ (state >> np.uint32(8))
             tables.append(state)
-        self.short = np.stack(tables, axis=1)  # by byte of the state, shift, value
+        self.short = [t.ravel() for t in np.stack(tables, axis=1)]  # for each byte of the state, by shift and value
         self.powers = [step[state & np.uint32(255)] ^ (state >> np.uint32(8))]  # by SHORT bytes, then twice as many each
 
     def _power(self, k: int) -> np.ndarray:
@@ -76,11 +76,11 @@ class Shift:
         return self.powers[k]
 
     def __call__(self, crc: np.ndarray, by: np.ndarray) -> np.ndarray:
-        low = by & (SHORT - 1)
-        out = self.short[0][low, crc & np.uint32(255)]
+        low = (by & (SHORT - 1)) << 8
+        out = self.short[0].take(low | (crc & np.uint32(255)))
         for k in range(1, 4):
-            out ^= self.short[k][low, crc >> np.uint32(8 * k) & np.uint32(255)]
-        high, k = by // SHORT, 0
+            out ^= self.short[k].take(low | (crc >> np.uint32(8 * k) & np.uint32(255)))
+        high, k = by >> SHORT.bit_length() - 1, 0
         while high.any():
             if len(at := np.flatnonzero(high & 1)):
                 out[at] = _apply(self._power(k), out[at])
@@ -88,6 +88,18 @@ class Shift:
         return out
 
 
+#: A byte's step by the highest byte of what it makes, which no two share.
+_STEPS = _byte_steps()
+_BACK = np.argsort(_STEPS >> np.uint32(24)).astype(np.uint32)
+
+
+def before_blank(crc: np.ndarray) -> np.ndarray:
+    """The CRCs of texts without their last byte, which is a blank, from those of the texts."""
+    state = ~crc
+    step = _BACK[state >> np.uint32(24)]
+    return ~((state ^ _STEPS[step]) << np.uint32(8) | step ^ np.uint32(32))
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
@@ -97,10 +109,11 @@ def ngram_crcs(words: list[bytes], shift: Shift, most: int = MAX_WORDS) -> Itera
     for k in range(0, len(words), PIECE):
         some = words[k : k + PIECE + most - 1]  # runs that begin in this piece may end in the next
         n = min(PIECE, len(words) - k)
-        # the CRC after each word and the blank behind it, and where that is
-        starts = np.fromiter(accumulate(some, lambda crc, word: crc32(b" ", crc32(word, crc)), initial=0), dtype=np.uint32, count=len(some) + 1)
-        places = np.fromiter(accumulate(map(len, some), lambda at, size: at + size + 1, initial=0), dtype=np.int64, count=len(some) + 1)
-        ends = np.fromiter(map(crc32, some, starts[:-1].tolist()), dtype=np.uint32, count=len(some))
+        # the CRC up to each word's start, and after the last, and where that is
+        spaced = [word + b" " for word in some]
+        starts = np.fromiter(accumulate(spaced, lambda crc, word: crc32(word, crc), initial=0), dtype=np.uint32, count=len(some) + 1)
+        places = np.concatenate([[0], np.fromiter(map(len, spaced), dtype=np.int64, count=len(some)).cumsum()])
+        ends = before_blank(starts[1:])
         for m in range(1, most + 1):
             count = min(n, len(some) - m + 1)
             if count > 0:
@@ -108,50 +121,20 @@ def ngram_crcs(words: list[bytes], shift: Shift, most: int = MAX_WORDS) -> Itera
                 yield ends[m - 1 : m - 1 + count] ^ shift(starts[:count], by)
 
 
-def _width(buckets: int) -> str:
-    return "<u2" if buckets <= 1 << 16 else "<u4"
-
-
-def features(texts: DataFrame, carried: list[str], buckets: int = BUCKETS, most: int = MAX_WORDS) -> DataFrame:
-    """texts (the carried columns, text) -> those with n_words, n_features and buckets (packed little-endian); written once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = Shift()
-        names = [*carried, "n_words", "n_features", "buckets"]
-        for b in batches:
-            start, found, size = 0, [], 0
-
-            def taken(end: int) -> pa.RecordBatch:
-                columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-                return pa.RecordBatch.from_arrays([*[c.slice(start, end - start) for c in b.columns[:-1]], *columns], names)
-
-            for i, text in enumerate(b.column(len(carried))):
-                words = words_of(text.as_py())
-                packed = b"".join((crc % np.uint32(buckets)).astype(_width(buckets)).tobytes() for crc in ngram_crcs(words, shift, most))
-                found.append((len(words), len(packed) // np.dtype(_width(buckets)).itemsize, packed))
-                size += len(packed)
-                if size > BATCH_BYTES:
-                    yield taken(i + 1)
-                    start, found, size = i + 1, [], 0
-            yield taken(b.num_rows)
-
-    rows = texts.select(*carried, F.col("text").cast("string").alias("__text"))
-    schema = texts.select(*carried).schema.add("n_words", "long").add("n_features", "long").add("buckets", "binary")
-    return durable(rows.mapInArrow(run, schema), "features")
-
-
-def bucket_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """features' rows -> bucket, n: how many features fall there. A task hands on a row for each bucket that it has met."""
+def bucket_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS, most: int = MAX_WORDS) -> DataFrame:
+    """bucket, n: how many features of the texts fall there. A task hands on a row for each bucket that it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, dtype=np.int64)
+        shift, total = Shift(), np.zeros(buckets, dtype=np.int64)
         for b in batches:
-            for packed in b.column(0):
-                total += np.bincount(np.frombuffer(packed.as_buffer(), dtype=_width(buckets)), minlength=buckets)
+            for text in b.column(0):
+                for crc in ngram_crcs(words_of(text.as_py()), shift, most):
+                    total += np.bincount(crc % np.uint32(buckets), minlength=buckets)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["bucket", "n"])
 
-    return rows.select("buckets").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = texts.select(F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -166,15 +149,24 @@ def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> D
     return both.crossJoin(F.broadcast(sums)).select("bucket", F.floor(1000 * F.ln(ratio)).alias("gain"))  # by one row
 
 
-def weigh(rows: DataFrame, carried: list[str], gains: Broadcast, buckets: int = BUCKETS) -> DataFrame:
-    """features' rows -> the carried columns with weight, the sum of the gains of a row's features."""
+def weigh(texts: DataFrame, carried: list[str], gains: Broadcast, buckets: int = BUCKETS, most: int = MAX_WORDS) -> DataFrame:
+    """texts (the carried columns, text) -> the carried columns with n_words, n_features and weight, the sum of the features' gains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = Shift()
         for b in batches:
-            of = [int(gains.value[np.frombuffer(x.as_buffer(), dtype=_width(buckets))].sum()) for x in b.column(len(carried))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(of, pa.int64())], [*carried, "weight"])
+            found = []
+            for text in b.column(len(carried)):
+                words, n, weight = words_of(text.as_py()), 0, 0
+                for crc in ngram_crcs(words, shift, most):
+                    n += len(crc)
+                    weight += int(gains.value[crc % np.uint32(buckets)].sum())
+                found.append((len(words), n, weight))
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*carried, "n_words", "n_features", "weight"])
 
-    return rows.select(*carried, "buckets").mapInArrow(run, rows.select(*carried).schema.add("weight", "long"))
+    rows = texts.select(*carried, F.col("text").cast("string").alias("__text"))
+    return rows.mapInArrow(run, texts.select(*carried).schema.add("n_words", "long").add("n_features", "long").add("weight", "long"))
 
 
 def noise(seed: int, key: Column) -> Column:
@@ -188,12 +180,10 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words
     """doc_id, n_words, n_features, weight, score, rank of every document; `share` in a hundred of those long enough have a rank."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    rows = features(texts, ["doc_id", "t"], buckets)
-    wanted = features(target.select(F.col(target_text).alias("text")), [], buckets)
-    found = bucket_gains(bucket_counts(rows, buckets), bucket_counts(wanted, buckets), buckets).collect()  # a row for each bucket
+    found = bucket_gains(bucket_counts(texts, "text", buckets), bucket_counts(target, target_text, buckets), buckets).collect()  # a row for each bucket
     gains = np.zeros(buckets, dtype=np.int64)
     gains[[r.bucket for r in found]] = [r.gain for r in found]
-    scored = weigh(rows, ["doc_id", "t", "n_words", "n_features"], spark.sparkContext.broadcast(gains), buckets)
+    scored = weigh(texts, ["doc_id", "t"], spark.sparkContext.broadcast(gains), buckets)
     scored = scored.withColumn("score", F.col("weight") + noise(seed, F.col("doc_id")))
     long_enough = F.col("n_words") >= least_words
     order = scored.withColumns({"__in": long_enough, "__low": -F.col("score"), "__no_id": F.col("doc_id").isNull()})
