@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, durable, free_name
 
 BITS, SKIP, RANK, EXTRA, BLOCK, SLICE, SEED = 14, 8, 32, 8, 64, 256, 11
 #: Windows as (words, step), both in whole UNITs.
@@ -56,6 +56,17 @@ _POWERS[0] = 1
 _POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 
 
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """One word's polynomial, raised like all others: the sums of its pieces, each raised by the length of those before."""
+    most = len(_POWERS) - 1
+    total, raised = np.zeros(1, dtype=np.uint64), _POWERS[most:].copy()
+    for k in range(0, len(data), most):
+        piece = data[k : k + most].astype(np.uint64) + np.uint64(1)
+        total += raised * (piece * _POWERS[: len(piece)]).sum(dtype=np.uint64)
+        raised = raised * _POWERS[most:]
+    return total
+
+
 def word_ids(texts: list[str | None], start: int | None = None) -> list[np.ndarray]:
     """uint64 hashes of each text's words, or of their first `start` bytes, in order: a polynomial hash, found for all words of a piece at once."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -71,6 +82,8 @@ def word_ids(texts: list[str | None], start: int | None = None) -> list[np.ndarr
         s, e = starts[k:last] - lo, np.minimum(ends[k:last], hi) - lo
         e = e if start is None else np.minimum(e, s + start)
         h = (sums[e] - sums[s]) * _POWERS[most - s]  # every word's sum raised to the same power
+        if hi < ends[k] and start is None:  # one word longer than a piece
+            h = _long_word(data[starts[k] : ends[k]])
         h ^= h >> np.uint64(29)
         out[k:last] = h * np.uint64(0xBF58476D1CE4E5B9)
         k = last
@@ -431,5 +444,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all columns, that hold no benchmark item. Each row's own text decides, whatever its doc_id."""
     hits = durable(item_hits(_texts(docs), benchmark).select(F.struct("doc_id", "t").alias("__hit")), "contaminated")
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-    marked = docs.withColumn("__key", key)
-    return marked.join(hits, marked["__key"] == hits["__hit"], "left_anti").drop("__key")
+    name = free_name(docs, "__key")
+    marked = docs.withColumn(name, key)
+    return marked.join(hits, marked[name] == hits["__hit"], "left_anti").drop(name)

@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, keep_rows, new_path
+from .common import ascii_lower, durable, free_name, keep_rows, new_path
 
 
 class DigestIndex:
@@ -121,7 +121,8 @@ def exact_digest(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; repeated rows come back once."""
-    kept = exact_digest(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("__digest"))
+    digest = free_name(docs, "__digest")
+    kept = exact_digest(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias(digest))
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(text), 256)))
-    return keep_rows(marked, kept, ["doc_id", "__digest"], once_by=[]).drop("__digest")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(ascii_lower(text), 256)))
+    return keep_rows(marked, kept, ["doc_id", digest], once_by=[]).drop(digest)

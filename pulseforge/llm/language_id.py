@@ -15,7 +15,7 @@ Defined results
 - Only text is an input of a prediction; a null doc_id counts as the empty text for the fold.
 - Rows without lang or text are never learned from; equal rows are learned from once and each returned. Rows of one doc_id are told
   apart by their text.
-- Very long texts are read in pieces whose presence bits are joined. Other columns may have any name.
+- Very long texts are read in pieces whose presence bits are joined. Other columns may have any name. An empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows
+from .common import free_name, keep_rows
 
 BITS, SPECTRUM, PIECE = 14, (1, 2, 3), 1 << 20
 LEARN_PER_LANG, LANDMARKS_PER_LANG, MAX_LEARN, MAX_LANDMARKS, MAX_LANGS, CHUNK, RIDGE = 400, 64, 8000, 1024, 1000, 512, 0.1
@@ -136,16 +136,16 @@ def learn(docs: DataFrame, use=None) -> LanguageModel:
     return fit(packed, [k[1] for k in order], landmark)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns named in keep, with lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in keep, with the predicted language and its score, under `names`, which keep must not have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = model.score(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            langs, scores = model.score(b.column(b.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
+    return docs.select(*keep, F.col("text").cast("string").alias(free_name(docs, "__text"))).mapInArrow(run, schema)
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
@@ -155,5 +155,6 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
     """Documents whose text is of a learned language with at least LEAST_SCORE."""
-    found = predict(docs, learn(docs), docs.columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    names = free_name(docs, "__lang_pred"), free_name(docs, "__score")
+    found = predict(docs, learn(docs), docs.columns, names)
+    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).drop(*names)

@@ -1,7 +1,10 @@
 r"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Everything is a built-in column expression. `regexp_extract_all` gives the matches of a kind and `split` by
-the same pattern gives the text between them, so the running sum of both lengths is each match's offset.
+the same pattern gives the text between them, so the running sum of both lengths is each match's offset. The sums run
+over blocks of about the root of the number of matches, first of the blocks and then within each: a fold that appends to an
+array copies it, and so copies n times the root of n elements in all. Characters near a span are looked up in pieces of the text,
+cut in two steps, since finding a place in a string reads it from its start.
 
 The base kinds are email, ip, card and phone. Added kinds are iban (in one piece or in groups of four, confirmed by the
 mod-97 rule), ssn and secret (a long hexadecimal string); the last two have no checksum, so they need a context word.
@@ -11,7 +14,8 @@ start in the middle of a run only where the previous match ended, as a plain lef
 
 Defined results
 - Null text counts as empty: no spans, and base_sha256 is that of the empty string.
-- Repeated rows are each returned. Offsets are code points, end exclusive.
+- Repeated rows and null ids are each returned; an empty table gives an empty result. Offsets are code points, end exclusive.
+- Very long texts are read whole; the time for a text of n characters and matches grows with n times the root of n.
 - Only the id and text columns are read, so other columns may have any name.
 """
 
@@ -43,6 +47,8 @@ CONTEXT = {
     "secret": "token|secret|key|password|auth",
 }
 CONTEXT_GAIN, CONTEXT_CHARS, LEAST_SCORE = 0.3, 40, 0.45
+#: Characters of a text's pieces, and of the stretches they are cut from; matches up to which one fold is enough.
+PIECE, STRETCH, FEW = 1 << 11, 1 << 18, 64
 
 
 def _digits(m: Column) -> Column:
@@ -80,12 +86,27 @@ def _octets(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), fits)
 
 
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters, cut from stretches of STRETCH: an array, empty for an empty text."""
+    cut = lambda t, n: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / n).cast("int")), lambda k: F.substring(t, k * n + 1, F.lit(n)))
+    stretched = F.flatten(F.transform(cut(text, STRETCH), lambda t: cut(t, PIECE)))
+    return F.when(F.length(text) > STRETCH, stretched).when(F.length(text) > PIECE, cut(text, PIECE)).otherwise(F.array(text))
+
+
+def _part(pieces: Column, start: Column, n: Column | int) -> Column:
+    """n characters, PIECE at most, from start, or as many as there are."""
+    k = F.floor(start / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+    return F.substring(two, start % PIECE + 1, F.lit(n) if isinstance(n, int) else n)
+
+
 def _alone(text: Column, s: Column, e: Column) -> Column:
-    before = F.when(s > 0, F.substring(text, s, F.lit(1))).otherwise("")
-    return ~F.concat(before, F.lit(" "), F.substring(text, e + 1, F.lit(1))).rlike("[A-Za-z0-9]")
+    before = F.when(s > 0, _part(text, s - 1, 1)).otherwise("")
+    return ~F.concat(before, F.lit(" "), _part(text, e, 1)).rlike("[A-Za-z0-9]")
 
 
 def _confirmed(kind: str, text: Column, x: Column) -> Column:
+    """text: in pieces."""
     m = x["m"]
     if kind == "ip":
         return _octets(m)
@@ -100,23 +121,31 @@ def _confirmed(kind: str, text: Column, x: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column, between: Column, matches: Column) -> Column:
+def _spans(between: Column, matches: Column) -> Column:
     """array<struct<s, e, m>> of all matches of the kind."""
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
 
     def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
+        s = acc["at"] + x["g"]
+        e = s + x["n"]
         return F.struct(e.alias("at"), F.concat(acc["o"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("o"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("o")), step, lambda acc: acc["o"])
-    return F.when(F.size(matches) > 0, found).otherwise(none)
+    def fold(some: Column, start: Column) -> Column:
+        return F.aggregate(some, F.struct(start.alias("at"), none.alias("o")), step, lambda acc: acc["o"])
+
+    wide = F.ceil(F.sqrt(F.size(matches))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / wide).cast("int")), lambda k: F.slice(pairs, k * wide + 1, wide))
+    total = lambda some: F.aggregate(some, F.lit(0), lambda n, x: n + x["g"] + x["n"])
+    begin = lambda acc, some: F.struct((acc["at"] + total(some)).alias("at"), F.concat(acc["o"], F.array(acc["at"])).alias("o"))
+    starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o")), begin, lambda acc: acc["o"])
+    found = F.flatten(F.zip_with(blocks, starts, fold))
+    return F.when(F.size(matches) > FEW, found).when(F.size(matches) > 0, fold(pairs, F.lit(0))).otherwise(none)
 
 
 def _score(kind: str, text: Column, s: Column, e: Column) -> Column:
     first = F.greatest(s - CONTEXT_CHARS, F.lit(0))
-    around = F.concat(F.substring(text, first + 1, s - first), F.lit("\n"), F.substring(text, e + 1, F.lit(CONTEXT_CHARS)))
+    around = F.concat(_part(text, first, s - first), F.lit("\n"), _part(text, e, CONTEXT_CHARS))
     near = F.lower(around).rlike(CONTEXT[kind])
     return F.least(F.lit(SCORES[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0.0), F.lit(1.0))
 
@@ -134,11 +163,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     out = out.select("*", *[matches(k).alias(f"m_{k}") for k in PATTERNS])
     out = out.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(text, PATTERNS[k], -1)).alias(f"p_{k}") for k in PATTERNS])
-    out = out.select("doc_id", "text", *[_spans(k, text, F.col(f"p_{k}"), F.col(f"m_{k}")).alias(f"s_{k}") for k in PATTERNS])
+    out = out.select("doc_id", "text", _pieces(text).alias("pieces"), *[_spans(F.col(f"p_{k}"), F.col(f"m_{k}")).alias(f"s_{k}") for k in PATTERNS])
+    pieces = F.col("pieces")
 
     def kept(kind: str) -> Column:
-        good = F.filter(F.col(f"s_{kind}"), lambda x: _confirmed(kind, text, x))
-        scored = F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _score(kind, text, x["s"], x["e"]).alias("score")))
+        good = F.filter(F.col(f"s_{kind}"), lambda x: _confirmed(kind, pieces, x))
+        scored = F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _score(kind, pieces, x["s"], x["e"]).alias("score")))
         return scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST_SCORE)
 
     out = out.select(*carried, *[kept(k).alias(f"k_{k}") for k in PATTERNS])

@@ -11,12 +11,15 @@ fingerprints than a tree may hold is dealt into several trees, each searched by
 a task's group stays bounded and no link is lost. A search reports one link for each set that a tree's own links
 already join, never all pairs. Components of the links are found by rounds over written tables.
 
-Texts of similarity 0.8 differ in about ten bits, up to WIDE_RADIUS, at which no choice of blocks keys a useful table. Their
-tables are keyed by BANDS groups of ROWS minima of the shingles' hashes instead, of which a pair of similarity 0.8 shares one but
-for 3 in 100,000. What a tree finds within WIDE_RADIUS is confirmed by the exact Jaccard similarity in the task itself, where
-the texts' shingles are at hand, unless the two are joined already. A first round in FIRST of the tables, share by share,
-joins most copies; the second takes the keys of all tables that still hold texts of different components, every share
-of a key with every other one, so no candidate is left out.
+For similar texts the fingerprint is the majority over the distinct shingles, as the similarity is of sets: a text with one word
+repeated many times after it is still near the text. The two majorities of a pair of similarity 0.8 are decided by shared
+shingles but for a fifth, so a bit differs with a probability of 0.15, or at most 0.19 in sets of five: ten to twelve bits
+on average, and more than WIDE_RADIUS in two pairs of a million at worst. At such a distance no choice of blocks keys a useful
+table. The tables are keyed by BANDS groups of ROWS minima of the shingles' hashes instead, of which a pair of similarity 0.8
+shares one but for 3 in 100,000. What a tree finds within WIDE_RADIUS is confirmed by the exact Jaccard similarity in the
+task itself, where the texts' shingles are at hand, unless the two are joined already. A first round in FIRST of the tables,
+share by share, joins most copies; the second takes the keys of all tables that still hold texts of different components,
+every share of a key with every other one. So a link is missed only by these two chances, however many texts there are.
 
 Defined results
 - Null text counts as empty; no words give fingerprint zero, which links like any other.
@@ -36,14 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable
+from .common import discard, durable, free_name
 from .graph import connected_components
 
 SHINGLE, SEED, RADIUS, BLOCKS, TREE_NODES = 3, 42, 2, 4, 2048
 #: For similar texts: shingle, similarity, tables, minima in a key, tables of the first round.
 WIDE_SHINGLE, LEAST, BANDS, ROWS, FIRST = 5, 0.8, 20, 4, 2
-#: 5 standard deviations above the mean distance of texts of similarity LEAST; most texts and shingles in a share.
-WIDE_RADIUS, SHARE, SHARE_SHINGLES = 26, 1024, 1 << 21
+#: Widest distance at which a tree's finds are compared (see above); most texts and shingles in a share.
+WIDE_RADIUS, SHARE, SHARE_SHINGLES = 28, 1024, 1 << 21
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -244,12 +247,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """texts (node, text) -> node, fp, of (the distinct shingles' hashes, sorted)."""
+    """texts (node, text) -> node, fp (the majority over the distinct shingles), of (their hashes, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_hashes(t.as_py(), WIDE_SHINGLE)[1] for t in b.column(1)]
-            fps, sets = [_signed(majority(x)) for x in found], [np.unique(x).tobytes() for x in found]
+            found = [np.unique(x) for x in found]
+            fps, sets = [_signed(majority(x)) for x in found], [x.tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["node", "fp", "of"])
 
     return texts.mapInArrow(run, "node long, fp long, of binary")
@@ -341,5 +345,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     nodes, labels = similar_texts(slim)
     named = durable(nodes.select(F.col("node").alias("n"), "least").join(labels, F.col("n") == labels["node"], "left").select("least", F.coalesce("label", "n").alias("label")), "named_nodes")
     kept = durable(named.groupBy("label").agg(F.min("least").alias("least")).select(F.struct("least.doc_id", "least.t").alias("__kept")), "kept_rows")
-    marked = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")))
-    return marked.join(kept, marked["__key"] == kept["__kept"], "left_semi").dropDuplicates(["__key"]).drop("__key")
+    key = free_name(docs, "__key")
+    marked = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")))
+    return marked.join(kept, marked[key] == kept["__kept"], "left_semi").dropDuplicates([key]).drop(key)

@@ -171,3 +171,18 @@ def test_blocks_leave_one_searcher_in_a_stage(spark):
     items = spark.createDataFrame([(k, " ".join(prose(rng, 20))) for k in range(40)], "item_id long, text string")
     plan = decontaminate.find_items(docs, items, item_block=10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 0
+
+
+def test_words_longer_than_a_piece_count_whole():
+    def by_definition(word):
+        total, power = 0, 1
+        for c in word.lower().encode():
+            total, power = (total + (c + 1) * power) & M, power * decontaminate._BASE & M
+        h = total * pow(decontaminate._BASE, 65535, 1 << 64) & M
+        return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & M
+
+    M = (1 << 64) - 1
+    words = ["ab", "a" * 65534, "a" * 65535, "a" * 65536, "a" * 70000, "a" * 70000 + "b" * 500, "Z" * 200001, "end"]
+    (found,) = decontaminate.word_ids([" ".join(words)])
+    assert [int(x) for x in found] == [by_definition(w) for w in words]
+    assert len(set(found.tolist())) == len(words)
