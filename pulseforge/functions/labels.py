@@ -37,21 +37,29 @@ CODES = {
     "17338001": "VPB",
 }
 #: The 27 target classes, in order.
-CLASSES = "AF AFL BBB Brady LBBB RBBB 1dAVb LAD LAnFB LPR LQRSV LQT NSIVCB NSR PAC PR PRWP PVC QAb RAD SA SB ST SVPB TAb TInv VPB".split()
+CLASSES = [
+    "AF", "AFL", "BBB", "Brady", "LBBB", "RBBB", "1dAVb", "LAD", "LAnFB", "LPR", "LQRSV", "LQT", "NSIVCB", "NSR",
+    "PAC", "PR", "PRWP", "PVC", "QAb", "RAD", "SA", "SB", "ST", "SVPB", "TAb", "TInv", "VPB",
+]
 #: Classes that merge or rename what the codes name.
 MERGED = {"1dAVb": ["IAVB"], "ST": ["STach"], "RBBB": ["RBBB", "CRBBB", "IRBBB"], "LBBB": ["LBBB", "CLBBB"]}
 
 
+def strip(text: Column) -> Column:
+    """text without blanks, tabs and line ends at either side."""
+    return F.regexp_replace(text, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
+
+
 def normalize_id(df: DataFrame, name: str) -> Column:
     """Bytes are decoded as they are; any other value becomes a trimmed string."""
     kind = df.schema[name].dataType.typeName()
-    return F.decode(F.col(name), "UTF-8") if kind == "binary" else F.trim(F.col(name).cast("string"))
+    return F.decode(F.col(name), "UTF-8") if kind == "binary" else strip(F.col(name).cast("string"))
 
 
 def derive_labels(codes: Column) -> Column:
     """array<string> of codes -> array<boolean> in CLASSES order. Unknown codes mean nothing; SB rules out Brady."""
     known = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
-    names = F.transform(F.coalesce(codes, F.array().cast("array<string>")), lambda c: F.element_at(known, F.trim(c)))
+    names = F.transform(F.coalesce(codes, F.array().cast("array<string>")), lambda c: F.element_at(known, strip(c)))
     names = F.array_compact(names)
 
     def label(c: str) -> Column:
@@ -73,7 +81,7 @@ def conform_labels(df: DataFrame, classes: list[str]) -> DataFrame:
 
 def parse_true(value: Column) -> Column:
     """1 for the text true in any case, 0 for all else, null included."""
-    return F.when(F.lower(F.trim(value.cast("string"))) == "true", 1).otherwise(0)
+    return F.when(F.lower(strip(value.cast("string"))) == "true", 1).otherwise(0)
 
 
 def rename_normal(df: DataFrame, collection: str = "collection") -> DataFrame:

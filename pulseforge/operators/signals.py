@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructType
 
@@ -21,8 +21,8 @@ from ..shared import durable
 BROADCAST_SOURCES, BATCH_BYTES = 100_000, 1 << 26
 
 
-def matrices(column: pa.ListArray) -> Iterator[np.ndarray]:
-    """Leads by samples of each row, float64; of a null row none. The leads of an exam must be of one length."""
+def matrices(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """Leads by samples of each row, float64; of a null row none. None stands for an exam whose leads are not of one length."""
     leads = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
     inner = column.flatten()
     sizes = pc.fill_null(pc.list_value_length(inner), 0).to_numpy()
@@ -31,22 +31,26 @@ def matrices(column: pa.ListArray) -> Iterator[np.ndarray]:
     for n in leads:
         of = sizes[k : k + n]
         wide = int(of[0]) if n else 0
-        if (of != wide).any():
-            raise ValueError("leads of different lengths")
-        yield flat[at : at + n * wide].reshape(n, wide).astype(np.float64)
-        at, k = at + int(n) * wide, k + n
+        size = int(of.sum())
+        yield flat[at : at + size].reshape(n, wide).astype(np.float64) if (of == wide).all() else None
+        at, k = at + size, k + n
 
 
-def list_column(found: list[np.ndarray], kind: str = "float") -> pa.ListArray:
-    """array<array<kind>> of matrices."""
+def list_column(rows: list[np.ndarray | None], kind: str = "float") -> pa.ListArray:
+    """array<array<kind>> of matrices; None is null."""
+    found = [x for x in rows if x is not None]
     flat = np.concatenate([np.zeros(0), *[x.ravel() for x in found]]).astype(np.float32 if kind == "float" else np.float64)
     inner = np.concatenate([[0], *[np.full(len(x), x.shape[1]) for x in found]]).cumsum()
-    outer = np.concatenate([[0], [len(x) for x in found]]).cumsum()
-    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat)))
+    outer = np.concatenate([[0], [0 if x is None else len(x) for x in rows]]).cumsum()
+    absent = np.array([*[x is None for x in rows], False])
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32(), mask=absent if absent.any() else None), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat)))
 
 
 def map_exams(df: DataFrame, carried: list[str], f: Callable[..., list[tuple]], added: str, args: list[str] | None = None, kind: str = "float", name: str = "tracing") -> DataFrame:
-    """Rows for what f(matrix, *args) gives: tuples of the added int columns and a matrix, which becomes column `name`."""
+    """Rows for what f(matrix, *args) gives: tuples of the added int columns and a matrix, which becomes column `name`.
+
+    An exam whose leads are of different lengths gives no row; reject_reason names it.
+    """
     extra, args = [x.split()[0] for x in added.split(", ")] if added else [], args or []
     rows = df.select(*carried, *[F.col(a).alias(f"__{a}") for a in args], F.col("tracing").alias("__tracing"))
     schema = StructType([df.select(*carried).schema[c] for c in carried])
@@ -66,7 +70,7 @@ def map_exams(df: DataFrame, carried: list[str], f: Callable[..., list[tuple]],
                 return pa.RecordBatch.from_arrays([*columns, list_column(found, kind)], [*carried, *extra, name])
 
             for i, (x, v) in enumerate(zip(matrices(b.column(b.num_columns - 1)), values, strict=True)):
-                for *n, y in f(x, *v):
+                for *n, y in f(x, *v) if x is not None else ():
                     of.append(i)
                     numbers.append(n)
                     found.append(y)
@@ -80,7 +84,7 @@ def map_exams(df: DataFrame, carried: list[str], f: Callable[..., list[tuple]],
 
 
 def n_samples(tracing: str = "tracing") -> Column:
-    return F.size(F.element_at(F.col(tracing), 1))
+    return F.size(F.get(F.col(tracing), F.lit(0)))
 
 
 def with_source_width(df: DataFrame) -> DataFrame:
@@ -101,10 +105,47 @@ def to_lead_major(df: DataFrame, col: str = "tracing") -> DataFrame:
     return df.withColumn(col, F.when(F.size(col) > 0, turned).otherwise(F.array().cast("array<array<float>>")))
 
 
-def drop_nan_records(signals: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exams without a NaN sample, and their metadata."""
-    clean = signals.filter(~F.exists("tracing", lambda lead: F.exists(lead, lambda x: F.isnan(x))))
-    return clean, meta.join(clean.select("exam_id"), "exam_id", "left_semi")
+#: Why an exam is not as it should be, in the order in which reasons are looked for. All but the last drop the exam.
+REASONS = ("undecodable", "missing", "ragged", "nan", "no_rate")
+
+
+def mark_rejects(df: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """df with `why`, one of REASONS or null: a reader's own reason, no tracing, leads of different lengths, a NaN sample, or in
+    collection D1 no usable rate (such an exam stays, without samples). With `seen` the rows that pass are counted by reason
+    in the pass that reads them; reject_counts has the numbers once that is done.
+    """
+    t, first = F.col("tracing"), F.size(F.get("tracing", F.lit(0)))
+    why = F.when(F.col("reason").isNotNull(), "undecodable") if "reason" in df.columns else F.when(F.lit(False), "")
+    why = why.when(t.isNull(), "missing").when(F.exists(t, lambda x: x.isNull() | (F.size(x) != first)), "ragged")
+    why = why.when(F.exists(t, lambda x: F.exists(x, F.isnan)), "nan")
+    if {"collection", "rate"} <= set(df.columns):
+        rate = F.col("rate").cast("double")
+        why = why.when((F.col("collection") == "D1") & (rate.isNull() | F.isnan(rate) | (rate < 1)), "no_rate")
+    marked = df.withColumn("why", why)
+    counts = [F.count(F.lit(1)).alias("exams"), *[F.count_if(F.col("why") == r).alias(r) for r in REASONS]]
+    return marked.observe(seen, *counts) if seen is not None else marked
+
+
+def kept_records(marked: DataFrame) -> DataFrame:
+    """mark_rejects' rows without those that a reason drops."""
+    return marked.filter(F.col("why").isNull() | (F.col("why") == REASONS[-1])).drop("why")
+
+
+def rejected_records(df: DataFrame) -> DataFrame:
+    """exam_id, source, why, dropped of the exams that have a reason: the side table to what is kept."""
+    return mark_rejects(df).filter("why is not null").select("exam_id", "source", "why", (F.col("why") != REASONS[-1]).alias("dropped"))
+
+
+def reject_counts(seen: Observation) -> dict[str, int]:
+    """How many exams there were, and how many by reason, after the action that the rows went through."""
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def drop_nan_records(signals: DataFrame, meta: DataFrame, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exams without a NaN sample (and with samples, of one length in all leads), and their metadata."""
+    clean = kept_records(mark_rejects(signals, seen))
+    ids = kept_records(mark_rejects(signals)).select("exam_id")  # not counted twice
+    return clean, meta.join(ids, "exam_id", "left_semi")
 
 
 def active_bounds(tracing: str = "tracing", threshold: float = 1e-6) -> tuple[Column, Column]:
@@ -173,12 +214,13 @@ def length_offset(df: DataFrame) -> DataFrame:
     return df.withColumn("start_offset", start).withColumn("length", end - F.col("start_offset"))
 
 
-def normalize_signals(df: DataFrame) -> DataFrame:
-    """NaN exams dropped, then baseline, resampling (D1), z-norm and bounds in one pass over the arrays.
+def normalize_signals(df: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Exams that cannot be used dropped, then baseline, resampling (D1), z-norm and bounds in one pass over the arrays.
 
-    Takes exam_id, source, collection, rate, tracing; gives exam_id, source, length, start_offset, tracing.
+    Takes exam_id, source, collection, rate, tracing; gives exam_id, source, length, start_offset, tracing. `seen` counts the
+    dropped by reason in the same pass, and rejected_records lists them.
     """
-    clean = df.filter(~F.exists("tracing", lambda lead: F.exists(lead, lambda x: F.isnan(x)))).withColumn("rate", F.col("rate").cast("double"))
+    clean = kept_records(mark_rejects(df, seen)).withColumn("rate", F.col("rate").cast("double"))
 
     def f(x, width, rate, collection):
         y, length, start = kernels.normalize(x, int(width or 0), rate, collection)

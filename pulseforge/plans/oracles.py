@@ -38,6 +38,8 @@ auc as (select class_idx, sum(0.5 * dt * (a + b)) as auroc, sum(dt * ppv) as aup
 INV = "inv as (select o_orderkey as exam_id, o_custkey as patient_id, o_orderpriority as source, cast(coalesce(sum(l_quantity), 0) as int) as length from orders o left join lineitem on l_orderkey = o_orderkey group by 1, 2, 3)"
 IDX = "idx as (select o_orderkey as exam_id, 'a' as h5_path_src, o_orderkey * 2 as h5_idx_src from orders where o_orderkey % 7 <> 0 union all select o_orderkey, 'b', o_orderkey * 2 from orders where o_orderkey % 10 = 0)"
 VEC = "vec as (select vec_id, cast(vec_id as varchar) as exam_id, cast(label as varchar) as source, t, case when vec_id % 17 = 0 and t = 5 then 'nan'::double else embedding[t + 1]::float::double end as x from embeddings cross join (select unnest(range(64)) as t))"
+FLAWS = """flaws as (select cast(vec_id as varchar) as exam_id, cast(label as varchar) as source, case when vec_id % 23 = 0 then 'missing' when vec_id % 19 = 0 then 'ragged'
+  when vec_id % 17 = 0 then 'nan' when vec_id % 2 = 0 and vec_id % 13 = 0 then 'no_rate' end as why from embeddings)"""
 LAB = """lab as (select l.doc_id, source, case when quality = 1 then (['True', ' true ', '1'])[l.doc_id % 3 + 1] else 'False' end as quality, case when toxic = 1 then (['True', ' true ', '1'])[l.doc_id % 3 + 1] else 'False' end as toxic,
   coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 2 = 1, false) as odd from labels l join documents d on l.doc_id = d.doc_id)"""
 
@@ -76,8 +78,13 @@ ORACLES |= {
     "S3_read_headers": """select 'E' || c_custkey as exam_id, 'ds' || c_nationkey as dataset, '/data/ds' || c_nationkey || '/g1/E' || c_custkey || '.hea' as path,
       cast(case when c_custkey % 4 = 0 then c_custkey else c_custkey % 500 + 100 end as double) as freq, cast(case when c_custkey % 5 <> 0 then c_custkey % 90 end as double) as age,
       case when c_custkey % 3 <> 0 then c_custkey % 3 = 1 end as is_male, '1,' || c_custkey % 7 as codes from customer""",
-    "S4_read_recordings": """select cast(c_custkey as varchar) as exam_id, (i % 2)::int as lead, (i // 2)::int as t,
-      round((((c_custkey * 31 + i * 97) % 2000 - 1000 - case when i % 2 = 0 then 0.0 else -5.0 end) / case when i % 2 = 0 then 200.0 else 100.0 end)::float::double, 6) as x from customer cross join (select unnest(range(8)) as i)""",
+    "S4_read_recordings": """with c as (select c_custkey as k, c_custkey % 5 as kind from customer),
+      p as (select k, kind, i, i % 2 as lead, ((k * 31 + i * 97) % 2000 - 1000)::double as v from c cross join (select unnest(range(8)) as i) where k % 50 <> 7),
+      y as (select k, lead, i // 2 as t, case when kind = 3 and i = 3 then null when kind = 0 then case when lead = 0 then v / 200 else (v + 5) / 100 end
+        when kind = 1 then case when lead = 0 then (v - 1024) / 200 else v / 1000 end when kind = 2 then case when lead = 0 then v / 200 else (v - 7) / 50 end
+        when kind = 3 then v / 200 else case when lead = 0 then v / 200 else v / 100 end end as x from p)
+      select 'g' || k % 2 as folder, 'E' || k // 2 as exam_id, null::varchar as reason, lead::int as lead, t::int as t, round(x::float::double, 6) as x from y
+      union all select 'g' || k % 2, 'E' || k // 2, 'a sample file is missing', null, null, null from c where k % 50 = 7""",
     "S5_to_lead_major": "select vec_id, (t % 4)::int as lead, (t // 4)::int as t, round(embedding[t + 1]::float::double, 6) as x from embeddings cross join (select unnest(range(64)) as t)",
     "S6_write_normalized": "select cast(user_id % 5 as varchar) as source, count(distinct user_id) as n, count(*)::bigint as samples from events group by 1",
     "S7_split_by_source": "select doc_id, source from documents where source is not null",
@@ -89,6 +96,8 @@ ORACLES |= {
     "P3_conform_labels": "select doc_id, coalesce(trunc(case when doc_id % 5 <> 0 then quality + 0.75 end), 0)::double as quality, coalesce(toxic, 0)::double as toxic, 0.0::double as absent from labels",
     "P4_parse_true": f"with {LAB} select doc_id, (lower(trim(quality)) = 'true')::bigint as quality, (lower(trim(toxic)) = 'true')::bigint as toxic from lab",
     "P5_drop_nan_records": "select cast(vec_id as varchar) as exam_id, cast(label as varchar) as source from embeddings where vec_id % 17 <> 0",
+    "P5_rejected_records": f"with {FLAWS} select exam_id, source, why, why <> 'no_rate' as dropped from flaws where why is not null",
+    "P5_reject_counts": f"with {FLAWS} select 'exams' as what, count(*) as n from flaws union all select w, count(*) filter (where why = w) from flaws cross join (select unnest(['undecodable', 'missing', 'ragged', 'nan', 'no_rate']) as w) group by w",
     "P6_sigmoid_probs": f"select event_id, true as finite, k::int as class_idx, round(1 / (1 + exp(-(((event_id * 7919 + k * 104729) % 1000)::double / 100.0 - 5.0))), 6) as prob from events cross join (select unnest(range({K})) as k)",
     "P7_impute_probs": "select event_id, ([0.0, 1.0, 0.0, 0.25]::double[])[event_id % 4 + 1] as p0, 0.5::double as p1 from events",
     "P8_apply_thresholds": f"with {CELLS}, {DEC} select rec_id, class_idx::int as class_idx, d as decided from dec",

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, scores
@@ -77,18 +77,51 @@ def S3_read_headers(s, d):
     return found.withColumns({"codes": F.array_join("codes", ","), "path": F.regexp_extract("path", "/data/ds.*", 0)})
 
 
+def _hex(v: Column, bits: int) -> Column:
+    """v's lowest bits as lower-endian hexadecimal bytes."""
+    return F.concat(*[F.lpad(F.hex(F.pmod(F.shiftright(v, 8 * i), F.lit(256))), 2, "0") for i in range(bits // 8)])
+
+
+def recording_files(s: SparkSession, d: str) -> DataFrame:
+    """path, content: two exams of each name, in folders g0 and g1, of five kinds by c_custkey % 5: format 16; 16 at an offset, with
+    gain 0 and an ADC zero; 212; 16 with a missing sample; 16 and 61 in a file each. Every 50th names a file that is not there.
+    """
+    c = b.read(s, d, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    c = c.select("k", F.concat(F.lit("E"), F.floor(F.col("k") / 2)).alias("e"), (F.col("k") % 5).alias("kind"))
+    v = lambda i: F.pmod(F.col("k") * 31 + i * 97, F.lit(2000)) - 1000
+    eight = lambda f: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), f), "")
+    plain = eight(lambda i: _hex(v(i), 16))
+    holed = eight(lambda i: F.when(i == 3, F.lit("0080")).otherwise(_hex(v(i), 16)))
+    low = lambda i: F.pmod(v(i), F.lit(4096))
+    pair = lambda i: _hex(low(2 * i) % 256 + (F.floor(low(2 * i) / 256) + F.floor(low(2 * i + 1) / 256) * 16) * 256 + (low(2 * i + 1) % 256) * 65536, 24)
+    twelve = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), pair), "")
+    one = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _hex(v(2 * i), 16)), "")
+    big = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.substring(_hex(v(2 * i + 1), 16), 3, 2), F.substring(_hex(v(2 * i + 1), 16), 1, 2))), "")
+    ending = F.when(F.col("kind") == 1, ".mat").otherwise(".dat")
+    lead = lambda name, said: F.concat(F.col("e"), name, F.lit(f" {said}\n"))
+    of = F.when(F.col("kind") == 0, F.concat(lead(ending, "16 200/mV 16 0 0 0 0 I"), lead(ending, "16 100(-5)/mV 16 0 0 0 0 II")))
+    of = of.when(F.col("kind") == 1, F.concat(lead(ending, "16+24 0/mV 16 1024 0 0 0 I"), lead(ending, "16+24 1000/mV")))
+    of = of.when(F.col("kind") == 2, F.concat(lead(ending, "212 200 11 0 0 0 0 I"), lead(ending, "212 50(7)/mV 11 0 0 0 0 II")))
+    of = of.when(F.col("kind") == 3, F.concat(lead(ending, "16 200/mV"), lead(ending, "16 200/mV")))
+    of = of.otherwise(F.concat(lead(F.lit("_a.dat"), "16 200/mV"), lead(F.lit("_b.dat"), "61 100/mV")))
+    path = lambda end: F.concat(F.lit("set/g"), F.col("k") % 2, F.lit("/"), F.col("e"), end)
+    file = lambda end, content: F.struct(path(end).alias("path"), F.unhex(content).alias("content"))
+    body = F.when(F.col("kind") == 1, F.concat(F.repeat(F.lit("AB"), 24), plain)).when(F.col("kind") == 2, twelve).when(F.col("kind") == 3, holed).otherwise(plain)
+    data = F.when(F.col("k") % 50 == 7, F.array().cast("array<struct<path:string,content:binary>>"))
+    data = data.when(F.col("kind") == 4, F.array(file(F.lit("_a.dat"), one), file(F.lit("_b.dat"), big))).otherwise(F.array(file(ending, body)))
+    head = F.concat(F.lit("\n# a comment\n"), F.col("e"), F.lit(" 2 500 4\n"), of, F.lit("# Age: 1\n"))
+    heads = c.select(path(F.lit(".hea")).alias("path"), F.encode(head, "UTF-8").alias("content"))
+    return heads.union(c.select(F.explode(data).alias("x")).select("x.path", "x.content"))
+
+
 @query
 def S4_read_recordings(s, d):
-    c = b.read(s, d, "customer").select(F.col("c_custkey").alias("k"))
-    v = lambda i: F.pmod(F.col("k") * 31 + i * 97, F.lit(2000)) - 1000
-    two = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
-    word = lambda i: F.concat(two(F.pmod(v(i), F.lit(256))), two(F.floor(F.pmod(v(i), F.lit(65536)) / 256)))
-    content = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), word), ""))
-    head = F.concat(F.col("k"), F.lit(" 2 500 4\n"), F.col("k"), F.lit(".dat 16 200/mV\n"), F.col("k"), F.lit(".dat 16 100(-5)/mV\n# Age: 1\n"))
-    name = lambda end: F.concat(F.lit("set/g"), F.col("k") % 10, F.lit("/"), F.col("k"), F.lit(end)).alias("path")
     root = new_path(s, "recordings")
-    recordings.write_files(c.select(name(".dat"), content.alias("content")).union(c.select(name(".hea"), F.encode(head, "UTF-8"))), root)
-    return samples(recordings.read_recordings(s, root), "exam_id")
+    recordings.write_files(recording_files(s, d), root)
+    found = recordings.read_recordings(s, root)
+    rows = found.select("folder", "exam_id", "reason", F.explode_outer(F.transform("tracing", lambda xs, i: F.struct(i.alias("lead"), xs.alias("xs")))).alias("x"))
+    rows = rows.select("folder", "exam_id", "reason", "x.lead", F.posexplode_outer("x.xs").alias("t", "x"))
+    return rows.withColumn("x", F.round(F.nanvl(F.col("x").cast("double"), F.lit(None).cast("double")), 6))
 
 
 @query
@@ -173,6 +206,26 @@ def P5_drop_nan_records(s, d):
     return signals.drop_nan_records(v, v.select("exam_id", "source"))[1]
 
 
+def _flawed(s, d) -> DataFrame:
+    """The vectors, some with a NaN, some with a shorter lead, some missing, and a rate that some lack."""
+    v = b.vectors(s, d).withColumns({"n": F.col("exam_id").cast("long"), "collection": F.when(F.col("exam_id").cast("long") % 2 == 0, "D1").otherwise("D2")})
+    short = F.transform("tracing", lambda x, i: F.when(i == 2, F.slice(x, 1, 9)).otherwise(x))
+    t = F.when(F.col("n") % 23 != 0, F.when(F.col("n") % 19 == 0, short).otherwise(F.col("tracing")))
+    return v.withColumns({"tracing": t, "rate": F.when(F.col("n") % 13 != 0, 400.0)}).drop("n")
+
+
+@query
+def P5_rejected_records(s, d):
+    return signals.rejected_records(_flawed(s, d))
+
+
+@query
+def P5_reject_counts(s, d):
+    seen = Observation()
+    signals.normalize_signals(_flawed(s, d), seen).write.format("noop").mode("overwrite").save()
+    return s.createDataFrame(list(signals.reject_counts(seen).items()), "what string, n long")
+
+
 @query
 def P6_sigmoid_probs(s, d):
     e = b.read(s, d, "events").select("event_id", F.array(*[((F.col("event_id") * 7919 + k * 104729) % 1000).cast("double") / 100.0 - 5.0 for k in range(b.K)]).alias("logits"))

@@ -1,12 +1,15 @@
 """The folder that driver and executors share, tables written there, and keyed hashes."""
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="spark-pulseforge-")
@@ -29,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI as Spark writes it, and the path in it. For tasks, which have no session."""
+    uri = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?(/.*)?$", path)
+    if uri is None or uri[1] == "file":
+        return fs.LocalFileSystem(), path if uri is None else uri[3]
+    return fs.FileSystem.from_uri(f"{uri[1]}:{uri[2] or ''}{quote(uri[3] or '')}")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _named.append(path)

@@ -1,14 +1,21 @@
-"""Recordings as files: header text, interleaved 16-bit samples, and the partitioned outputs."""
+"""Recordings as files: header text, sample files as a data source, and the partitioned outputs."""
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import waveforms
+from ..functions.labels import strip
 from ..operators.signals import list_column
+from ..shared import file_system
+
+#: Bytes of headers and samples that a task reads, and of decoded samples in a batch.
+PARTITION_BYTES, BATCH_BYTES = 1 << 27, 1 << 25
 
 
 def parse_headers(files: DataFrame) -> DataFrame:
@@ -16,14 +23,14 @@ def parse_headers(files: DataFrame) -> DataFrame:
 
     freq: the first line without # whose third word is a number. Of repeated metadata lines the last counts.
     """
-    lines = F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s))
+    lines = F.transform(F.split("value", r"\r?\n"), strip)
     t = files.select("path", lines.alias("lines"))
     third = F.transform(F.filter("lines", lambda s: ~F.startswith(s, F.lit("#"))), lambda s: F.get(F.split(s, r"\s+"), 2))
     t = t.select("path", "lines", third.alias("third"))
 
     def last(prefix: str) -> Column:
         said = F.filter("lines", lambda s: F.startswith(s, F.lit(prefix)))
-        return F.when(F.size(said) > 0, F.trim(F.get(F.split(F.element_at(said, -1), ":"), 1)))
+        return F.when(F.size(said) > 0, strip(F.get(F.split(F.element_at(said, -1), ":"), 1)))
 
     numeric = F.filter("third", lambda s: s.try_cast("double").isNotNull())
     return t.select(
@@ -33,7 +40,7 @@ def parse_headers(files: DataFrame) -> DataFrame:
         F.get(numeric, F.lit(0)).cast("double").alias("freq"),
         last("# Age:").try_cast("double").alias("age"),
         (F.lower(last("# Sex:")) == "male").alias("is_male"),
-        F.transform(F.split(last("# Dx:"), ","), lambda c: F.trim(c)).alias("codes"),
+        F.transform(F.split(last("# Dx:"), ","), strip).alias("codes"),
     )
 
 
@@ -42,50 +49,125 @@ def read_headers(spark: SparkSession, root: str, pattern: str = "*.hea") -> Data
     return parse_headers(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
-RAW = "exam_id string, tracing array<array<float>>"
-
-
-def decode_recordings(rows: DataFrame) -> DataFrame:
-    """exam_id, content (interleaved little-endian int16), gains, baselines (a number per lead) -> exam_id, tracing by lead."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, gains, baselines = [], b.column(2).to_pylist(), b.column(3).to_pylist()
-            for content, gain, base in zip(b.column(1), gains, baselines, strict=True):
-                x = np.frombuffer(content.as_buffer(), dtype="<i2") if content.is_valid else np.zeros(0, "<i2")
-                leads = len(gain)
-                x = x[: len(x) // leads * leads].reshape(-1, leads).T if leads else np.zeros((0, 0))
-                found.append((x - np.asarray(base, dtype=float)[:, None]) / np.asarray(gain, dtype=float)[:, None])
-            yield pa.RecordBatch.from_arrays([b.column(0), list_column(found)], ["exam_id", "tracing"])
-
-    return rows.select(F.col("exam_id").cast("string").alias("exam_id"), "content", "gains", "baselines").mapInArrow(run, RAW)
-
-
-def lead_scales(files: DataFrame) -> DataFrame:
-    """path, value of headers -> exam_id, gains, baselines, from the lead lines: `file format gain(baseline)/unit ...`."""
-    lines = F.filter(F.split("value", r"\r?\n"), lambda s: ~F.startswith(s, F.lit("#")) & (F.length(F.trim(s)) > 0))
-    third = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda s: F.coalesce(F.get(F.split(F.trim(s), r"\s+"), 2), F.lit("")))
-    gain = lambda s: F.coalesce(F.nullif(F.regexp_extract(s, r"^([0-9.]+)", 1), F.lit("")).try_cast("double"), F.lit(200.0))
-    base = lambda s: F.coalesce(F.nullif(F.regexp_extract(s, r"\((-?[0-9]+)\)", 1), F.lit("")).try_cast("double"), F.lit(0.0))
-    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return files.select(name.alias("exam_id"), F.transform(third, gain).alias("gains"), F.transform(third, base).alias("baselines"))
-
-
-def read_recordings(spark: SparkSession, root: str) -> DataFrame:
-    """exam_id, tracing in physical units for every .dat with a .hea of the same name."""
-    heads = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.hea")
-    heads = lead_scales(heads.select(F.col("_metadata.file_path").alias("path"), "value"))
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.dat").load(root)
-    data = data.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("exam_id"), "content")
-    return decode_recordings(data.join(heads, "exam_id"))
+SCHEMA = "exam_id string, dataset string, folder string, rate double, leads array<string>, tracing array<array<float>>, reason string"
+
+
+@dataclass
+class Stretch(InputPartition):
+    """Headers by name, in folders one after the other: (folder, first, last), however many files those are."""
+
+    parts: list[tuple[str, str, str]]
+
+
+def _files(where: fs.FileSystem, folder: str) -> tuple[dict[str, int], list[str]]:
+    """Sizes of a folder's files by name, and its folders."""
+    found = where.get_file_info(fs.FileSelector(folder))
+    return {x.base_name: x.size or 0 for x in found if x.type == fs.FileType.File}, sorted(x.path for x in found if x.type == fs.FileType.Directory)
+
+
+class RecordingReader(DataSourceReader):
+    """A task reads each of its headers with the sample files that the header names; the plan holds folders and names alone."""
+
+    def __init__(self, root: str, partition_bytes: int, ending: str):
+        self.root, self.partition_bytes, self.ending = root, partition_bytes, ending
+
+    def partitions(self) -> list[Stretch]:
+        """Stretches of about partition_bytes each. One folder's listing is held at a time."""
+        where, top = file_system(self.root)
+        out, parts, size, todo = [], [], 0.0, [top.rstrip("/") or "/"]
+        while todo:
+            folder = todo.pop()
+            files, folders = _files(where, folder)
+            todo += reversed(folders)
+            heads = sorted(x for x in files if x.endswith(self.ending))
+            stems = {x[: -len(self.ending)]: 0 for x in heads}
+            shared = 0  # bytes of files with other names than a header's: an equal part of them for each header
+            for name, n in files.items():
+                stem = name.rsplit(".", 1)[0]
+                if stem in stems:
+                    stems[stem] += n
+                else:
+                    shared += n
+            first = None
+            for k, head in enumerate(heads):
+                first = first or head
+                size += stems[head[: -len(self.ending)]] + shared / len(heads)
+                if size >= self.partition_bytes or k == len(heads) - 1:
+                    parts.append((folder, first, head))
+                    first = None
+                if size >= self.partition_bytes:
+                    out.append(Stretch(parts))
+                    parts, size = [], 0.0
+        return out + [Stretch(parts)] if parts or not out else out
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        where, _ = file_system(self.root)
+        rows, size = [], 0
+        for folder, first, last in partition.parts:
+            for name in sorted(x for x in _files(where, folder)[0] if x.endswith(self.ending) and first <= x <= last):
+                rows.append(self._recording(where, folder, name))
+                size += rows[-1][-2].nbytes if rows[-1][-2] is not None else 0
+                if size > BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        yield _batch(rows)
+
+    def _recording(self, where: fs.FileSystem, folder: str, name: str) -> tuple:
+        rate = leads = tracing = reason = None
+        try:
+            with where.open_input_stream(f"{folder}/{name}") as f:
+                header = waveforms.read_header(f.read().decode("utf-8", "replace"))
+            rate, leads = header.rate, [lead.name for lead in header.leads]
+            files = {}
+            for file in {lead.file for lead in header.leads}:
+                with where.open_input_stream(f"{folder}/{file}") as f:
+                    files[file] = f.read()
+            tracing = waveforms.decode(header, files)
+        except FileNotFoundError:
+            reason = "a sample file is missing"
+        except waveforms.Unreadable as e:
+            reason = str(e)
+        parents = folder.rstrip("/").split("/")
+        return name[: -len(self.ending)], parents[-2] if len(parents) > 1 else "", parents[-1], rate, leads, tracing, reason
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    exam, dataset, folder, rate, leads, tracing, reason = ([r[k] for r in rows] for k in range(7))
+    texts = [pa.array(x, pa.string()) for x in (exam, dataset, folder)]
+    columns = [*texts, pa.array(rate, pa.float64()), pa.array(leads, pa.list_(pa.string())), list_column(tracing), pa.array(reason, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["exam_id", "dataset", "folder", "rate", "leads", "tracing", "reason"])
+
+
+class Recordings(DataSource):
+    """Header and sample files under a folder as exams; options: path, partitionBytes, ending (of header files)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recordings"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> RecordingReader:
+        return RecordingReader(self.options["path"], int(self.options.get("partitionBytes", PARTITION_BYTES)), self.options.get("ending", ".hea"))
+
+
+def read_recordings(spark: SparkSession, root: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Every header under root with the samples it names: exam_id (the header's name), dataset and folder it lies in, rate, leads,
+    tracing in physical units by lead, reason. What cannot be decoded has no tracing but a reason.
+
+    Formats 16, 24, 32, 61, 80, 160 and 212, at a byte offset or not, in one file or several. A gain of 0 or none is 200, a
+    baseline that is not given is the ADC's zero, and the format's missing value is NaN. Equal names in two folders are two exams.
+    """
+    spark.dataSource.register(Recordings)
+    return spark.read.format("recordings").option("partitionBytes", partition_bytes).load(root)
 
 
 def write_files(rows: DataFrame, root: str) -> int:
     """Write rows (path under root, content binary) as a file each; how many. A repeated task writes the same bytes over again."""
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, top = fs.FileSystem.from_uri(root)
+        where, top = file_system(root)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 where.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)

@@ -46,8 +46,10 @@ def test_matrices_and_back():
     found = list(signals.matrices(column))
     assert [x.shape for x in found] == [(2, 2), (0, 0), (0, 0), (2, 0), (3, 1)]
     assert signals.list_column(found).to_pylist() == [[[1.0, 2.0], [3.0, 4.0]], [], [], [[], []], [[5.0], [6.0], [7.0]]]
-    with pytest.raises(ValueError):
-        list(signals.matrices(pa.array([[[1.0], [1.0, 2.0]]], pa.list_(pa.list_(pa.float32())))))
+    ragged = pa.array([[[1.0], [1.0, 2.0]], [[4.0, 5.0]]], pa.list_(pa.list_(pa.float32())))
+    bad, good = signals.matrices(ragged)
+    assert bad is None and good.tolist() == [[4.0, 5.0]]
+    assert signals.list_column([good, None, good]).to_pylist() == [[[4.0, 5.0]], None, [[4.0, 5.0]]]
 
 
 def test_each_file_is_read_by_its_own_header(spark, tmp_path):
