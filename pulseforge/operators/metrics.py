@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.scores import apply_thresholds
 from ..shared import durable, keyed_hash
 from .ranking import global_rank
@@ -164,17 +165,64 @@ def challenge_score(preds: DataFrame, weights: list[list[float]], nsr: int) -> D
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
-def exact_draws(records: DataFrame, n: int, seed: int) -> DataFrame:
-    """records with `its`: the resample numbers for which a record is drawn, once for each time. Each resample is of N draws of N.
+#: Most leaves of the splitting tree, and records that a leaf should hold.
+MOST_LEAVES, LEAF = 1 << 16, 1 << 13
 
-    Draws are keyed hashes of their numbers scaled to ranks, so N must be well under 2^32; n * N slim rows are shuffled once.
+
+def exact_sums(records: DataFrame, n: int, seed: int, leaves: int | None = None) -> DataFrame:
+    """records (rec_id, stats array<double>) -> it, sums: of n resamples of N draws of N records each, with replacement.
+
+    Records are dealt to the leaves of a binary tree by a hash of rec_id and counted. A resample's N draws are split down the tree
+    by binomials of the counts, so that each leaf knows how many fall to it, and are drawn there, in the task that holds the
+    leaf. Records are shuffled once, draws never. `leaves`, a power of two, follows from N if not given; rec_id must be unique.
     """
-    ranked = durable(global_rank(records, ["rec_id"], name="__rank"), "bootstrap")
-    total = ranked.count()
-    draws = records.sparkSession.range(n * total).select((F.col("id") % n).cast("int").alias("it"), F.expr(f"id div {n}").alias("d"))
-    rank = (keyed_hash(seed, F.col("it"), F.col("d")) * total).alias("h")
-    its = draws.select("it", rank).select("it", F.expr("h div 4294967296").alias("__drawn")).groupBy("__drawn").agg(F.collect_list("it").alias("its"))
-    return ranked.join(its, F.col("__rank") == F.col("__drawn")).drop("__rank", "__drawn")
+    spark = records.sparkSession
+    hashed = keyed_hash(seed, F.col("rec_id"))
+    counts = np.zeros(MOST_LEAVES, dtype=np.int64)
+    for r in records.groupBy((hashed % MOST_LEAVES).alias("leaf")).count().collect():  # MOST_LEAVES rows at most
+        counts[r.leaf] = r["count"]
+    leaves = leaves or min(1 << max(int(counts.sum()) // LEAF, 1).bit_length(), MOST_LEAVES)
+    counts = counts.reshape(-1, leaves).sum(axis=0)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total, held, at = shared.value, None, [], -1
+
+        def add() -> None:
+            nonlocal total, held
+            if held:
+                stats = np.concatenate(held)
+                if len(stats) != counts[at]:
+                    raise RuntimeError(f"leaf {at} has {len(stats)} records, not {counts[at]}")
+                drawn = draws.local_counts(draws.draws_of_leaf(counts, at, n, seed), at, leaves, len(stats), seed)
+                total = drawn @ stats if total is None else total + drawn @ stats
+                held = []
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.column(0).to_numpy()
+            stats = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), b.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                if of[start] != at:
+                    add()
+                    at = int(of[start])
+                held.append(stats[start:end].copy())
+        add()
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(total))], ["it", "sums"])
+
+    dealt = records.select((hashed % leaves).cast("int").alias("leaf"), "rec_id", "stats")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartitionByRange(min(parts, leaves), "leaf").sortWithinPartitions("leaf", "rec_id").select("leaf", "stats")
+    return _added(dealt.mapInArrow(run, "it int, sums array<double>"))
+
+
+def _added(wide: DataFrame) -> DataFrame:
+    """it, sums: the tasks' sums added up."""
+    long = wide.select("it", F.posexplode("sums").alias("k", "x")).groupBy("it", "k").agg(F.sum("x").alias("x"))
+    return long.groupBy("it").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("sums"))
 
 
 def poisson_draws(records: DataFrame, n: int, seed: int) -> DataFrame:
@@ -201,12 +249,10 @@ def resample_sums(rows: DataFrame, n: int) -> DataFrame:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(total))], ["it", "sums"])
 
-    wide = rows.select("its", "stats").mapInArrow(run, "it int, sums array<double>")
-    long = wide.select("it", F.posexplode("sums").alias("k", "x")).groupBy("it", "k").agg(F.sum("x").alias("x"))
-    return long.groupBy("it").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("sums"))
+    return _added(rows.select("its", "stats").mapInArrow(run, "it int, sums array<double>"))
 
 
-def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int = 100, seed: int = 42, poisson: bool = False) -> DataFrame:
+def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int = 100, seed: int = 42, poisson: bool = False, leaves: int | None = None) -> DataFrame:
     """metric, mean, lower, upper over n resamples of the records: N draws of N with replacement, or with `poisson`, for very
     many records, a Poisson(1) number of each. What a resample needs of a record is one short vector of numbers.
     """
@@ -216,7 +262,7 @@ def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int
     bits = [F.zip_with("labels", "decided", f) for f in (lambda y, d: (y & d).cast("double"), lambda y, d: (~y & d).cast("double"), lambda y, d: (y & ~d).cast("double"))]
     head = F.array(*[c.cast("double") for c in (F.col("observed"), F.col("correct"), F.col("inactive"), wrong, F.size("labels"))])
     records = r.select("rec_id", F.concat(head, *bits).alias("stats"))
-    by = resample_sums((poisson_draws if poisson else exact_draws)(records, n, seed), n)
+    by = resample_sums(poisson_draws(records, n, seed), n) if poisson else exact_sums(records, n, seed, leaves)
     at = lambda i: F.col("sums")[i]
     f1 = []
     for i in range(k):

@@ -9,6 +9,7 @@ WEIGHTS = [[1.0 if i == j else 0.5 - abs(i - j) * 0.05 for j in range(K)] for i
 THRESHOLDS = [0.30 + 0.05 * k for k in range(K)]
 NSR = 0
 RATES = [1000, 500, 257, 250, 128]
+LEAVES = 32
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,17 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(n, "exam_id", "left").select("exam_id", "patient_id", "source", F.coalesce("q", F.lit(0)).cast("int").alias("length"))
 
 
+def order_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exam_id, patient_id, source, tracing: an order's lines as samples of two leads; every third begins with a flat one."""
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("exam_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = line.groupBy("exam_id").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("xs"))
+    flat = lambda i: (i == 0) & (F.col("exam_id") % 3 == 0)
+    lead = lambda f: F.transform("xs", lambda v, i: F.when(flat(i), 0.0).otherwise(f(v)).cast("float"))
+    both = F.array(lead(lambda v: v["l_quantity"]), lead(lambda v: (v["l_suppkey"] % 100).cast("double")))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("exam_id"), F.col("o_custkey").alias("patient_id"), F.col("o_orderpriority").alias("source"))
+    return o.join(rows.select("exam_id", both.alias("tracing")), "exam_id")
+
+
 def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, quality and toxic as text, source_classes: sources with an odd number lack toxic."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source")

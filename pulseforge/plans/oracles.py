@@ -2,7 +2,7 @@
 
 from ..functions.labels import CLASSES, CODES
 from ..operators.scoring import CANDIDATES
-from .bindings import K, RATES, THRESHOLDS, TYPES, WEIGHTS
+from .bindings import K, LEAVES, RATES, THRESHOLDS, TYPES, WEIGHTS
 
 ORACLES: dict[str, str] = {}
 
@@ -88,7 +88,6 @@ ORACLES |= {
     "S5_to_lead_major": "select vec_id, (t % 4)::int as lead, (t // 4)::int as t, round(embedding[t + 1]::float::double, 6) as x from embeddings cross join (select unnest(range(64)) as t)",
     "S6_write_normalized": "select cast(user_id % 5 as varchar) as source, count(distinct user_id) as n, count(*)::bigint as samples from events group by 1",
     "S7_split_by_source": "select doc_id, source from documents where source is not null",
-    "S8_write_shards": f"{PLAN} select split, shard_id, count(*) as n, min(pos) as first, max(pos) as last from shd group by 1, 2",
     "S9_read_weight_matrix": f"""with e as (select event_type as b, lag(event_type) over (partition by user_id order by ts, event_id) as a from events),
       c as (select a, b, count(*) as n from e where a is not null group by 1, 2), t as (select unnest({_list(TYPES)}) as x)
       select p.x as class_i, q.x as class_j, coalesce(n, 0)::double as w from t p cross join t q left join c on a = p.x and b = q.x""",
@@ -179,6 +178,17 @@ ORACLES["P2_derive_labels"] = f"""with p as (select o_orderkey as exam_id, unnes
 select exam_id, class from c where class <> 'Brady' or exam_id not in (select exam_id from c where class = 'SB')"""
 assert set(_NAMES) == set(CLASSES)
 
+ORACLES["S8_write_shards"] = f"""with ln as (select l_orderkey as exam_id, row_number() over w as k, l_quantity as q, l_suppkey % 100 as p from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)),
+sg as (select exam_id, lead, k - 1 as t, case when k = 1 and exam_id % 3 = 0 then 0 when lead = 0 then q else p end as x from ln cross join (select unnest([0, 1]) as lead)),
+ab as (select exam_id, coalesce(min(t) filter (where x <> 0), 0)::int as s, coalesce(max(t) filter (where x <> 0) + 1, 0)::int as e from sg group by 1),
+inv as (select o_orderkey as exam_id, o_custkey as patient_id, o_orderpriority as source, e - s as length, s as start_offset from orders join ab on exam_id = o_orderkey),
+{SPLIT}, {BUCKETS}, {SHARDS}, wd as (select split, shard_id, max(length) as width from shd group by 1, 2),
+lp as (select o_orderkey as exam_id, unnest([{_PICK}]) as k from orders), lc as (select distinct exam_id, ({_list(_NAMES)})[k + 1] as class from lp where k < {len(CODES)}),
+lf as (select * from lc where class <> 'Brady' or exam_id not in (select exam_id from lc where class = 'SB')),
+lb as (select exam_id, string_agg(class, ',' order by list_position({_list(CLASSES)}, class)) as labels from lf group by 1)
+select shd.exam_id, shd.split, shd.shard_id, pos, patient_id, source, start_offset, length, width, coalesce(labels, '') as labels, lead::int as lead, t::int as t, coalesce(x, 0)::double as x
+from shd join wd using (split, shard_id) left join lb on lb.exam_id = shd.exam_id cross join (select unnest([0, 1]) as lead) cross join lateral (select unnest(range(width)) as t)
+left join (select exam_id as e2, lead as l2, t as t2, x from sg) g on e2 = shd.exam_id and l2 = lead and t2 = t + start_offset and t < length"""
 _CDF = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]::double[]"
 
 
@@ -191,9 +201,39 @@ v as (select 'challenge' as metric, (o - n) / (c - n) as v from ch union all sel
 select metric, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as lower, round(quantile_cont(v, 0.975), 6) as upper from v group by 1"""
 
 
-ORACLES["A14_bootstrap_ci"] = _bootstrap(f"""rk as (select rec_id, row_number() over (order by rec_id) - 1 as k, count(*) over () as n from rec),
-dd as (select it, ({keyed('42', 'it', 'd')} * n) // 4294967296 as k from (select it, n, unnest(range(n)) as d from it cross join (select count(*) as n from rec))),
-dr as (select it, rec_id, m from (select it, k, count(*) as m from dd group by 1, 2) join rk using (k))""")
+_STEP = "({0} * 1103515245 + 12345) % 2147483648"
+
+
+def _mixed(source: str, columns: str, start: str, *then: str) -> str:
+    """columns and h of source: start mixed, then with each of `then` a xor before it is mixed again ('' for none)."""
+    q = f"select {columns}, {_STEP.format('(' + start + ')')} as y from {source}"
+    for x in then:
+        h = "xor(y, y >> 15)"
+        q = f"select {columns}, {_STEP.format(f'xor({h}, {x})' if x else h)} as y from ({q})"
+    return f"select {columns}, xor(y, y >> 15) as h from ({q})"
+
+
+def _splits() -> str:
+    """dr (it, rec_id, m): a resample's draws split by binomials down a tree of LEAVES leaves, then drawn in each leaf."""
+    q = [f"lf as (select rec_id, {keyed('42', 'rec_id')} % {LEAVES} as leaf from rec), rk as (select *, row_number() over (partition by leaf order by rec_id) - 1 as k from lf)"]
+    q.append(f"nb as (select leaf, count(rec_id) as c from (select unnest(range({LEAVES})) as leaf) left join lf using (leaf) group by leaf)")
+    q.append("m0 as (select it, 1 as node, (select sum(c) from nb)::bigint as m from it)")
+    depth = LEAVES.bit_length() - 1
+    for d in range(depth):
+        size = LEAVES >> d
+        share = f"select leaf // {size} + {1 << d} as node, sum(c)::bigint as w, (sum(c) filter (where leaf % {size} < {size // 2}))::bigint as l from nb group by 1"
+        q.append(f"s{d} as (select a.*, l / w::double as p from m{d} a join ({share}) b using (node)), u{d} as ({_mixed(f's{d}', 'it, node, m, p', 'it + 42', 'node', '')})")
+        q.append(f"""r{d} as (select *, (h + 0.5::double) / 2147483648.0::double as u, greatest(floor(m * p - 12 * sqrt(m * p * (1 - p)))::bigint - 12, 0) as lo, least(ceil(m * p + 12 * sqrt(m * p * (1 - p)))::bigint + 12, m) as hi from u{d}),
+c{d} as (select *, sum(exp(lgamma(m + 1.0::double) - lgamma(k + 1.0::double) - lgamma(m - k + 1.0::double) + k * ln(p) + (m - k) * ln(1 - p))) over (partition by it, node order by k) as cdf from (select *, unnest(range(lo, hi + 1)) as k from r{d})),
+k{d} as (select it, node, m, least(lo + count(*) filter (where cdf < u), hi) as k from c{d} group by it, node, m, lo, hi, u)""")
+        q.append(f"m{d + 1} as (select it, 2 * node as node, k as m from k{d} union all select it, 2 * node + 1, m - k from k{d})")
+    bases = _mixed(f"m{depth}", "it, node, m", "it + 42", "node", "")
+    q.append(f"bs as ({bases}), dd as (select it, node, h as base, unnest(range(m)) as d from bs), hs as ({_mixed('dd', 'it, node, base', 'd', 'base', '')})")
+    q.append(f"dr as (select it, rec_id, count(*) as m from hs join nb on nb.leaf = node - {LEAVES} join rk on rk.leaf = node - {LEAVES} and rk.k = (h * c) >> 31 group by 1, 2)")
+    return ", ".join(q)
+
+
+ORACLES["A14_bootstrap_ci"] = _bootstrap(_splits())
 ORACLES["A14_bootstrap_poisson"] = _bootstrap(f"dr as (select it, rec_id, len(list_filter({_CDF}, lambda c: ({keyed('42', 'it', 'rec_id')} + 0.5::double) / 4294967296.0::double > c)) as m from rec cross join it)")
 
 _RUNS = """r as (select 'run' || c_nationkey as run_id, 'model' || c_nationkey % 3 as name, count(*) as n, min(c_acctbal) as lo, max(c_acctbal) as hi, floor(sum(cast(round(c_acctbal * 100) as bigint)) / count(*)) / 100 as mean from customer group by c_nationkey),

@@ -10,7 +10,7 @@ from ..functions import labels, scores
 from ..operators import inventory as inv
 from ..operators import metrics, report, scoring, signals
 from ..shared import durable, new_path
-from ..sources import recordings, tables
+from ..sources import recordings, shards, tables
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,12 +146,22 @@ def S7_split_by_source(s, d):
     return s.read.csv(path, header=True).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
 
 
+def shard_plan(s: SparkSession, d: str, exams: DataFrame) -> DataFrame:
+    """The exams' slim rows with split, pos and shard_id, label vector, and where their signal lies."""
+    slim = durable(signals.length_offset(exams).select("exam_id", "patient_id", "source", "length", "start_offset"), "inventory")
+    plan = inv.assign_shards(inv.length_buckets(durable(inv.patient_split(slim), "split"), 256), 1000)
+    named = b.codes(s, d).select("exam_id", F.transform(labels.derive_labels(F.col("codes")), lambda y: y.cast("float")).alias("labels"))
+    return plan.join(named, "exam_id").drop("block")
+
+
 @query
 def S8_write_shards(s, d):
-    path = new_path(s, "shards")
-    recordings.write_shards(sharded(s, d), path)
-    back = s.read.parquet(path)
-    return back.groupBy("split", F.col("shard_id").cast("long").alias("shard_id")).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    exams, buckets, path = b.order_signals(s, d), int(s.conf.get("spark.sql.shuffle.partitions")), new_path(s, "shards")
+    stored = shards.store_signals(exams, new_path(s, "signals"), buckets)
+    shards.write_shards(shard_plan(s, d, exams), stored, buckets, path)
+    names = F.array_join(F.filter(F.transform("labels", lambda y, i: F.when(y == 1, F.element_at(F.array(*[F.lit(c) for c in labels.CLASSES]), i + 1))), lambda c: c.isNotNull()), ",")
+    back = s.read.parquet(path).select("exam_id", "split", F.col("shard_id").cast("long").alias("shard_id"), "pos", "patient_id", "source", "start_offset", "length", "width", names.alias("labels"), "tracing")
+    return samples(back, *back.columns[:-1])
 
 
 @query
@@ -448,7 +458,7 @@ def A13_challenge_score(s, d):
 
 @query
 def A14_bootstrap_ci(s, d):
-    return metrics.bootstrap_ci(decided(s, d), b.WEIGHTS, b.NSR).select("metric", r6("mean"), r6("lower"), r6("upper"))
+    return metrics.bootstrap_ci(decided(s, d), b.WEIGHTS, b.NSR, leaves=b.LEAVES).select("metric", r6("mean"), r6("lower"), r6("upper"))
 
 
 @query

@@ -181,9 +181,3 @@ def write_files(rows: DataFrame, root: str) -> int:
 def write_normalized(df: DataFrame, path: str) -> None:
     """Signals with their metadata, a folder for each source. A hot source is written by as many tasks as hold it."""
     df.write.partitionBy("source").parquet(path)
-
-
-def write_shards(df: DataFrame, path: str) -> None:
-    """split and shard_id folders, rows in pos order: one task for each shard, which has a bounded number of rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, "split", "shard_id").sortWithinPartitions("split", "shard_id", "pos").write.partitionBy("split", "shard_id").parquet(path)
