@@ -82,7 +82,7 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, quality and toxic as text, source_classes: sources with an odd number lack toxic."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source")
     x = read(spark, sf_dir, "labels").join(d, "doc_id")
-    forms = F.array(F.lit("True"), F.lit(" true "), F.lit("1"))
+    forms = F.array(F.lit("True"), F.lit(" \ttrue\t\n"), F.lit("1"))
     text = lambda c: F.when(F.col(c) == 1, F.element_at(forms, (F.col("doc_id") % 3 + 1).cast("int"))).otherwise("False")
     odd = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 2 == 1
     has = F.when(F.coalesce(odd, F.lit(False)), F.array(F.lit("quality"))).otherwise(F.array(F.lit("quality"), F.lit("toxic")))

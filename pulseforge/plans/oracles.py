@@ -11,6 +11,10 @@ def _list(xs: list, kind: str = "") -> str:
     return "[" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in xs) + "]" + (f"::{kind}[]" if kind else "")
 
 
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^[\\x09-\\x0D\\x20]+|[\\x09-\\x0D\\x20]+$', '', 'g')"
+
+
 SIG = """sig as (select user_id as exam_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t,
   case when event_type = 'error' then 0.0 else value end as x0,
   case when event_type = 'error' then 0.0 else cast(props->>'$.k' as double) end as x1 from events),
@@ -40,7 +44,7 @@ IDX = "idx as (select o_orderkey as exam_id, 'a' as h5_path_src, o_orderkey * 2
 VEC = "vec as (select vec_id, cast(vec_id as varchar) as exam_id, cast(label as varchar) as source, t, case when vec_id % 17 = 0 and t = 5 then 'nan'::double else embedding[t + 1]::float::double end as x from embeddings cross join (select unnest(range(64)) as t))"
 FLAWS = """flaws as (select cast(vec_id as varchar) as exam_id, cast(label as varchar) as source, case when vec_id % 23 = 0 then 'missing' when vec_id % 19 = 0 then 'ragged'
   when vec_id % 17 = 0 then 'nan' when vec_id % 2 = 0 and vec_id % 13 = 0 then 'no_rate' end as why from embeddings)"""
-LAB = """lab as (select l.doc_id, source, case when quality = 1 then (['True', ' true ', '1'])[l.doc_id % 3 + 1] else 'False' end as quality, case when toxic = 1 then (['True', ' true ', '1'])[l.doc_id % 3 + 1] else 'False' end as toxic,
+LAB = """lab as (select l.doc_id, source, case when quality = 1 then (['True', ' ' || chr(9) || 'true' || chr(9) || chr(10), '1'])[l.doc_id % 3 + 1] else 'False' end as quality, case when toxic = 1 then (['True', ' ' || chr(9) || 'true' || chr(9) || chr(10), '1'])[l.doc_id % 3 + 1] else 'False' end as toxic,
   coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 2 = 1, false) as odd from labels l join documents d on l.doc_id = d.doc_id)"""
 
 
@@ -73,8 +77,8 @@ CLEAN = "sm as (select exam_id, lead, t, x from lng)"
 CUT = f"with {SIG}, {BOUNDS.format('1e-5')}"
 
 ORACLES |= {
-    "S1_source_pairs": "select 'E' || o_orderkey as name, 'set/g' || o_orderkey % 7 || '/E' || o_orderkey || '.dat' as signal_path, case when o_orderkey % 3 <> 0 then 'set/g' || o_orderkey % 7 || '/E' || o_orderkey || '.csv' end as meta_path, o_orderkey % 3 <> 0 as has_meta from orders",
-    "S2_read_metadata": f"with {LAB} select doc_id, trim(quality) as quality, case when not odd then trim(toxic) end as toxic, case when odd then 1 else 2 end::bigint as n_classes from lab",
+    "S1_source_pairs": "with p as (select o_orderkey as k, 'set/g' || o_orderkey % 7 || '/E.' || o_orderkey // 7 as stem from orders) select 'E.' || k // 7 as name, stem || '.dat' as signal_path, case when k % 3 <> 0 then stem || '.csv' end as meta_path, k % 3 <> 0 as has_meta from p",
+    "S2_read_metadata": f"with {LAB} select doc_id, {_strip('quality')} as quality, case when not odd then {_strip('toxic')} end as toxic, case when odd then 1 else 2 end::bigint as n_classes from lab",
     "S3_read_headers": """select 'E' || c_custkey as exam_id, 'ds' || c_nationkey as dataset, '/data/ds' || c_nationkey || '/g1/E' || c_custkey || '.hea' as path,
       cast(case when c_custkey % 4 = 0 then c_custkey else c_custkey % 500 + 100 end as double) as freq, cast(case when c_custkey % 5 <> 0 then c_custkey % 90 end as double) as age,
       case when c_custkey % 3 <> 0 then c_custkey % 3 = 1 end as is_male, '1,' || c_custkey % 7 as codes from customer""",
@@ -86,14 +90,14 @@ ORACLES |= {
       select 'g' || k % 2 as folder, 'E' || k // 2 as exam_id, null::varchar as reason, lead::int as lead, t::int as t, round(x::float::double, 6) as x from y
       union all select 'g' || k % 2, 'E' || k // 2, 'a sample file is missing', null, null, null from c where k % 50 = 7""",
     "S5_to_lead_major": "select vec_id, (t % 4)::int as lead, (t // 4)::int as t, round(embedding[t + 1]::float::double, 6) as x from embeddings cross join (select unnest(range(64)) as t)",
-    "S6_write_normalized": "select cast(user_id % 5 as varchar) as source, count(distinct user_id) as n, count(*)::bigint as samples from events group by 1",
+    "S6_write_normalized": f"with {SIG} select cast(exam_id as varchar) as exam_id, cast(exam_id % 5 as varchar) as source, ({_list(RATES)})[exam_id % 5 + 1]::int as rate, count(*)::int as samples, round(sum(x0::float::double), 4) as total from sig group by exam_id",
     "S7_split_by_source": "select doc_id, source from documents where source is not null",
     "S9_read_weight_matrix": f"""with e as (select event_type as b, lag(event_type) over (partition by user_id order by ts, event_id) as a from events),
       c as (select a, b, count(*) as n from e where a is not null group by 1, 2), t as (select unnest({_list(TYPES)}) as x)
       select p.x as class_i, q.x as class_j, coalesce(n, 0)::double as w from t p cross join t q left join c on a = p.x and b = q.x""",
     "P1_normalize_id": "select cast(doc_id as varchar) as id, ' ' || source as raw, trim(source) as text from documents",
     "P3_conform_labels": "select doc_id, coalesce(trunc(case when doc_id % 5 <> 0 then quality + 0.75 end), 0)::double as quality, coalesce(toxic, 0)::double as toxic, 0.0::double as absent from labels",
-    "P4_parse_true": f"with {LAB} select doc_id, (lower(trim(quality)) = 'true')::bigint as quality, (lower(trim(toxic)) = 'true')::bigint as toxic from lab",
+    "P4_parse_true": f"with {LAB} select doc_id, (lower({_strip('quality')}) = 'true')::bigint as quality, (lower({_strip('toxic')}) = 'true')::bigint as toxic from lab",
     "P5_drop_nan_records": "select cast(vec_id as varchar) as exam_id, cast(label as varchar) as source from embeddings where vec_id % 17 <> 0",
     "P5_rejected_records": f"with {FLAWS} select exam_id, source, why, why <> 'no_rate' as dropped from flaws where why is not null",
     "P5_reject_counts": f"with {FLAWS} select 'exams' as what, count(*) as n from flaws union all select w, count(*) filter (where why = w) from flaws cross join (select unnest(['undecodable', 'missing', 'ragged', 'nan', 'no_rate']) as w) group by w",
@@ -167,7 +171,7 @@ l as (select exam_id, lead, avg(x) as mu, sqrt(greatest(avg(x * x) - avg(x) ** 2
 z as (select exam_id, max(abs(mu)) as max_abs_mean, min(sd) as min_std, max(sd) as max_std from l group by 1)
 select exam_id, round(max_abs_mean, 5) as max_abs_mean, round(min_std, 5) as min_std, round(max_std, 5) as max_std, true as padding_clean, max_abs_mean < 0.2 and min_std > 0.5 and max_std < 1.5 as valid from z"""
 _WEIGHT = f"""with {LAB}, c as (select 'quality' as class, quality as v from lab union all select 'toxic', toxic from lab where not odd),
-a as (select class, count(*) as total, sum((lower(trim(v)) = 'true')::int)::bigint as positives from c group by 1), b as (select *, round(case when positives = 0 then total::double else (total - positives) / positives end, 6) as pos_weight from a)"""
+a as (select class, count(*) as total, sum((lower({_strip('v')}) = 'true')::int)::bigint as positives from c group by 1), b as (select *, round(case when positives = 0 then total::double else (total - positives) / positives end, 6) as pos_weight from a)"""
 ORACLES["A1_class_weights"] = f"{_WEIGHT} select class, total, positives, pos_weight, round(sqrt(pos_weight), 6) as sqrt_weight from b"
 ORACLES["S10_write_json_map"] = f"{_WEIGHT} select class, pos_weight from b"
 

@@ -10,7 +10,7 @@ from ..functions import labels, scores
 from ..operators import inventory as inv
 from ..operators import metrics, report, scoring, signals
 from ..shared import durable, new_path
-from ..sources import recordings, shards, tables
+from ..sources import normalized, recordings, shards, tables
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,8 @@ def decided(s: SparkSession, d: str) -> DataFrame:
 @query
 def S1_source_pairs(s, d):
     o = b.read(s, d, "orders").select(F.col("o_orderkey").alias("k"))
-    path = lambda end: F.concat(F.lit("set/g"), F.col("k") % 7, F.lit("/E"), F.col("k"), F.lit(end)).alias("path")
+    # a name is there once in every folder
+    path = lambda end: F.concat(F.lit("set/g"), F.col("k") % 7, F.lit("/E."), F.floor(F.col("k") / 7), F.lit(end)).alias("path")
     return tables.source_pairs(o.select(path(".dat")), o.filter("k % 3 <> 0").select(path(".csv")))
 
 
@@ -56,20 +57,24 @@ def S2_read_metadata(s, d):
     root = new_path(s, "metadata")
     even = F.array_contains("source_classes", "toxic")
     quality, toxic, key = F.col("quality").alias(" quality"), F.col("toxic").alias("toxic "), F.col("doc_id")
-    # one folder, three headers: two orders of the same columns, and one without toxic
-    x.filter(even & (key % 2 == 0)).select("doc_id", quality, toxic, F.lit("").alias("nn_predicted_age")).write.csv(root, header=True)
+    # one folder, four headers: three orders of the same columns, one after a mark and blank lines, and one without toxic
+    cell = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    lines = x.filter(even & (key % 4 == 2)).groupBy((key % 64).alias("f")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", cell("toxic"), key, cell("quality")))), "\r\n").alias("lines"))
+    content = F.encode(F.concat(F.lit("\ufeff\n , ,\ntoxic ,\tdoc_id, quality\r\n"), "lines", F.lit("\n\n")), "UTF-8")
+    recordings.write_files(lines.select(F.concat(F.lit("late/f+"), "f", F.lit(" .csv")).alias("path"), content.alias("content")), root)
+    x.filter(even & (key % 4 == 0)).select("doc_id", quality, toxic, F.lit("").alias("nn_predicted_age")).write.mode("append").csv(root, header=True)
     x.filter(even & (key % 2 == 1)).select(toxic, quality, "doc_id").write.mode("append").csv(root, header=True)
     x.filter(~even).select("doc_id", "quality").write.mode("append").csv(root, header=True)
     m = tables.read_metadata(s, [root], ["quality", "toxic"])
-    return m.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("quality").alias("quality"), F.trim("toxic").alias("toxic"), F.size("source_classes").cast("long").alias("n_classes"))
+    return m.select(F.col("doc_id").cast("long").alias("doc_id"), labels.strip(F.col("quality")).alias("quality"), labels.strip(F.col("toxic")).alias("toxic"), F.size("source_classes").cast("long").alias("n_classes"))
 
 
 @query
 def S3_read_headers(s, d):
     c = b.read(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
     rate = F.when(F.col("k") % 4 == 0, F.concat(F.lit("E 2 bad 100\nlead 16 "), F.col("k"))).otherwise(F.concat(F.lit("E 2 "), F.col("k") % 500 + 100, F.lit(" 100")))
-    sex = F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "# Sex: Male\n").otherwise("# Sex: f\n")
-    value = F.concat(rate, F.lit("\n# Age: "), F.when(F.col("k") % 5 == 0, F.lit("n/a")).otherwise((F.col("k") % 90).cast("string")), F.lit("\n"), sex, F.lit("# Dx: 1, "), F.col("k") % 7, F.lit("\n"))
+    sex = F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "# Sex:\tMale \t\n").otherwise("# Sex: f\n")
+    value = F.concat(rate, F.lit("\n# Age: "), F.when(F.col("k") % 5 == 0, F.lit("n/a")).otherwise((F.col("k") % 90).cast("string")), F.lit("\n"), sex, F.lit("\t# Dx:\t1, \t"), F.col("k") % 7, F.lit("\t\r\n"))
     path = F.concat(F.lit("data/ds"), F.col("c_nationkey"), F.lit("/g1/E"), F.col("k"), F.lit(".hea"))
     root = new_path(s, "headers")
     recordings.write_files(c.select(path.alias("path"), F.encode(value, "UTF-8").alias("content")), root)
@@ -133,10 +138,13 @@ def S5_to_lead_major(s, d):
 
 @query
 def S6_write_normalized(s, d):
-    path = new_path(s, "normalized")
-    recordings.write_normalized(b.array_signal(s, d), path)
-    back = s.read.parquet(path)
-    return back.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n"), F.sum(signals.n_samples()).alias("samples"))
+    path, x = new_path(s, "normalized"), b.array_signal(s, d)
+    normalized.write_normalized(x.withColumn("rate", F.lit(0)), path)
+    normalized.write_normalized(x.filter("source <> '3'"), path)  # all but one again, and that one in a run of its own
+    normalized.write_normalized(x.filter("source = '3'"), path)
+    normalized.write_run(x.withColumn("rate", F.lit(1)), path)  # cut short: it has no note
+    total = F.aggregate(F.get("tracing", F.lit(0)), F.lit(0.0), lambda a, v: a + v)
+    return normalized.read_normalized(s, path).select("exam_id", "source", "rate", signals.n_samples().alias("samples"), F.round(total, 4).alias("total"))
 
 
 @query
@@ -172,7 +180,11 @@ def S9_read_weight_matrix(s, d):
     e = e.withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("before is not null")
     path = new_path(s, "weights")
     wide = e.groupBy("before").pivot("event_type", b.TYPES).count()
-    wide.coalesce(1).write.csv(path, header=True)
+    # a row for each type, written with blanks and tabs around names and numbers
+    lines = wide.select(F.concat_ws(" ,\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in wide.columns]).alias("line"))
+    head = " , ".join(["", *[f" {c}" for c in b.TYPES]]) + "\n"
+    content = F.encode(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list("line")), "\n")), "UTF-8")
+    recordings.write_files(lines.agg(F.lit("w.csv").alias("path"), content.alias("content")), path)
     return tables.read_weight_matrix(s, path).select("class_i", "class_j", F.when(F.isnan("w"), 0.0).otherwise(F.col("w")).alias("w"))
 
 
@@ -189,7 +201,7 @@ def S10_write_json_map(s, d):
 
 @query
 def P1_normalize_id(s, d):
-    x = b.read(s, d, "documents").select("doc_id", F.encode(F.concat(F.lit(" "), F.col("source")), "UTF-8").alias("raw"), F.concat(F.lit(" "), "source", F.lit(" ")).alias("text"))
+    x = b.read(s, d, "documents").select("doc_id", F.encode(F.concat(F.lit(" "), F.col("source")), "UTF-8").alias("raw"), F.concat(F.lit(" \t"), "source", F.lit("\r\n ")).alias("text"))
     return x.select(labels.normalize_id(x, "doc_id").alias("id"), labels.normalize_id(x, "raw").alias("raw"), labels.normalize_id(x, "text").alias("text"))
 
 

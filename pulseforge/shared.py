@@ -55,7 +55,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what it holds."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
     if path in _named:
@@ -65,7 +66,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Remove tables that durable wrote and nothing lazy reads any more."""
     for t in tables:
-        _remove(t.sparkSession, t._written_to)
+        remove_path(t.sparkSession, t._written_to)
 
 
 @contextmanager
@@ -74,7 +75,7 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     before, kept = len(_named), []
     yield kept
     for path in set(_named[before:]) - {t._written_to for t in kept}:
-        _remove(spark, path)
+        remove_path(spark, path)
 
 
 def keyed_hash(seed: int | str, *cols: Column) -> Column:

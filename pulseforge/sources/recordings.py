@@ -176,8 +176,3 @@ def write_files(rows: DataFrame, root: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def write_normalized(df: DataFrame, path: str) -> None:
-    """Signals with their metadata, a folder for each source. A hot source is written by as many tasks as hold it."""
-    df.write.partitionBy("source").parquet(path)

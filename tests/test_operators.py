@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulseforge.functions import labels, scores
 from pulseforge.operators import inventory as inv
 from pulseforge.operators import metrics, ranking, report, scoring, signals
-from pulseforge.sources import recordings, tables
+from pulseforge.sources import normalized, recordings, tables
 
 
 def test_labels(spark):
@@ -34,7 +34,7 @@ def test_class_weights_edges(spark):
 
 def test_headers(spark):
     text = [
-        ("/d/set1/g1/A1.hea", "A1 12 bad 5000\nlead 16 250\n# Age: 63\n# Sex: Male\n# Dx: 1,2\n# Dx: 3, 4"),
+        ("/d/set1/g1/A1.hea", "A1 12 bad 5000\nlead 16 250\n# Age:\t63\n# Sex:\tMale\t\r\n# Dx: 1,2\n \t# Dx:\t3,\t4\t"),
         ("/d/set2/g2/B2.hea", "B2 12 500\n#Age: 5\n# Age: NaN\n# Dx: 9"),
         ("/d/set2/g2/C3.hea", "C3 12\n# Age: old\n# Sex: F"),
     ]
@@ -55,7 +55,7 @@ def test_recordings_from_files(spark, tmp_path):
 
 
 def test_weight_matrix_checks_names(spark, tmp_path):
-    (tmp_path / "w.csv").write_text(",A,B\nA,1.0,x\nB,inf,0.5\n")
+    (tmp_path / "w.csv").write_text(" , A,B\t\nA ,\t1.0 , x\nB, inf,0.5 \n")
     m = tables.weights_of(tables.read_weight_matrix(spark, str(tmp_path / "w.csv")), ["A", "B"])
     assert m[0][0] == 1.0 and m[1][1] == 0.5 and np.isnan(m[0][1]) and np.isnan(m[1][0])
     (tmp_path / "v.csv").write_text(",A,B\nA,1.0,2\nC,1,0.5\n")
@@ -69,10 +69,83 @@ def test_metadata_with_different_headers(spark, tmp_path):
     (tmp_path / "a" / "x.csv").write_text("exam_id, AF,nn_predicted_age\n1,True,\n")
     (tmp_path / "b" / "y.csv").write_text("exam_id,NSR\n2,False\n")
     m = tables.read_metadata(spark, [str(tmp_path / "a"), str(tmp_path / "b")], ["AF", "NSR"])
+    (tmp_path / "b" / "z.csv").write_bytes(b"\xef\xbb\xbf\n\n , \nexam_id , NSR\n3,\"a,\n b\"\n\n4\n5,x,extra\n")
+    m = tables.read_metadata(spark, [str(tmp_path / "a"), str(tmp_path / "b")], ["AF", "NSR"], batch_rows=2)
+    assert {r.exam_id: r.NSR for r in m.collect()} == {"1": None, "2": "False", "3": "a,\n b", "4": None, "5": "x"}
+    (tmp_path / "b" / "z.csv").unlink()
+    m = tables.read_metadata(spark, [str(tmp_path / "a"), str(tmp_path / "b")], ["AF", "NSR"])
     assert set(m.columns) == {"exam_id", "AF", "NSR", "source_classes"}
     assert {r.exam_id: r.source_classes for r in m.collect()} == {"1": ["AF"], "2": ["NSR"]}
 
 
+def test_reading_headers_takes_their_bytes_alone(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("\nid,AF\n" + "1,x\n" * 3_000_000)
+    read = []
+
+    class Counted:
+        def __init__(self, raw):
+            self.raw = raw
+
+        def __enter__(self):
+            import io
+
+            outer = self
+
+            class Raw(io.RawIOBase):
+                def readable(self):
+                    return True
+
+                def readinto(self, b):
+                    got = outer.raw.read(len(b))
+                    read.append(len(got))
+                    b[: len(got)] = got
+                    return len(got)
+
+            return io.BufferedReader(Raw())
+
+        def __exit__(self, *_):
+            self.raw.close()
+
+    class Where:
+        def open_input_stream(self, path):
+            return Counted(open(path, "rb"))
+
+    before, tables.file_system = tables.file_system, lambda path: (Where(), path)
+    try:
+        assert tables._header(tables._csv_rows(str(tmp_path / "long.csv"))) == ["id", "AF"]
+    finally:
+        tables.file_system = before
+    assert sum(read) < 100_000
+    plan = tables.headers_of(tables.metadata_files(spark, [str(tmp_path)]))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema:")[1]
+
+
+def test_pairs_are_of_one_folder(spark):
+    s = spark.createDataFrame([("a/E1.dat",), ("b/E1.dat",), ("b/E2.x.dat",)], "path string")
+    m = spark.createDataFrame([("a/E1.csv",), ("b/E1.csv",), ("a/E2.x.csv",)], "path string")
+    got = {(r.name, r.signal_path, r.meta_path, r.has_meta) for r in tables.source_pairs(s, m).collect()}
+    assert got == {("E1", "a/E1.dat", "a/E1.csv", True), ("E1", "b/E1.dat", "b/E1.csv", True), ("E2.x", "b/E2.x.dat", None, False)}
+
+
+def test_a_source_is_read_from_its_last_whole_run(spark, tmp_path):
+    path = str(tmp_path / "n")
+    rows = [("007", "a", 1), ("007", "b", 2), (None, "c", 3), ("x", "d", 4)]
+    df = spark.createDataFrame(rows, "source string, exam_id string, v int")
+    normalized.write_normalized(df, path)
+    read = lambda: sorted(((r.source, r.exam_id, r.v) for r in normalized.read_normalized(spark, path).collect()), key=repr)
+    assert read() == sorted(rows, key=repr)
+    normalized.write_run(df.withColumn("v", F.lit(9)), path)
+    assert read() == sorted(rows, key=repr)
+    normalized.write_normalized(df.filter("source = '007'").withColumn("v", F.col("v") + 10), path)
+    normalized.write_normalized(df.filter("source is null").withColumn("v", F.col("v") + 20), path)
+    want = sorted([("007", "a", 11), ("007", "b", 12), (None, "c", 23), ("x", "d", 4)], key=repr)
+    assert read() == want
+    assert normalized.clear_normalized(spark, path) == 5 and read() == want
+    assert normalized.clear_normalized(spark, path) == 0
+    plan = normalized.read_normalized(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
 def test_center_pad(spark):
     df = spark.createDataFrame([("a", [[0.0] + [1.0] * 4], 1, 4), ("b", [[1.0] * 5], 0, 5)], "exam_id string, tracing array<array<float>>, start_offset int, length int")
     got = {r.exam_id: r.tracing[0] for r in signals.center_pad(df, 10).collect()}
