@@ -66,22 +66,37 @@ def shard_stats(inv: DataFrame) -> DataFrame:
     return inv.groupBy("split", "shard_id").agg(F.count("*").alias("n_rows"), F.max("length").alias("max_length"))
 
 
-def batch_plan(inv: DataFrame, batch: int = 64, mega: int = 1024, train: bool = True, seed: int = 42, least: int = 50, fixed_width: int | None = None) -> DataFrame:
-    """split, shard_id, mega, batch, n_rows, width; batches of one row, or with no length of `least`, are lost.
-
-    Rows of a shard are numbered by pos; each block of `mega` is sorted by length, blurred by up to a fifth in training.
+def batch_rows(inv: DataFrame, batch: int = 64, mega: int = 1024, train: bool = True, seed: int = 42) -> DataFrame:
+    """inv with mega, batch and place (from 0 in the batch). Rows of a shard are numbered by pos; each block of `mega` is sorted by
+    length, blurred by up to a fifth in training, and cut into batches.
     """
     starts = Window.partitionBy("split", "shard_id").orderBy("pos")
     x = inv.withColumn("mega", F.floor((F.row_number().over(starts) - 1) / mega).cast("long"))
     noise = (keyed_hash(seed, F.col("exam_id")) / F.lit(2.0**32) - 0.5) * 0.4
     key = F.col("length") * (1 + noise) if train else F.col("length").cast("double")
     by = Window.partitionBy("split", "shard_id", "mega").orderBy(key, "exam_id")
-    x = x.withColumn("batch", F.floor((F.row_number().over(by) - 1) / batch).cast("long"))
-    out = x.groupBy("split", "shard_id", "mega", "batch").agg(F.count("*").alias("n_rows"), F.max("length").cast("long").alias("width"))
+    x = x.withColumn("place", F.row_number().over(by) - 1)
+    return x.withColumns({"batch": F.floor(F.col("place") / batch).cast("long"), "place": (F.col("place") % batch).cast("int")})
+
+
+BATCH = ("split", "shard_id", "mega", "batch")
+
+
+def batch_plan(inv: DataFrame, batch: int = 64, mega: int = 1024, train: bool = True, seed: int = 42, least: int = 50, fixed_width: int | None = None) -> DataFrame:
+    """split, shard_id, mega, batch, n_rows, width of batch_rows' batches; those of one row, or with no length of `least`, are lost."""
+    out = batch_rows(inv, batch, mega, train, seed).groupBy(*BATCH).agg(F.count("*").alias("n_rows"), F.max("length").cast("long").alias("width"))
     out = out.filter((F.col("n_rows") > 1) & (F.col("width") >= least))
     return out.withColumn("width", F.lit(fixed_width).cast("long")) if fixed_width else out
 
 
+def planned_rows(inv: DataFrame, batch: int = 64, mega: int = 1024, train: bool = True, seed: int = 42, least: int = 50, fixed_width: int | None = None) -> DataFrame:
+    """batch_rows' rows of the batches that batch_plan keeps, with n_rows and width of the batch."""
+    whole = Window.partitionBy(*BATCH)
+    x = batch_rows(inv, batch, mega, train, seed).withColumns({"n_rows": F.count("*").over(whole), "width": F.max("length").over(whole).cast("long")})
+    x = x.filter((F.col("n_rows") > 1) & (F.col("width") >= least))
+    return x.withColumn("width", F.lit(fixed_width).cast("long")) if fixed_width else x
+
+
 def sample_per_source(df: DataFrame, n: int, seed: int = 42, key: str = "exam_id") -> DataFrame:
     """min(n, available) rows of each source by keyed hash, numbered in key order. Ranks are limited before the shuffle."""
     by = Window.partitionBy("source").orderBy(keyed_hash(seed, F.col(key)), key)

@@ -215,7 +215,7 @@ def exact_sums(records: DataFrame, n: int, seed: int, leaves: int | None = None)
 
     dealt = records.select((hashed % leaves).cast("int").alias("leaf"), "rec_id", "stats")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartitionByRange(min(parts, leaves), "leaf").sortWithinPartitions("leaf", "rec_id").select("leaf", "stats")
+    dealt = dealt.repartition(min(parts, leaves), "leaf").sortWithinPartitions("leaf", "rec_id").select("leaf", "stats")
     return _added(dealt.mapInArrow(run, "it int, sums array<double>"))
 
 

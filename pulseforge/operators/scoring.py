@@ -3,63 +3,146 @@
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..shared import durable
-from .metrics import NAN, cells, record_scores
+from .inventory import BATCH
+from .metrics import NAN, cells
+from .signals import kept_records, mark_rejects, matrices, n_samples
 
 #: The candidates 0.05, 0.06, .. 0.50 as the doubles that a step of 0.01 gives.
 CANDIDATES = np.arange(0.05, 0.51, 0.01).tolist()
 
 
-def score_batches(df: DataFrame, load_model: Callable[[], Callable[[list[np.ndarray]], np.ndarray]]) -> DataFrame:
-    """rec_id, labels, probs, finite. The model is loaded once for each task; exams without samples are skipped."""
+def padded(tracings: pa.ListArray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """float32 rows x leads x width with each row's active part at the left, and the mask of what is valid, from flat buffers."""
+    found = list(matrices(tracings))
+    x = np.zeros((len(found), max(len(m) for m in found), width), dtype=np.float32)
+    mask = np.zeros((len(found), width), dtype=np.float32)
+    for k, (m, start, n) in enumerate(zip(found, starts.tolist(), lengths.tolist(), strict=True)):
+        n = max(min(n, width, m.shape[1] - start), 0)
+        x[k, : len(m), :n] = m[:, start : start + n]
+        mask[k, :n] = 1
+    return x, mask
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def score_batches(plan: DataFrame, signals: DataFrame, load_model: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """rec_id, labels, probs, finite, width of the plan's rows.
+
+    plan: rows of planned_rows (exam_id, labels, length, start_offset, width, place and the batch's keys); signals: exam_id, tracing.
+    Rows are dealt by batch, so each batch is in one task and in order, and the model is called once a batch with a tensor of its
+    width and the mask of valid samples. Where plan and signals are bucketed alike (sources.shards) that is the only shuffle. The model is loaded once for each task. Exams without a tracing, without
+    samples, or with leads of different lengths, are skipped, and do not change the width.
+    """
+    keys = [*BATCH, "place"]
+    usable = kept_records(mark_rejects(signals.select("exam_id", "tracing"))).filter(n_samples() > 0)
+    rows = plan.select("exam_id", "labels", "length", "start_offset", "width", *keys).join(usable, "exam_id")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *BATCH).sortWithinPartitions(*keys)
+    shape = ["exam_id", "labels", "width"]
+    schema = rows.select(F.col("exam_id").alias("rec_id"), "labels").schema.add("probs", ArrayType(DoubleType())).add("finite", "boolean").add("width", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model()
-        for b in batches:
-            b = b[[len(t) > 0 and len(t[0]) > 0 for t in b.tracing]]
-            if b.empty:
-                continue
-            logits = model([np.stack([np.asarray(lead, dtype=np.float32) for lead in t]) for t in b.tracing])
+
+        def scored(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            width = t["width"][0].as_py()
+            x, mask = padded(t["tracing"].combine_chunks(), t["start_offset"].to_numpy(), t["length"].to_numpy(), width)
+            logits = np.asarray(model(x, mask), dtype=np.float64)
             with np.errstate(over="ignore"):
-                probs = 1 / (1 + np.exp(-logits.astype(np.float64)))
-            yield pd.DataFrame({"rec_id": b.rec_id.to_numpy(), "labels": b.labels.to_list(), "probs": probs.tolist(), "finite": np.isfinite(logits).all(axis=1)})
+                probs = 1 / (1 + np.exp(-logits))
+            finite = pa.array(np.isfinite(logits).all(axis=1))
+            columns = [t["exam_id"].combine_chunks(), t["labels"].combine_chunks(), pa.array(list(probs), pa.list_(pa.float64())), finite, pa.array([width] * len(t), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        held: list[pa.RecordBatch] = []
+        at = None
+        for b in batches:
+            of = list(zip(*[b.column(len(shape) + k).to_pylist() for k in range(len(BATCH))], strict=True))
+            start = 0
+            for k, key in enumerate(of):
+                if key != at:
+                    if k > start:
+                        held.append(b.slice(start, k - start))
+                    if held:
+                        yield scored(held)
+                    held, at, start = [], key, k
+            if b.num_rows > start:
+                held.append(b.slice(start))
+        if held:
+            yield scored(held)
+
+    return dealt.select(*shape, *BATCH, "start_offset", "length", "tracing").mapInArrow(run, schema)
+
+
+def fold_predictions(preds: DataFrame, weights: list[list[float]], nsr: int, bounds: list[float]) -> DataFrame:
+    """signature, n, correct, inactive: records of equal labels and, class by class, equal intervals between bounds, counted.
+
+    A signature is the labels and then the intervals, a byte each: how many bounds the probability reaches (none for NaN or null).
+    """
+    if len(bounds) > 255:
+        raise ValueError("more than 255 bounds")
+    k = len(weights)
+    w = np.array([[0.0 if x != x else x for x in row] for row in weights])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(-1, k)
+            p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            steps = np.searchsorted(bounds, p, side="right")
+            steps[np.isnan(p)] = 0
+            packed = np.concatenate([y, steps], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed], pa.binary())], ["signature"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, _ = read_signatures(b.column(0), k)
+            row = y @ w
+            correct = np.divide((row * y).sum(axis=1), y.sum(axis=1), out=np.zeros(len(y)), where=y.any(axis=1))
+            inactive = row[:, nsr] / (y.sum(axis=1) + ~y[:, nsr])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(correct), pa.array(inactive)], ["signature", "n", "correct", "inactive"])
+
+    rows = preds.select("labels", F.transform("probs", lambda p: F.coalesce(p.cast("double"), F.lit(NAN))).alias("probs"))
+    folded = rows.mapInArrow(signed, "signature binary").groupBy("signature").agg(F.count("*").alias("n"))
+    return folded.mapInArrow(parts, "signature binary, n long, correct double, inactive double")
 
-    return df.select("rec_id", "labels", "tracing").mapInPandas(run, "rec_id long, labels array<boolean>, probs array<double>, finite boolean")
 
+def read_signatures(column: pa.BinaryArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (bool) and intervals (uint8) of fold_predictions' signatures, rows by k."""
+    both = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 2 * k)
+    return both[:, :k].astype(bool), both[:, k:]
 
-def interval_sums(base: DataFrame, weights: list[list[float]], now: list[float], i: int, candidates: list[float]) -> np.ndarray:
-    """What class i's candidates need, a row for each of their len(candidates) + 1 intervals: sums over the records whose probability
-    falls there of observed with the class decided and not, correct, inactive, records, and by class positives, tp and fp
-    (those of class i are filled in later). One matrix product for a batch; so many rows come back from a task.
+
+def interval_sums(folded: DataFrame, weights: list[list[float]], now: list[int], i: int, steps: int) -> np.ndarray:
+    """What class i's candidates need, a row for each of its intervals: sums over the records whose probability falls there of observed
+    with the class decided and not, correct, inactive, records, and by class positives, tp and fp (those of class i are filled in
+    later). `now` has how many bounds a probability must reach to be decided. One matrix product for a batch; `steps` rows a task.
     """
     w = np.array([[0.0 if x != x else x for x in row] for row in weights])
     k = len(now)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(candidates) + 1, 5 + 3 * k))
+        total = np.zeros((steps, 5 + 3 * k))
         for b in batches:
-            y = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            d = p >= np.array(now)
+            y, of = read_signatures(b.column(0), k)
+            d = of >= np.array(now)
             d[:, i] = False
             row, off = y @ w, (y | d).sum(axis=1)
             low, on = (row * d).sum(axis=1), off + ~y[:, i]
             values = [(low + row[:, i]) / on, np.divide(low, off, out=np.zeros(len(y)), where=off > 0), b.column(2).to_numpy(), b.column(3).to_numpy(), np.ones(len(y)), *y.T, *(y & d).T, *(~y & d).T]
-            step = np.searchsorted(candidates, p[:, i], side="right")
-            step[np.isnan(p[:, i])] = 0
+            n = b.column(1).to_numpy()
             for c, v in enumerate(values):
-                total[:, c] += np.bincount(step, weights=v, minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total))], ["step", "sums"])
+                total[:, c] += np.bincount(of[:, i], weights=v * n, minlength=steps)
+        yield pa.RecordBatch.from_arrays([pa.array(range(steps), pa.int32()), pa.array(list(total))], ["step", "sums"])
 
-    wide = base.select("labels", "probs", "correct", "inactive").mapInArrow(run, "step int, sums array<double>")
+    wide = folded.mapInArrow(run, "step int, sums array<double>")
     sums = wide.groupBy("step").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(5 + 3 * k)]).alias("sums"))
-    out = np.zeros((len(candidates) + 1, 5 + 3 * k))
-    for r in sums.collect():  # len(candidates) + 1 rows
+    out = np.zeros((steps, 5 + 3 * k))
+    for r in sums.collect():  # a row for each interval
         out[r.step] = r.sums
     return out
 
@@ -67,20 +150,21 @@ def interval_sums(base: DataFrame, weights: list[list[float]], now: list[float],
 def tune_thresholds(preds: DataFrame, weights: list[list[float]], nsr: int, epochs: int = 3, candidates: list[float] = CANDIDATES) -> dict[str, tuple[float, list[float]]]:
     """metric -> (score, thresholds) for challenge_score, macro_f1 and mcc seen on the challenge-driven path.
 
-    One class is tuned at a time. Only its bit differs between candidates, so a record has two challenge parts, and falls
-    into one of len(candidates) + 1 intervals by its probability; one aggregate of that many rows answers all candidates.
-    Of equal scores the smallest candidate wins.
+    All that the search asks of a record is its labels and between which candidates its probabilities lie, so records are folded to
+    such signatures once, and each step runs over the distinct ones. One class is tuned at a time: only its bit differs between
+    candidates, so one aggregate by interval answers them all. Of equal scores the smallest candidate wins.
     """
     k = len(weights)
-    now = [0.5] * k
-    base = preds.select("rec_id", "labels", F.transform("probs", lambda p: p.cast("double")).alias("probs"), F.col("labels").alias("decided"))
-    base = record_scores(base, weights, nsr).select("labels", "probs", "correct", "inactive")
-    base = durable(base.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tuning")  # what no step changes is worked out once
-    best = {m: (-np.inf, list(now)) for m in ("challenge_score", "macro_f1", "mcc")}
+    candidates = sorted(candidates)
+    bounds = sorted({*candidates, 0.5})
+    reach = [bounds.index(c) + 1 for c in candidates]  # how many bounds a probability reaches from a candidate on
+    now = [bounds.index(0.5) + 1] * k
+    folded = durable(fold_predictions(preds, weights, nsr, bounds), "tuning")
+    best = {m: (-np.inf, [0.5] * k) for m in ("challenge_score", "macro_f1", "mcc")}
     for i in [*range(k)] * epochs:
-        sums = interval_sums(base, weights, now, i, candidates)
+        sums = interval_sums(folded, weights, now, i, len(bounds) + 1)
         # above[c]: records whose probability reaches candidate c
-        above = sums[::-1].cumsum(axis=0)[::-1][1:]
+        above = sums[::-1].cumsum(axis=0)[::-1][reach]
         whole = sums.sum(axis=0)
         observed = above[:, 0] + (whole - above)[:, 1]
         correct, inactive, n = whole[2], whole[3], whole[4] * k
@@ -98,8 +182,8 @@ def tune_thresholds(preds: DataFrame, weights: list[list[float]], nsr: int, epoc
             found = np.round(found, 12)
             if (found > best[m][0]).any():
                 c = int(np.nanargmax(found))
-                best[m] = (float(found[c]), [*now[:i], candidates[c], *now[i + 1 :]])
-        now[i] = candidates[int(np.argmax(np.round(chal, 12)))]
+                best[m] = (float(found[c]), [bounds[r - 1] for r in [*now[:i], reach[c], *now[i + 1 :]]])
+        now[i] = reach[int(np.argmax(np.round(chal, 12)))]
     return best
 
 

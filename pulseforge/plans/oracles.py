@@ -155,11 +155,19 @@ ORACLES |= {
     "W6_batch_plan": _batches(f"length * (1 + ({keyed('42', 'exam_id')} / 4294967296.0::double - 0.5::double) * 0.4::double)"),
     "W6_batch_plan_validation": _batches("length"),
     "W7_sample_per_source": f"with {INV}, s as (select exam_id, source, row_number() over (partition by source order by {keyed('42', 'exam_id')}, exam_id) as k from inv) select exam_id, source, row_number() over (partition by source order by exam_id)::int as sample_pos from s where k <= 20",
-    "U1_score_batches": "with n as (select user_id, count(*) as n from events group by 1) select user_id as rec_id, k::int as class_idx, user_id % 5 = k as label, round(1 / (1 + exp(-(n / 100 - k))), 6) as prob from n cross join (select unnest(range(5)) as k)",
     "U2_probability_intervals": f"with {CELLS} select class_idx::int as class_idx, len(list_filter({_list(CANDIDATES, 'double')}, lambda c: prob >= c))::int as step, count(*) as n, sum(label::int)::bigint as positives from cells group by 1, 2",
 }
 ORACLES["G4_z_norm_long"] = ORACLES["G4_z_norm"]
 
+ORACLES["U1_score_batches"] = f"""{CUT}, inv as (select exam_id, exam_id as patient_id, (e - s)::int as length from bnd), {SPLIT}, {BUCKETS}, {SHARDS},
+mg as (select *, (row_number() over (partition by split, shard_id order by pos) - 1) // 128 as mega from shd),
+bt as (select *, (row_number() over (partition by split, shard_id, mega order by length, exam_id) - 1) // 16 as batch from mg),
+wd as (select *, count(*) over w as nr, max(length) over w as width from bt window w as (partition by split, shard_id, mega, batch)),
+ok as (select exam_id, length, width from wd where nr > 1 and width >= 50 and exam_id % 31 not in (3, 7)),
+st as (select exam_id, avg(x) filter (where lead = 0) as a, greatest(max(x) filter (where lead = 0), case when any_value(length < width) then 0 end) as g, avg(x) filter (where lead = 1) as c, any_value(length)::double / any_value(width) as f, any_value(width) as width
+  from ok join bnd using (exam_id) join lng using (exam_id) where t >= s and t < e group by exam_id),
+lg as (select exam_id, width, unnest([0, 1, 2, 3, 4]) as k, unnest([a / 50 - 1, g / 100, c / 50, f, a - c]) as z from st)
+select exam_id as rec_id, k::int as class_idx, exam_id % 5 = k as label, round(1 / (1 + exp(-z)), 6) as prob, width::bigint as width from lg"""
 _POINT = f"""{CUT}, g as (select exam_id, lead, k, q from (select exam_id, unnest(range(cast(ceil((e - s) / 25.0) as bigint))) as k from bnd) cross join (select unnest([0, 1]) as lead) cross join (select unnest(range(25)) as q)),
 v as (select g.exam_id, k, g.lead, q, coalesce(x, 0.0) as x, max(abs(coalesce(x, 0.0))) over (partition by g.exam_id, k) as peak from g left join lng l on l.exam_id = g.exam_id and l.lead = g.lead and l.t = k * 25 + q)
 select cast(exam_id as varchar) as exam_id, k::int as window, lead, q::int as t, """

@@ -70,7 +70,7 @@ def test_every_resample_is_of_as_many_draws_as_records(spark):
     assert set(sums) == set(range(n)) and all(s[0] == size for s in sums.values())
     assert {r.it: r.sums for r in metrics.exact_sums(records.repartition(3), n, 7, 8).collect()} == sums
     plan = metrics.exact_sums(records, n, 7)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning(leaf" in plan and "Join" not in plan and "Generate explode" not in plan
+    assert "hashpartitioning(leaf" in plan and "Join" not in plan and "Generate explode" not in plan
     means = np.array([s[1] / size for s in sums.values()])
     assert abs(means.mean() - (size - 1) / 2) < 5 and 2 < means.std() < 9  # about 87 / sqrt(301)
     loose = [r.sums[0] for r in metrics.resample_sums(metrics.poisson_draws(records, n, 7), n).collect()]
