@@ -278,19 +278,30 @@ tap as (select o.exam_id, lead, m, x, cut / old as g, (t / old::double - m / new
 ker as (select *, case when z = 0 then 1.0 else sin(pi() * z) / (pi() * z) end * ({_i0('14.769656459379492 * sqrt(greatest(1 - (z / 6) ** 2, 0))')}) / ({_i0('14.769656459379492')}) * g as h from tap),
 rs as (select exam_id, lead, m, sum(x * h) as x from ker group by 1, 2, 3)"""
 ORACLES["G3_resample"] = f"with {_RESAMPLED} select cast(exam_id as varchar) as exam_id, lead, m::int as t, round(x, 4) as x from rs"
+def _bins(samples: str, exams: str, n: int, *keys: str) -> str:
+    """bn (keys, f, q, re, im): the transforms of windowed frames, sums over samples that are not 0; bins without one are 0.
+
+    samples: keys, f, j, v; exams: keys, frames.
+    """
+    by = ", ".join(keys)
+    return f"""ft as ({_fourier(f"(select * from {samples} where v <> 0)", n, *keys)}),
+bn as (select {by}, f, q, coalesce(re, 0) as re, coalesce(im, 0) as im from (select {by}, unnest(range(frames)) as f from {exams}) cross join (select unnest(range({n // 2 + 1})) as q) left join ft using ({by}, f, q))"""
+
+
 ORACLES["G10_log_spectrogram"] = f"""with {_RESAMPLED}, nn as (select exam_id, max(m) + 1 as n from rs group by 1),
-fr as (select exam_id, lead, f, j, n, f * 16 + j - 16 as p from (select exam_id, n, unnest(range(n // 16 + 1)) as f from nn) cross join (select unnest(range(32)) as j) cross join (select unnest([0, 1]) as lead)),
-sm as (select a.exam_id, a.lead, f, j, coalesce(x, 0) * (0.5 - 0.5 * cos(2 * pi() * j / 32)) as v from fr a left join rs on rs.exam_id = a.exam_id and rs.lead = a.lead
-  and rs.m = case when n > 16 and p < 0 then -p when n > 16 and p >= n then 2 * (n - 1) - p else p end),
-ft as ({_fourier('sm', 32, 'exam_id', 'lead')}), lg as (select *, ln(greatest(re * re + im * im, 1e-10)) as s from ft)
+ex as (select exam_id, lead, n, n // 64 + 1 as frames from nn cross join (select unnest([0, 1]) as lead)),
+fr as (select exam_id, lead, f, j, n, f * 64 + j - 64 as p from (select exam_id, lead, n, unnest(range(frames)) as f from ex) cross join (select unnest(range(128)) as j)),
+sm as (select a.exam_id, a.lead, f, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 128)) as v from fr a join rs on rs.exam_id = a.exam_id and rs.lead = a.lead
+  and rs.m = case when n > 64 and p < 0 then -p when n > 64 and p >= n then 2 * (n - 1) - p else p end),
+{_bins('sm', 'ex', 128, 'exam_id', 'lead')}, lg as (select *, ln(greatest(re * re + im * im, 1e-10)) as s from bn)
 select cast(exam_id as varchar) as exam_id, lead, q::int as freq, f::int as frame,
   round((s - avg(s) over (partition by exam_id, lead)) / greatest(stddev_samp(s) over (partition by exam_id, lead), 1e-8), 4) as x from lg"""
-ORACLES["G11_chunk_stft"] = f"""{CUT}, ch as (select exam_id, k from (select exam_id, e - s as length, unnest(range(cast(ceil(n / 40.0) as bigint))) as k from bnd) where k * 40 < length),
-fr as (select exam_id, lead, k, f, j, f * 8 + j - 8 as p from ch cross join (select unnest(range(6)) as f) cross join (select unnest(range(16)) as j) cross join (select unnest([0, 1]) as lead)),
-sm as (select a.exam_id, a.lead, k, f, j, coalesce(x, 0) * (0.5 - 0.5 * cos(2 * pi() * j / 16)) as v from fr a left join lng l on l.exam_id = a.exam_id and l.lead = a.lead
-  and l.t = k * 40 + case when p < 0 then -p when p >= 40 then 78 - p else p end),
-ft as ({_fourier('sm', 16, 'exam_id', 'lead', 'k')})
-select cast(exam_id as varchar) as exam_id, k::int as chunk, lead, q::int as freq, f::int as frame, round(ln(1 + sqrt(re * re + im * im)), 4) as x from ft"""
+ORACLES["G11_chunk_stft"] = f"""{CUT}, ex as (select exam_id, lead, k, 63 as frames from (select exam_id, e - s as length, unnest(range(cast(ceil(n / 4000.0) as bigint))) as k from bnd) cross join (select unnest([0, 1]) as lead) where k * 4000 < length),
+fr as (select exam_id, lead, k, f, j, f * 64 + j - 128 as p from (select exam_id, lead, k, unnest(range(frames)) as f from ex) cross join (select unnest(range(256)) as j)),
+sm as (select a.exam_id, a.lead, k, f, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 256)) as v from fr a join lng l on l.exam_id = a.exam_id and l.lead = a.lead
+  and l.t = k * 4000 + case when p < 0 then -p when p >= 4000 then 7998 - p else p end),
+{_bins('sm', 'ex', 256, 'exam_id', 'lead', 'k')}
+select cast(exam_id as varchar) as exam_id, k::int as chunk, lead, q::int as freq, f::int as frame, round(ln(1 + sqrt(re * re + im * im)), 4) as x from bn"""
 _CLEANED = ORACLES["G2_remove_baseline"].replace("round(case", "(case").replace("else 0.0 end, 6) as x", "else 0.0 end) as x")
 ORACLES["normalize_signals"] = f"""with g2 as ({_CLEANED}), rt as (select distinct exam_id, end_idx as n, cast(exam_id as int) % 5 as k, ({_list(RATES)})[cast(exam_id as int) % 5 + 1] as rate from g2),
 rr as (select *, rate // gcd(rate, 400) as old, 400 // gcd(rate, 400) as new from rt where k <> 4),

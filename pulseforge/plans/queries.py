@@ -356,12 +356,12 @@ def _bins(spec: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def G10_log_spectrogram(s, d):
-    return _bins(signals.log_spectrogram(signals.resample(b.array_signal(s, d), kind="double"), 32, 16, "double"), "exam_id", "lead")
+    return _bins(signals.log_spectrogram(signals.resample(b.array_signal(s, d), kind="double"), kind="double"), "exam_id", "lead")
 
 
 @query
 def G11_chunk_stft(s, d):
-    return _bins(signals.chunk_stft(signals.length_offset(b.array_signal(s, d)), 16, 8, 40, "double"), "exam_id", "chunk", "lead")
+    return _bins(signals.chunk_stft(signals.length_offset(b.array_signal(s, d)), kind="double"), "exam_id", "chunk", "lead")
 
 
 @query
