@@ -8,7 +8,7 @@ begins at the merged token, the one before it, and the one that is gone. Each ch
 neighbours are kept in two arrays. A match of n bytes so takes n log n steps, however long it is.
 
 Ranks are read from a file on the driver, whose path is a parameter, and broadcast: a vocabulary is of bounded size, checked by
-MOST_RANKS. Matches up to CACHED_BYTES are kept by worker with their ids, CACHED of them at most.
+MOST_RANKS. Matches up to CACHED_BYTES are kept by worker with their ids, twice CACHED of them at most.
 
 Defined results
 - Null text counts as empty, with no ids; an empty table gives an empty result. Repeated rows are each returned.
@@ -107,20 +107,24 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids of pieces, encoded when they are first asked for; short ones are kept."""
+    """Ids of pieces, encoded when they are first asked for. Short ones are kept, and of those kept before what is asked for again."""
 
     def __init__(self, vocabulary: Ranks):
         super().__init__()
-        self.ranks, self.longest = vocabulary.ranks, vocabulary.longest
+        self.ranks, self.longest, self.before = vocabulary.ranks, vocabulary.longest, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        raw = text.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks, self.longest)) if raw else ()
-        if len(raw) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.clear()
-            self[text] = ids
+        ids = self.before.get(text)
+        if ids is None:
+            raw = text.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(raw)
+            ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks, self.longest)) if raw else ()
+            if len(raw) > CACHED_BYTES:
+                return ids
+        if len(self) >= CACHED:
+            self.before = dict(self)
+            self.clear()
+        self[text] = ids
         return ids
 
 
