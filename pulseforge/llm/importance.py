@@ -185,6 +185,7 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words
     gains[[r.bucket for r in found]] = [r.gain for r in found]
     scored = weigh(texts, ["doc_id", "t"], spark.sparkContext.broadcast(gains), buckets)
     scored = scored.withColumn("score", F.col("weight") + noise(seed, F.col("doc_id")))
+    scored = durable(scored, "weights")  # slim rows; ranges are sampled before they are dealt, and texts must not be read for that
     long_enough = F.col("n_words") >= least_words
     order = scored.withColumns({"__in": long_enough, "__low": -F.col("score"), "__no_id": F.col("doc_id").isNull()})
     ranked = durable(global_rank(order, ["__low", "__no_id", "doc_id", "t"], ["__in"], "__r"), "scores")
