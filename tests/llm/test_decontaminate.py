@@ -186,3 +186,40 @@ def test_words_longer_than_a_piece_count_whole():
     (found,) = decontaminate.word_ids([" ".join(words)])
     assert [int(x) for x in found] == [by_definition(w) for w in words]
     assert len(set(found.tolist())) == len(words)
+
+
+def brute_force(texts, items):
+    """(document number, item_id) of every item that some stretch of a document confirms, whatever stretch that is.
+
+    The rule is the docstring's 4; a stretch is as long as the longest that the search looks at. Only what is lossless is skipped:
+    stretches that hold less than MIN_LCS of an item's words in any order.
+    """
+    words = [t.lower().translate(str.maketrans({c: " " for c in ".,;:!?\"'()[]|"})).split() for t in texts]
+    held = set()
+    for item_id, text in items:
+        a = text.lower().translate(str.maketrans({c: " " for c in ".,;:!?\"'()[]|"})).split()
+        n = len(a)
+        wide = 2 * n + 24
+        for d, b in enumerate(words):
+            near = np.concatenate([[0], np.cumsum(np.isin(b, a))]) if b else np.zeros(1)
+            ends = np.minimum(np.arange(len(b)) + wide, len(b))
+            for s in np.flatnonzero(near[ends] - near[np.arange(len(b))] >= decontaminate.MIN_LCS * n).tolist():
+                some = b[s : s + wide]
+                covered = decontaminate.lcs(a, some) / n
+                tail = a[-decontaminate.ANSWER :]
+                if covered >= decontaminate.SURE_LCS or covered >= decontaminate.MIN_LCS and decontaminate.lcs(tail, some) >= decontaminate.MIN_ANSWER * len(tail):
+                    held.add((d, item_id))
+                    break
+    return held
+
+
+def test_query_against_brute_force_over_the_tables(spark, sf):
+    from pulseforge.llm.queries import QUERIES
+
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.item_id is not None and r.text]
+    want = {(docs[d][0], i) for d, i in brute_force([t for _, t in docs], items)}
+    rows = QUERIES["op8_decontaminate"](spark, sf).collect()
+    got = {(r.doc_id, i) for r in rows for i in r.item_ids}
+    assert want and got <= want and len(got) >= 0.9 * len(want)
+    assert all(r.contaminated == (r.n_items > 0) == (r.doc_id in {d for d, _ in got}) for r in rows) and len(rows) == len(docs)
