@@ -66,3 +66,38 @@ def test_the_index_is_not_shuffled(spark):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Bucketed: true" in plan
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_no_index_row_is_sorted_or_shuffled(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    for n in range(3):
+        answers(index, [(1000 * n + i, f"text {i}") for i in range(50 * n, 50 * n + 80)], f"b{n}")
+    groups = spark.createDataFrame([(bytes([k]), k, 1) for k in range(9)], "digest binary, keep_id long, group_size long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with exact_dedup.sorted_buckets(spark):
+            plan = index.answers(groups, "next")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_partitions_are_folded(spark):
+    index, want = exact_dedup.DigestIndex(spark, buckets=3, most_parts=2), {}
+    batches = [[(100 * n + i, f"t {(7 * n + i) % 40}") for i in range(15)] for n in range(7)]
+    first = []
+    for n, rows in enumerate(batches):
+        got = answers(index, rows, f"b{n}")
+        for i, t in rows:
+            group = [j for j, u in rows if u == t]
+            assert (i, want.get(t, max(group)), t not in want and i == max(group)) in got
+        want |= {t: max(j for j, u in rows if u == t) for _, t in rows if t not in want}
+        first.append(got)
+        assert len(index.parts()) <= 2 and index.rows().count() == len(want)
+    for n in (0, 3, 6):
+        assert answers(index, batches[n], f"b{n}") == first[n] and index.rows().count() == len(want)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.batches() == [f"b{n}" for n in range(7)] and again.rows().count() == len(want)
+    assert answers(again, [(5000, "t 3"), (5001, "unseen")]) == {(5000, want["t 3"], False), (5001, 5001, True)}
