@@ -184,10 +184,10 @@ def _join_source(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 
 def mix_digest(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words of the draws dealt to shards), n_draws."""
-    dealt = F.filter("draws", lambda d: d["shard"] < shards)
-    words = F.aggregate(dealt, F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return plan_mix(docs, shards).select("doc_id", "size", "source_size", "target", words.alias("taken"), F.size(dealt).cast("long").alias("n_draws"))
+    """doc_id, size, source_size, target, taken (words of the draws), n_draws, dealt (copy:shard:words of each draw, in order)."""
+    words = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    dealt = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["copy"], d["shard"], d["words"])), ",")
+    return plan_mix(docs, shards).select("doc_id", "size", "source_size", "target", words.alias("taken"), F.size("draws").cast("long").alias("n_draws"), dealt.alias("dealt"))
 
 
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:

@@ -8,22 +8,50 @@ groups as (select d, max(doc_id) as keep_id, cast(sum(n) as bigint) as group_siz
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, d as text_sha256 from rows join groups using (d)
 """
 
+def _keyed(seed: str, *parts: str) -> str:
+    return f"cast('0x' || substr(md5('{seed}' || " + " || ".join(f"'|' || coalesce(cast({p} as varchar), '')" for p in parts) + "), 1, 8) as bigint)"
+
+
+def _dealt(depth: int) -> str:
+    """m0 to m{depth}: items (node, i, source, quota); each level deals every node's left half a hypergeometric draw of each source."""
+    q = ["m0 as (select 1 as node, row_number() over (order by source nulls first) as i, source, cast(sum(n_draws) as bigint) as quota from placed group by source)"]
+    for d in range(depth):
+        u = f"({_keyed('42u', 'node', 'source')} + ({_keyed('42v', 'node', 'source')} + 0.5::double) / 4294967296.0::double) / 4294967296.0::double"
+        weights = "list_transform(range(a, b + 1), lambda k: exp(c - lgamma(k + 1.0::double) - lgamma(quota - k + 1.0::double) - lgamma(slots - k + 1.0::double) - lgamma(rest - quota - slots + k + 1.0::double)))"
+        mode = "lgamma(mid + 1.0::double) + lgamma(quota - mid + 1.0::double) + lgamma(slots - mid + 1.0::double) + lgamma(rest - quota - slots + mid + 1.0::double)"
+        q.append(f"""r{d} as (with recursive r as (
+  select node, 0::bigint as i, null::varchar as source, 0::bigint as quota, cast(sum(quota) as bigint) as rest, cast(sum(quota) // 2 as bigint) as slots, 0::bigint as n from m{d} group by node
+  union all
+  select node, i, source, quota, rest - quota, slots - n, n from (select *, least(a + len(list_filter(range(1, len(w) + 1), lambda j: list_sum(w[1:j]) < {u} * list_sum(w))), b) as n
+    from (select *, {weights} as w from (select *, {mode} as c from (select *, greatest(a, least(b, round(mean)::bigint)) as mid
+    from (select *, greatest(a, least(hi, ceil(mean + 8 * spread + 8)::bigint)) as b from (select *, greatest(lo, floor(mean - 8 * spread - 8)::bigint) as a
+    from (select r.node, t.i, t.source, t.quota, r.rest, r.slots, r.slots * (t.quota / greatest(r.rest, 1)) as mean,
+      sqrt(r.slots * (t.quota / greatest(r.rest, 1)) * (1 - t.quota / greatest(r.rest, 1)) * (r.rest - r.slots) / greatest(r.rest - 1, 1)) as spread,
+      greatest(r.slots - (r.rest - t.quota), 0) as lo, least(t.quota, r.slots) as hi from r join m{d} t on t.node = r.node and t.i = r.i + 1)))))))) select * from r where i > 0)""")
+        q.append(f"m{d + 1} as (select 2 * node as node, i, source, n as quota from r{d} union all select 2 * node + 1, i, source, quota - n from r{d})")
+    return ", ".join(q)
+
+
 MIX = r"""
 with slim as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
     cast('0x' || substr(md5('42|' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h from documents),
-s0 as (select source, cast(sum(size) as bigint) as source_size from slim group by source),
+s0 as (select source, cast(sum(size) as bigint) as source_size, count(*) filter (where size > 0) as n_docs from slim group by source),
 s1 as (select *, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from s0),
 s2 as (select *, source_size * 3 / w as ratio, (sum(source_size) over () - coalesce(sum(source_size * 3) over b, 0))
     / (sum(w) over () - coalesce(sum(w) over b, 0)) as lv from s1
     window b as (order by source_size * 3 / w, source nulls last rows between unbounded preceding and 1 preceding)),
-s3 as (select source, source_size, least(source_size * 3.0::double, w * (select min_by(lv, ratio) from s2 where ratio >= lv)) as target from s2),
+s3 as (select source, source_size, n_docs, least(source_size * 3.0::double, w * (select min_by(lv, ratio) from s2 where ratio >= lv)) as target from s2),
 s4 as (select *, cast(floor(target + 0.5) as bigint) // greatest(source_size, 1) as passes from s3),
-placed as (select s.*, t.source_size, t.target, t.passes, cast(floor(t.target + 0.5) as bigint) - t.passes * t.source_size as rest,
-    sum(s.size) over (partition by s.source order by s.h, s.doc_id rows unbounded preceding) - s.size as before
-  from slim s join s4 t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target, cast(passes * size + greatest(0, least(size, rest - before)) as bigint) as taken,
-  case when size > 0 then cast(passes + (rest > before)::int as bigint) else 0 end as n_draws from placed
+ordered as (select s.*, t.source_size, t.target, t.passes, t.n_docs, cast(floor(t.target + 0.5) as bigint) - t.passes * t.source_size as rest,
+    sum(s.size) over o - s.size as before, sum((s.size > 0)::int) over o - 1 as rank
+  from slim s join s4 t on s.source is not distinct from t.source window o as (partition by s.source order by s.h, s.doc_id rows unbounded preceding)),
+placed as (select *, cast(greatest(0, least(size, rest - before)) as bigint) as last, case when size > 0 then cast(passes + (rest > before)::int as bigint) else 0 end as n_draws from ordered),
+""" + _dealt(4) + """,
+ends as (select source, list(e order by node) as ends from (select source, node, sum(quota) over (partition by source order by node) as e from m4) group by source)
+select doc_id, size, source_size, target, cast(passes * size + last as bigint) as taken, n_draws,
+  array_to_string(list_transform(range(n_draws), lambda c: c || ':' || len(list_filter(ends, lambda e: e <= c * n_docs + rank)) || ':' || case when c < passes then size else last end), ',') as dealt
+from placed left join ends on placed.source is not distinct from ends.source
 """
 
 WARC = """
