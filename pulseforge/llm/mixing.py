@@ -211,6 +211,17 @@ def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame
 def write_mix(docs: DataFrame, path: str | None = None, shards: int = 16, seed: int = SEED) -> str:
     """Write the mix by shard, each shuffled locally; returns the folder."""
     path = path or new_path(docs.sparkSession, "mix")
-    rows = mixed_rows(docs, shards, seed).repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "copy", "text", "words")
-    rows.write.partitionBy("shard").parquet(path)
+    _write(mixed_rows(docs, shards, seed), path, shards)
     return path
+
+
+def written_mix(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
+    """The mix as write_mix leaves it, read back."""
+    rows, path = mixed_rows(docs, shards, seed), new_path(docs.sparkSession, "mix")
+    _write(rows, path, shards)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _write(rows: DataFrame, path: str, shards: int) -> None:
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "copy", "text", "words")
+    dealt.write.partitionBy("shard").parquet(path)
