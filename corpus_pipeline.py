@@ -1,4 +1,11 @@
-"""A training corpus from documents: language, exact copies, near copies, benchmark passages, then the mix."""
+"""A training corpus from documents: language, exact copies, near copies, benchmark passages, then the mix.
+
+Defined results
+- Null texts go in the first stage; empty ones too. Very long texts are read whole by every stage.
+- Rows that repeat both doc_id and text come back once from the copies' stages; rows that share an id alone are told apart by text.
+- All stages but the last return all columns of their input, whatever their names; equal inputs give equal outputs.
+- An empty table gives empty stages.
+"""
 
 from collections.abc import Callable
 
@@ -31,8 +38,11 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: one row per draw, texts of the last pass cut at a word."""
-    return mixing.mixed_rows(docs)
+    """The mix as written: one row per draw, texts of the last pass cut at a word, shards shuffled locally.
+
+    Rows that repeat are each drawn; doc_id, text, lang and source are carried, and columns beside those of documents are not.
+    """
+    return mixing.written_mix(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
