@@ -93,8 +93,12 @@ def with_source_width(df: DataFrame) -> DataFrame:
     The lengths come from a column n_samples, if there is one.
     """
     n = F.col("n_samples") if "n_samples" in df.columns else n_samples()
-    widths = durable(df.select("source", n.alias("n")).groupBy(F.col("source").alias("__source")).agg(F.max("n").alias("source_max_t")), "widths")
-    widths = F.broadcast(widths) if widths.count() <= BROADCAST_SOURCES else widths
+    widths = df.select("source", n.alias("n")).groupBy(F.col("source").alias("__source")).agg(F.max("n").alias("source_max_t"))
+    first = widths.limit(BROADCAST_SOURCES + 1).collect()  # short rows, of a number that is checked
+    if len(first) <= BROADCAST_SOURCES:
+        widths = F.broadcast(df.sparkSession.createDataFrame(first, widths.schema))
+    else:
+        widths = durable(widths, "widths")
     return df.join(widths, df["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
