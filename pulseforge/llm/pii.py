@@ -121,10 +121,15 @@ def _confirmed(kind: str, text: Column, x: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(between: Column, matches: Column) -> Column:
-    """array<struct<s, e, m>> of all matches of the kind."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+def _gaps(between: Column, matches: Column) -> Column:
+    """array<struct<g, n, m>>: each match with its length and that of the text before it; null if there are none."""
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
+    return F.when(F.size(matches) > 0, pairs)
+
+
+def _spans(pairs: Column) -> Column:
+    """array<struct<s, e, m>> of all matches of the kind. pairs, what _gaps made, is a column, as a lambda would make it anew each time."""
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["g"]
@@ -134,13 +139,13 @@ def _spans(between: Column, matches: Column) -> Column:
     def fold(some: Column, start: Column) -> Column:
         return F.aggregate(some, F.struct(start.alias("at"), none.alias("o")), step, lambda acc: acc["o"])
 
-    wide = F.ceil(F.sqrt(F.size(matches))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / wide).cast("int")), lambda k: F.slice(pairs, k * wide + 1, wide))
+    wide = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / wide).cast("int")), lambda k: F.slice(pairs, k * wide + 1, wide))
     total = lambda some: F.aggregate(some, F.lit(0), lambda n, x: n + x["g"] + x["n"])
     begin = lambda acc, some: F.struct((acc["at"] + total(some)).alias("at"), F.concat(acc["o"], F.array(acc["at"])).alias("o"))
     starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o")), begin, lambda acc: acc["o"])
     found = F.flatten(F.zip_with(blocks, starts, fold))
-    return F.when(F.size(matches) > FEW, found).when(F.size(matches) > 0, fold(pairs, F.lit(0))).otherwise(none)
+    return F.when(F.size(pairs) > FEW, found).when(pairs.isNotNull(), fold(pairs, F.lit(0))).otherwise(none)
 
 
 def _score(kind: str, text: Column, s: Column, e: Column) -> Column:
@@ -163,7 +168,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     out = out.select("*", *[matches(k).alias(f"m_{k}") for k in PATTERNS])
     out = out.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(text, PATTERNS[k], -1)).alias(f"p_{k}") for k in PATTERNS])
-    out = out.select("doc_id", "text", _pieces(text).alias("pieces"), *[_spans(F.col(f"p_{k}"), F.col(f"m_{k}")).alias(f"s_{k}") for k in PATTERNS])
+    out = out.select("doc_id", "text", *[_gaps(F.col(f"p_{k}"), F.col(f"m_{k}")).alias(f"g_{k}") for k in PATTERNS])
+    out = out.select("doc_id", "text", _pieces(text).alias("pieces"), *[_spans(F.col(f"g_{k}")).alias(f"s_{k}") for k in PATTERNS])
     pieces = F.col("pieces")
 
     def kept(kind: str) -> Column:
