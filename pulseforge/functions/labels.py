@@ -62,11 +62,12 @@ def derive_labels(codes: Column) -> Column:
     names = F.transform(F.coalesce(codes, F.array().cast("array<string>")), lambda c: F.element_at(known, strip(c)))
     names = F.array_compact(names)
 
-    def label(c: str) -> Column:
+    def label(c: str, names: Column) -> Column:
         said = F.arrays_overlap(names, F.array(*[F.lit(x) for x in MERGED.get(c, [c])]))
         return said & ~F.array_contains(names, "SB") if c == "Brady" else said
 
-    return F.array(*[F.coalesce(label(c), F.lit(False)) for c in CLASSES])
+    # the names are looked up once, not for each class
+    return F.get(F.transform(F.array(names), lambda n: F.array(*[F.coalesce(label(c, n), F.lit(False)) for c in CLASSES])), F.lit(0))
 
 
 def conform_labels(df: DataFrame, classes: list[str]) -> DataFrame:

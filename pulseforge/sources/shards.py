@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import new_path
+from ..shared import durable, new_path
 
 KEY = "exam_id"
 
@@ -39,7 +39,7 @@ def shard_rows(plan: DataFrame, signals: DataFrame, buckets: int) -> DataFrame:
     """plan (exam_id, split, shard_id, pos, length, start_offset, and whatever else a row is traced back by) with width, the longest
     of the shard, and tracing, the active part padded to it. `signals` is what store_signals gave, of as many buckets.
     """
-    spark = plan.sparkSession
+    spark, plan = plan.sparkSession, durable(plan, "shard_inventory")
     widths = plan.groupBy("split", "shard_id").agg(F.max("length").alias("width"))
     slim = bucketed(plan.join(widths, ["split", "shard_id"]), new_path(spark, "shard_plan"), buckets)
     met = signals.join(slim.hint("shuffle_hash"), KEY)
