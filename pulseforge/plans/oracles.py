@@ -300,8 +300,9 @@ ORACLES["G11_chunk_stft"] = f"""{CUT}, ex as (select exam_id, lead, k, 63 as fra
 fr as (select exam_id, lead, k, f, j, f * 64 + j - 128 as p from (select exam_id, lead, k, unnest(range(frames)) as f from ex) cross join (select unnest(range(256)) as j)),
 sm as (select a.exam_id, a.lead, k, f, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 256)) as v from fr a join lng l on l.exam_id = a.exam_id and l.lead = a.lead
   and l.t = k * 4000 + case when p < 0 then -p when p >= 4000 then 7998 - p else p end),
-{_bins('sm', 'ex', 256, 'exam_id', 'lead', 'k')}
-select cast(exam_id as varchar) as exam_id, k::int as chunk, lead, q::int as freq, f::int as frame, round(ln(1 + sqrt(re * re + im * im)), 4) as x from bn"""
+{_bins('sm', 'ex', 256, 'exam_id', 'lead', 'k')},
+lx as (select *, ln(1 + sqrt(re * re + im * im)) as x from bn)
+select cast(exam_id as varchar) as exam_id, k::int as chunk, lead, q::int as freq, count(*)::int as frames, round(sum(x), 3) as total, round(sum(x * f) / 63, 3) as by_frame, round(max(x), 4) as greatest from lx group by exam_id, k, lead, q"""
 _CLEANED = ORACLES["G2_remove_baseline"].replace("round(case", "(case").replace("else 0.0 end, 6) as x", "else 0.0 end) as x")
 ORACLES["normalize_signals"] = f"""with g2 as ({_CLEANED}), rt as (select distinct exam_id, end_idx as n, cast(exam_id as int) % 5 as k, ({_list(RATES)})[cast(exam_id as int) % 5 + 1] as rate from g2),
 rr as (select *, rate // gcd(rate, 400) as old, 400 // gcd(rate, 400) as new from rt where k <> 4),

@@ -361,7 +361,11 @@ def G10_log_spectrogram(s, d):
 
 @query
 def G11_chunk_stft(s, d):
-    return _bins(signals.chunk_stft(signals.length_offset(b.array_signal(s, d)), kind="double"), "exam_id", "chunk", "lead")
+    """A row for each frequency: what its 63 frames add up to, alone and by frame, and the greatest."""
+    spec = signals.chunk_stft(signals.length_offset(b.array_signal(s, d)), kind="double")
+    x = spec.select("exam_id", "chunk", "lead", F.posexplode("spec").alias("freq", "xs"))
+    total = lambda f: F.aggregate(F.transform("xs", f), F.lit(0.0), lambda a, v: a + v)
+    return x.select("exam_id", "chunk", "lead", "freq", F.size("xs").alias("frames"), F.round(total(lambda v, i: v), 3).alias("total"), F.round(total(lambda v, i: v * i) / 63, 3).alias("by_frame"), F.round(F.array_max("xs"), 4).alias("greatest"))
 
 
 @query
