@@ -223,5 +223,9 @@ def written_mix(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFram
 
 
 def _write(rows: DataFrame, path: str, shards: int) -> None:
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "copy", "text", "words")
+    """A shard's rows by place, cut into ranges of places that different tasks write, so a task does not grow with a shard."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+    ranges = 4 * -(-n // shards)
+    cut = F.floor(F.col("place") * ranges / F.lit(2.0**32))
+    dealt = rows.repartition(n, "shard", cut).sortWithinPartitions("shard", "place", "doc_id", "copy", "text", "words")
     dealt.write.partitionBy("shard").parquet(path)
