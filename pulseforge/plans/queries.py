@@ -579,10 +579,11 @@ def U1_score_batches(s, d):
 
     def load():
         def model(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-            """Mean and greatest of the first lead, mean of the second, and how much of the batch's width the exam fills."""
-            valid = mask.sum(axis=1)
+            """Mean and greatest of the first lead, mean of the second, and how much of the batch's width the exam fills; in doubles."""
+            valid = mask.sum(axis=1, dtype=np.float64)
             mean = (x * mask[:, None]).sum(axis=2, dtype=np.float64) / valid[:, None]
-            return np.stack([mean[:, 0] / 50 - 1, x[:, 0].max(axis=1) / 100, mean[:, 1] / 50, valid / x.shape[2], mean[:, 0] - mean[:, 1]], axis=1)
+            greatest = x[:, 0].max(axis=1).astype(np.float64)
+            return np.stack([mean[:, 0] / 50 - 1, greatest / 100, mean[:, 1] / 50, valid / x.shape[2], mean[:, 0] - mean[:, 1]], axis=1)
 
         return model
 

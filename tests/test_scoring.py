@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from compare import duck, rows_of
 from pyspark.sql import functions as F
 
 from pulseforge.operators import inventory as inv
 from pulseforge.operators import scoring
+from pulseforge.plans.oracles import ORACLES
+from pulseforge.plans.queries import QUERIES
 
 
 def exams(spark, n=150):
@@ -59,6 +62,12 @@ def test_exams_without_samples_are_skipped(spark):
         assert r.finite == (of[k].length <= 60) and r.labels == of[k].labels
 
 
+def test_the_querys_probabilities_are_those_of_doubles(spark):
+    df, sf = QUERIES["U1_score_batches"](spark, "/root/testdata/sf0.01"), "/root/testdata/sf0.01"
+    columns = sorted(df.columns)
+    assert rows_of(df, columns) == duck(ORACLES["U1_score_batches"], sf, columns)  # all six digits
+
+
 def test_folded_records_give_the_same_thresholds(spark):
     rng = np.random.default_rng(3)
     y, p = rng.random((400, 3)) < 0.3, np.round(rng.random((400, 3)), 3)
