@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,15 +225,21 @@ def _added(wide: DataFrame) -> DataFrame:
 
 
 def poisson_draws(records: DataFrame, n: int, seed: int) -> DataFrame:
-    """records with `its`, each drawn Poisson(1) times in each resample, which N draws of N tend to; nothing is looked up elsewhere."""
-    u = lambda it: (keyed_hash(seed, it, F.col("rec_id")) + 0.5) / F.lit(2.0**32)
-    times = lambda x: F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: x > c))
-    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda it: F.array_repeat(it, times(u(it))))
-    return records.withColumn("its", F.flatten(each))
+    """times (array<tinyint>, for each resample), stats: each record Poisson(1) times, which N draws of N tend to; nothing is looked
+    up elsewhere. The chance is keyed_hash(seed, resample, rec_id), of a batch of records at once.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            times = draws.poisson_counts(b.column(0).to_pylist(), n, seed, POISSON)
+            flat = pa.array(np.ascontiguousarray(times.T).view(np.int8).ravel())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * n), flat), b.column(1)], ["times", "stats"])
+
+    key = F.coalesce(F.col("rec_id").cast("string"), F.lit("")).cast("binary")
+    return records.select(key.alias("key"), "stats").mapInArrow(run, "times array<tinyint>, stats array<double>")
 
 
 def resample_sums(rows: DataFrame, n: int) -> DataFrame:
-    """rows (its, stats array<double>) -> it, sums array<double>: one matrix product for a batch, n rows for a task."""
+    """rows (times, stats array<double>) -> it, sums array<double>: one matrix product for a batch, n rows for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -242,14 +247,12 @@ def resample_sums(rows: DataFrame, n: int) -> DataFrame:
             if not b.num_rows:
                 continue
             stats = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            many = pc.list_value_length(b.column(0)).to_numpy()
-            cell = b.column(0).flatten().to_numpy().astype(np.int64) * b.num_rows + np.repeat(np.arange(b.num_rows), many)
-            times = np.bincount(cell, minlength=n * b.num_rows).reshape(n, b.num_rows)
+            times = b.column(0).flatten().to_numpy().reshape(b.num_rows, n).T.astype(np.float64)
             total = times @ stats if total is None else total + times @ stats
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(total))], ["it", "sums"])
 
-    return _added(rows.select("its", "stats").mapInArrow(run, "it int, sums array<double>"))
+    return _added(rows.select("times", "stats").mapInArrow(run, "it int, sums array<double>"))
 
 
 def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int = 100, seed: int = 42, poisson: bool = False, leaves: int | None = None) -> DataFrame:
@@ -257,6 +260,9 @@ def bootstrap_ci(preds: DataFrame, weights: list[list[float]], nsr: int, n: int
     many records, a Poisson(1) number of each. What a resample needs of a record is one short vector of numbers.
     """
     k = len(weights)
+    if poisson:  # each record costs n draws, and a table may be one split
+        parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        preds = preds.select("rec_id", "labels", "decided").repartition(parts, "rec_id")
     r = record_scores(preds, weights, nsr)
     wrong = _both(F.col("labels"), F.col("decided"), lambda a, b: (a != b).cast("int"))
     bits = [F.zip_with("labels", "decided", f) for f in (lambda y, d: (y & d).cast("double"), lambda y, d: (~y & d).cast("double"), lambda y, d: (y & ~d).cast("double"))]

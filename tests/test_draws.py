@@ -1,5 +1,6 @@
 """Binomials and the splitting tree against definitions."""
 
+from hashlib import md5
 from math import comb, lgamma
 
 import numpy as np
@@ -38,3 +39,12 @@ def test_local_draws_are_uniform():
     assert abs(drawn.var() - 1000 * (1 / 50) * (49 / 50)) < 1.0
     assert abs(np.corrcoef(drawn)[np.triu_indices(300, 1)]).mean() < 0.14  # 1 / sqrt(50) is chance alone
     assert draws.local_counts(np.zeros(3, int), 0, 1, 4, 5).sum() == 0 and draws.local_counts(np.full(3, 5), 0, 1, 0, 5).shape == (3, 0)
+
+
+def test_poisson_counts_are_those_of_md5():
+    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+    keys = [str(k).encode() for k in range(500)] + [b"", b"a\0", "ü€".encode()] + [b"x" * k for k in (47, 48, 49, 50, 51, 111, 112, 200, 201, 1000)]
+    u = lambda it, key: (int(md5(b"42|%d|%s" % (it, key)).hexdigest()[:8], 16) + 0.5) / 2.0**32
+    want = [[sum(u(it, key) > c for c in cdf) for key in keys] for it in range(101)]
+    assert draws.poisson_counts(keys, 101, 42, cdf).tolist() == want
+    assert draws.poisson_counts([], 3, 42, cdf).shape == (3, 0)

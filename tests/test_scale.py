@@ -75,3 +75,12 @@ def test_every_resample_is_of_as_many_draws_as_records(spark):
     assert abs(means.mean() - (size - 1) / 2) < 5 and 2 < means.std() < 9  # about 87 / sqrt(301)
     loose = [r.sums[0] for r in metrics.resample_sums(metrics.poisson_draws(records, n, 7), n).collect()]
     assert len(set(loose)) > 5 and abs(np.mean(loose) - size) < 20
+
+
+def test_poisson_resamples_are_dealt_to_all_tasks_and_take_no_row_for_a_draw(spark):
+    preds = spark.range(0, 4000, 1, 1).select(F.col("id").alias("rec_id"), F.array(F.col("id") % 3 == 0, F.col("id") % 5 == 0).alias("labels"), F.array(F.col("id") % 4 == 0, F.col("id") % 5 == 0).alias("decided"))
+    found = metrics.bootstrap_ci(preds, [[1.0, 0.5], [0.5, 1.0]], 0, poisson=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rec_id" in plan and "md5" not in plan
+    with_all = {r.metric: r.mean for r in found.collect()}
+    assert with_all["hamming_loss"] == pytest.approx(sum((k % 3 == 0) != (k % 4 == 0) for k in range(4000)) / 8000, abs=0.01)
