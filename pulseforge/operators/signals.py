@@ -17,8 +17,8 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Str
 from ..functions import kernels
 from ..shared import durable
 
-#: Most sources whose widths are broadcast; more are joined. Bytes of samples in a batch given back.
-BROADCAST_SOURCES, BATCH_BYTES = 100_000, 1 << 26
+#: Most sources whose widths are broadcast; more are joined. Bytes of samples in a batch given back, and in one of test exams.
+BROADCAST_SOURCES, BATCH_BYTES, TEST_BYTES = 100_000, 1 << 26, 1 << 22
 
 
 def matrices(column: pa.ListArray) -> Iterator[np.ndarray | None]:
@@ -39,7 +39,7 @@ def matrices(column: pa.ListArray) -> Iterator[np.ndarray | None]:
 def list_column(rows: list[np.ndarray | None], kind: str = "float") -> pa.ListArray:
     """array<array<kind>> of matrices; None is null."""
     found = [x for x in rows if x is not None]
-    flat = np.concatenate([np.zeros(0), *[x.ravel() for x in found]]).astype(np.float32 if kind == "float" else np.float64)
+    flat = np.concatenate([np.zeros(0), *[x.ravel() for x in found]], dtype=np.float32 if kind == "float" else np.float64, casting="same_kind")
     inner = np.concatenate([[0], *[np.full(len(x), x.shape[1]) for x in found]]).cumsum()
     outer = np.concatenate([[0], [0 if x is None else len(x) for x in rows]]).cumsum()
     absent = np.array([*[x is None for x in rows], False])
@@ -356,20 +356,41 @@ def synthetic_exams(keys: DataFrame, leads: DataFrame, seconds: float = 2.0, rat
     """One test exam for each key (column `key`) and rate: per lead a sinusoid with offset and noise, seeded by the key.
 
     leads (lead, amplitude, offset) has how far amplitudes and offsets go to either side; it is one row per lead. Only the
-    standard deviation of the noise, a tenth of the amplitude, is not drawn. Built-in expressions alone.
+    standard deviation of the noise, a tenth of the amplitude, is not drawn. Keys and rates are dealt to the tasks, which make
+    the samples of an exam at once; no sample is shuffled.
     """
-    rows = keys.select("key", F.explode(F.array(*[F.lit(r) for r in rates])).alias("rate")).crossJoin(F.broadcast(leads))  # by a few leads
-    of = lambda n: _uniform((F.col("key"), 7919), (F.col("rate"), 104729), (F.col("lead"), 1299709), (F.lit(n), 611953))
-    rows = rows.select(
-        "key", "rate", "lead", ((2 * of(1) - 1) * F.col("amplitude")).alias("a"), ((2 * of(2) - 1) * F.col("offset")).alias("o"),
-        (0.5 + 2.5 * of(3)).alias("f"), (2 * np.pi * of(4)).alias("p"),
-    )
-    angle = 2 * np.pi * F.col("f") * (F.col("t") / F.col("rate")) + F.col("p")
-    noise = lambda n: _uniform((F.col("key"), 7919), (F.col("rate"), 104729), (F.col("lead"), 1299709), (F.col("t"), 15485863), (F.lit(n), 32452843))
-    normal = F.sqrt(-2 * F.log(noise(5))) * F.cos(2 * np.pi * noise(6))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), (F.col("rate") * seconds).cast("int") - 1)).alias("t"))
-    x = F.col("a") * F.sin(angle) + F.col("o") + normal * 0.1 * F.abs("a")
-    lead = rows.select("key", "rate", "lead", F.struct("t", x.cast("float").alias("x")).alias("s")).groupBy("key", "rate", "lead")
-    lead = lead.agg(F.transform(F.sort_array(F.collect_list("s")), lambda v: v["x"]).alias("xs"))
-    exam = lead.groupBy("key", "rate").agg(F.transform(F.sort_array(F.collect_list(F.struct("lead", "xs"))), lambda v: v["xs"]).alias("tracing"))
-    return exam.select(F.concat(F.lit("SYNTH_Fs"), "rate", F.lit("_"), "key").alias("exam_id"), "rate", "tracing")
+    number, few = F.col("key").cast("long"), leads.agg(F.sort_array(F.collect_list(F.struct("lead", "amplitude", "offset"))).alias("leads"))
+    rows = keys.select("key", F.explode(F.array(*[F.lit(r) for r in rates])).alias("rate"))
+    rows = rows.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "rate")
+    rows = rows.crossJoin(F.broadcast(few)).filter(F.size("leads") > 0)  # by one row
+
+    def drawn(lead: Column) -> Column:
+        seed = ((number, 7919), (F.col("rate"), 104729), (lead["lead"], 1299709))
+        of = lambda n: _uniform(*seed, (F.lit(n), 611953))
+        starts = [sum((c.cast("long") * m for c, m in (*seed, (F.lit(n), 32452843))), F.lit(7).cast("long")).alias(f"s{n}") for n in (5, 6)]
+        return F.struct(
+            *starts, ((2 * of(1) - 1) * lead["amplitude"]).alias("a"), ((2 * of(2) - 1) * lead["offset"]).alias("o"), (0.5 + 2.5 * of(3)).alias("f"), (2 * np.pi * of(4)).alias("p")
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def taken() -> pa.RecordBatch:
+            at = pa.array(of, pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), list_column(found)], ["exam_id", "rate", "tracing"])
+
+        for b in batches:
+            edges, flat = b.column(2).offsets.to_numpy(), b.column(2).values
+            starts = np.array([pc.fill_null(flat.field(f"s{n}"), 0).to_numpy() & (_MOD - 1) for n in (5, 6)]).astype(np.uint32)
+            a, o, f, p = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in "aofp")
+            of, found, size = [], [], 0
+            for i, rate in enumerate(b.column(1).to_pylist()):
+                k = slice(edges[i], edges[i + 1])
+                of.append(i)
+                found.append(kernels.sinusoids(starts[:, k], a[k], o[k], f[k], p[k], rate, int(rate * seconds)))
+                size += found[-1].nbytes
+                if size > TEST_BYTES:
+                    yield taken()
+                    of, found, size = [], [], 0
+            yield taken()
+
+    rows = rows.select(F.concat(F.lit("SYNTH_Fs"), "rate", F.lit("_"), "key").alias("exam_id"), "rate", F.transform("leads", drawn).alias("leads"))
+    return rows.mapInArrow(run, "exam_id string, rate int, tracing array<array<float>>")

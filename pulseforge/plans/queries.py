@@ -26,6 +26,11 @@ def r6(name: str) -> Column:
     return F.round(F.col(name).cast("double"), 6).alias(name)
 
 
+def in_doubles(x: Column, digits: int) -> Column:
+    """x rounded by a product of doubles, halves away from 0, as the SQL's engine does; F.round makes a decimal number of each x."""
+    return F.signum(x) * (F.floor(F.abs(x) * 10.0**digits + 0.5) / 10.0**digits)
+
+
 def samples(df: DataFrame, *keys: str) -> DataFrame:
     """A row for each sample: keys, lead, t, x."""
     return df.select(*keys, F.posexplode("tracing").alias("lead", "xs")).select(*keys, "lead", F.posexplode("xs").alias("t", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
@@ -562,7 +567,9 @@ def W8_synthetic_exams(s, d):
     lead, v = F.col("event_id") % 12, F.col("value")
     leads = b.read(s, d, "events").groupBy(lead.cast("int").alias("lead")).agg(F.round(F.stddev_pop(v), 6).alias("amplitude"), F.round(F.avg(v), 6).alias("offset"))
     x = signals.synthetic_exams(b.read(s, d, "supplier").select(F.col("s_suppkey").alias("key")), leads)
-    return samples(x, "exam_id", "rate").groupBy("exam_id", "rate", "lead").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.max("x"), 3).alias("greatest"))
+    x = x.select("exam_id", "rate", F.posexplode("tracing").alias("lead", "xs")).select("exam_id", "rate", "lead", F.explode("xs").alias("x"))
+    x = x.withColumn("x", in_doubles(F.col("x").cast("double"), 6)).groupBy("exam_id", "rate", "lead")
+    return x.agg(F.count("*").alias("n"), in_doubles(F.avg("x"), 4).alias("mean"), in_doubles(F.max("x"), 3).alias("greatest"))
 
 
 # -- scoring, tuning, reports --------------------------------------------------------------------------------------

@@ -84,3 +84,28 @@ def test_poisson_resamples_are_dealt_to_all_tasks_and_take_no_row_for_a_draw(spa
     assert "hashpartitioning(rec_id" in plan and "md5" not in plan
     with_all = {r.metric: r.mean for r in found.collect()}
     assert with_all["hamming_loss"] == pytest.approx(sum((k % 3 == 0) != (k % 4 == 0) for k in range(4000)) / 8000, abs=0.01)
+
+
+def test_test_exams_are_made_in_the_tasks_that_hold_their_keys(spark):
+    leads = spark.createDataFrame([(k, 40.0 + k, 100.0) for k in range(3)], "lead int, amplitude double, offset double")
+    found = signals.synthetic_exams(spark.range(5).select((F.col("id") * 10**11).alias("key")), leads, rates=(128, 50))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [x.split("hashpartitioning(")[1].split("#")[0] for x in plan.split("\n") if "hashpartitioning(" in x] == ["key"]
+    got = {r.exam_id: r.tracing for r in found.collect()}
+    assert set(got) == {f"SYNTH_Fs{rate}_{k * 10**11}" for k in range(5) for rate in (128, 50)}
+
+    def u(*parts):
+        h = (7 + sum(parts)) % 2**31
+        for _ in range(3):
+            h = (h * 1103515245 + 12345) % 2**31
+            h ^= h >> 15
+        return (h + 0.5) / 2**31
+
+    for k, rate in ((0, 128), (4 * 10**11, 50)):
+        for lead, xs in enumerate(got[f"SYNTH_Fs{rate}_{k}"]):
+            at = k * 7919 + rate * 104729 + lead * 1299709
+            a, o, f, p = ((2 * u(at, 611953) - 1) * (40 + lead), (2 * u(at, 2 * 611953) - 1) * 100, 0.5 + 2.5 * u(at, 3 * 611953), 2 * np.pi * u(at, 4 * 611953))
+            noise = [np.sqrt(-2 * np.log(u(at, t * 15485863, 5 * 32452843))) * np.cos(2 * np.pi * u(at, t * 15485863, 6 * 32452843)) for t in range(2 * rate)]
+            want = [a * np.sin(2 * np.pi * f * t / rate + p) + o + noise[t] * 0.1 * abs(a) for t in range(2 * rate)]
+            assert len(xs) == 2 * rate and np.allclose(xs, want, rtol=1e-6, atol=1e-5)
+    assert signals.synthetic_exams(spark.range(2).withColumnRenamed("id", "key"), leads.limit(0)).count() == 0
