@@ -1,9 +1,14 @@
 """Recordings as files: header text, sample files as a data source, and the partitioned outputs."""
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import batched
+from math import ceil
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +17,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import waveforms
 from ..functions.labels import strip
 from ..operators.signals import list_column
-from ..shared import file_system
+from ..shared import durable, file_system, new_path, scratch
 
-#: Bytes of headers and samples that a task reads, and of decoded samples in a batch.
-PARTITION_BYTES, BATCH_BYTES = 1 << 27, 1 << 25
+#: Bytes of headers and samples that a task reads, and of decoded samples in a batch; what opening a file counts as in the former.
+PARTITION_BYTES, BATCH_BYTES, FILE_BYTES = 1 << 27, 1 << 25, 1 << 12
+#: Most recordings, headers or files listed in a batch.
+BATCH_ROWS = 1 << 12
 
 
 def parse_headers(files: DataFrame) -> DataFrame:
@@ -44,6 +51,73 @@ def parse_headers(files: DataFrame) -> DataFrame:
     )
 
 
+def _listed(where: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | None]]:
+    """Names in a folder with their bytes, of folders none. A local folder's listing is never held; pyarrow holds one of another store."""
+    if isinstance(where, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                if x.is_dir():
+                    yield x.name, None
+                elif x.is_file():
+                    yield x.name, x.stat().st_size
+    else:
+        for x in where.get_file_info(fs.FileSelector(folder)):
+            if x.type in (fs.FileType.File, fs.FileType.Directory):
+                yield x.base_name, (x.size or 0) if x.type == fs.FileType.File else None
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """folder, name, size of every file under root, a level of folders after the other: tasks list folders and write what they find."""
+    where, top = file_system(root)
+    if where.get_file_info(top).type != fs.FileType.Directory:
+        raise NotADirectoryError(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = file_system(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                for rows in batched(_listed(where, folder), BATCH_ROWS):
+                    names, sizes = zip(*rows, strict=True)
+                    columns = [pa.array([folder] * len(rows), pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["folder", "name", "size"])
+
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, n, levels = spark.createDataFrame([(top.rstrip("/") or "/",)], "folder string"), 1, []
+    while n:
+        found = durable(folders.repartition(min(n, most)).mapInArrow(run, "folder string, name string, size long"), "listing")
+        levels.append(found.filter("size is not null"))
+        folders = found.filter("size is null").select(F.concat(F.regexp_replace("folder", "/+$", ""), F.lit("/"), "name").alias("folder"))
+        n = folders.count()
+    return reduce(DataFrame.union, levels)
+
+
+def deal_headers(spark: SparkSession, root: str, header: Column, partition_bytes: int, alone: bool = False) -> tuple[str, int]:
+    """A table of the headers (files for which `header` holds) under root, dealt by a hash to stretches of about partition_bytes, of
+    headers `alone` or with all files beside them; its path and how many stretches. The driver sees two numbers.
+    """
+    path = new_path(spark, "headers")
+    with scratch(spark):
+        files = list_files(spark, root)
+        heads = files.filter(header)
+        weighed = heads if alone else files.join(heads.select("folder").distinct(), "folder", "left_semi")
+        size = weighed.agg(F.sum(F.greatest("size", F.lit(FILE_BYTES)))).first()[0] or 0
+        n = max(min(ceil(size / partition_bytes), heads.count()), 1)
+        dealt = heads.select("folder", "name", F.pmod(F.xxhash64("folder", "name"), F.lit(n)).alias("stretch"))
+        parts = min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt.repartition(parts, "stretch").write.partitionBy("stretch").parquet(path)
+    return path, n
+
+
+def _heads(dealt: str, stretch: int) -> Iterator[tuple[str, str]]:
+    """Folder and name of a stretch's headers."""
+    where, top = file_system(dealt)
+    for x in where.get_file_info(fs.FileSelector(f"{top}/stretch={stretch}", allow_not_found=True)):
+        if x.base_name.endswith(".parquet"):
+            with where.open_input_file(x.path) as f:
+                for b in pq.ParquetFile(f).iter_batches(BATCH_ROWS, columns=["folder", "name"]):
+                    yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+
+
 def read_headers(spark: SparkSession, root: str, pattern: str = "*.hea") -> DataFrame:
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return parse_headers(files.select(F.col("_metadata.file_path").alias("path"), "value"))
@@ -54,62 +128,29 @@ SCHEMA = "exam_id string, dataset string, folder string, rate double, leads arra
 
 @dataclass
 class Stretch(InputPartition):
-    """Headers by name, in folders one after the other: (folder, first, last), however many files those are."""
-
-    parts: list[tuple[str, str, str]]
-
+    """The headers of one stretch of a table of them."""
 
-def _files(where: fs.FileSystem, folder: str) -> tuple[dict[str, int], list[str]]:
-    """Sizes of a folder's files by name, and its folders."""
-    found = where.get_file_info(fs.FileSelector(folder))
-    return {x.base_name: x.size or 0 for x in found if x.type == fs.FileType.File}, sorted(x.path for x in found if x.type == fs.FileType.Directory)
+    number: int
 
 
 class RecordingReader(DataSourceReader):
-    """A task reads each of its headers with the sample files that the header names; the plan holds folders and names alone."""
+    """A task reads each of its headers with the sample files that the header names; the plan holds numbers alone."""
 
-    def __init__(self, root: str, partition_bytes: int, ending: str):
-        self.root, self.partition_bytes, self.ending = root, partition_bytes, ending
+    def __init__(self, dealt: str, stretches: int, root: str, ending: str):
+        self.dealt, self.stretches, self.root, self.ending = dealt, stretches, root, ending
 
     def partitions(self) -> list[Stretch]:
-        """Stretches of about partition_bytes each. One folder's listing is held at a time."""
-        where, top = file_system(self.root)
-        out, parts, size, todo = [], [], 0.0, [top.rstrip("/") or "/"]
-        while todo:
-            folder = todo.pop()
-            files, folders = _files(where, folder)
-            todo += reversed(folders)
-            heads = sorted(x for x in files if x.endswith(self.ending))
-            stems = {x[: -len(self.ending)]: 0 for x in heads}
-            shared = 0  # bytes of files with other names than a header's: an equal part of them for each header
-            for name, n in files.items():
-                stem = name.rsplit(".", 1)[0]
-                if stem in stems:
-                    stems[stem] += n
-                else:
-                    shared += n
-            first = None
-            for k, head in enumerate(heads):
-                first = first or head
-                size += stems[head[: -len(self.ending)]] + shared / len(heads)
-                if size >= self.partition_bytes or k == len(heads) - 1:
-                    parts.append((folder, first, head))
-                    first = None
-                if size >= self.partition_bytes:
-                    out.append(Stretch(parts))
-                    parts, size = [], 0.0
-        return out + [Stretch(parts)] if parts or not out else out
+        return [Stretch(k) for k in range(self.stretches)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         where, _ = file_system(self.root)
         rows, size = [], 0
-        for folder, first, last in partition.parts:
-            for name in sorted(x for x in _files(where, folder)[0] if x.endswith(self.ending) and first <= x <= last):
-                rows.append(self._recording(where, folder, name))
-                size += rows[-1][-2].nbytes if rows[-1][-2] is not None else 0
-                if size > BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, size = [], 0
+        for folder, name in _heads(self.dealt, partition.number):
+            rows.append(self._recording(where, folder, name))
+            size += rows[-1][-2].nbytes if rows[-1][-2] is not None else 0
+            if size > BATCH_BYTES or len(rows) == BATCH_ROWS:
+                yield _batch(rows)
+                rows, size = [], 0
         yield _batch(rows)
 
     def _recording(self, where: fs.FileSystem, folder: str, name: str) -> tuple:
@@ -139,7 +180,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Recordings(DataSource):
-    """Header and sample files under a folder as exams; options: path, partitionBytes, ending (of header files)."""
+    """Header and sample files under a folder as exams; options: path, ending (of header files), dealt and stretches (of deal_headers)."""
 
     @classmethod
     def name(cls) -> str:
@@ -149,10 +190,10 @@ class Recordings(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RecordingReader:
-        return RecordingReader(self.options["path"], int(self.options.get("partitionBytes", PARTITION_BYTES)), self.options.get("ending", ".hea"))
+        return RecordingReader(self.options["dealt"], int(self.options["stretches"]), self.options["path"], self.options["ending"])
 
 
-def read_recordings(spark: SparkSession, root: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def read_recordings(spark: SparkSession, root: str, partition_bytes: int = PARTITION_BYTES, ending: str = ".hea") -> DataFrame:
     """Every header under root with the samples it names: exam_id (the header's name), dataset and folder it lies in, rate, leads,
     tracing in physical units by lead, reason. What cannot be decoded has no tracing but a reason.
 
@@ -160,7 +201,8 @@ def read_recordings(spark: SparkSession, root: str, partition_bytes: int = PARTI
     baseline that is not given is the ADC's zero, and the format's missing value is NaN. Equal names in two folders are two exams.
     """
     spark.dataSource.register(Recordings)
-    return spark.read.format("recordings").option("partitionBytes", partition_bytes).load(root)
+    dealt, n = deal_headers(spark, root, F.endswith("name", F.lit(ending)), partition_bytes)
+    return spark.read.format("recordings").options(dealt=dealt, stretches=n, ending=ending).load(root)
 
 
 def write_files(rows: DataFrame, root: str) -> int:

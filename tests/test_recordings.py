@@ -102,3 +102,20 @@ def test_one_bad_exam_does_not_fail_the_others(spark):
     assert {(r.exam_id, r.why, r.dropped) for r in signals.rejected_records(df).collect()} == {("b", "ragged", True), ("c", "missing", True), ("d", "nan", True), ("e", "no_rate", False)}
     for f in (signals.remove_baseline, signals.z_norm, signals.resample):
         assert "b" not in {r.exam_id for r in f(df).collect()}
+
+
+def test_small_files_are_dealt_by_their_number_and_the_plan_holds_no_names(spark, tmp_path):
+    for k in range(4500):
+        d = tmp_path / "set" / f"g{k % 2}"
+        d.mkdir(parents=True, exist_ok=True)
+        (d / f"E{k}.hea").write_text(f"E{k} 1 500\nE{k}.dat 16 1/mV\n")
+        (d / f"E{k}.dat").write_bytes(np.array([k, 6], dtype="<i2").tobytes())
+    (tmp_path / "big.bin").write_bytes(bytes(1 << 20))  # lies beside no header
+    got = recordings.read_recordings(spark, str(tmp_path), partition_bytes=1 << 22)
+    assert got.rdd.getNumPartitions() == 9  # 9,000 files that count 4,096 bytes each
+    assert sorted((r.folder, r.exam_id, r.tracing[0][0]) for r in got.collect()) == sorted((f"g{k % 2}", f"E{k}", float(k)) for k in range(4500))
+    assert vars(recordings.RecordingReader("none", 3, "none", ".hea").partitions()[2]) == {"number": 2}
+    names = recordings._listed(recordings.file_system(str(tmp_path))[0], str(tmp_path / "set" / "g0"))
+    assert next(names)[0].startswith("E")  # one after the other
+    with pytest.raises(NotADirectoryError):
+        recordings.read_recordings(spark, str(tmp_path / "absent"))
