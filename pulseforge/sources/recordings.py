@@ -1,6 +1,7 @@
 """Recordings as files: header text, sample files as a data source, and the partitioned outputs."""
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -118,9 +119,43 @@ def _heads(dealt: str, stretch: int) -> Iterator[tuple[str, str]]:
                     yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
 
 
-def read_headers(spark: SparkSession, root: str, pattern: str = "*.hea") -> DataFrame:
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return parse_headers(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+def read_headers(spark: SparkSession, root: str, pattern: str = "*.hea", partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """parse_headers of the files under root whose names match. As Spark's readers do, it passes over empty files and those that are
+    hidden or lie in a hidden folder, and a path is a URI.
+    """
+    within = F.concat(F.substring("folder", len(file_system(root)[1].rstrip("/")) + 1, 1 << 30), F.lit("/"), "name")
+    named = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    header = F.col("name").rlike(f"^(?:{named})$") & (F.col("size") > 0) & ~within.rlike("/(\\.|_(?![^/]*=))")
+    dealt, n = deal_headers(spark, root, header, partition_bytes, alone=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toUri()
+    store = f"{uri.getScheme()}://{uri.getAuthority()}" if uri.getAuthority() else f"{uri.getScheme()}:"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = file_system(root)
+
+        def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], ["path", "value"])
+
+        for b in batches:
+            for stretch in b.column(0).to_pylist():
+                rows, size = [], 0
+                for folder, name in _heads(dealt, stretch):
+                    with where.open_input_stream(f"{folder.rstrip('/')}/{name}") as f:
+                        rows.append((store + _quoted(f"{folder.rstrip('/')}/{name}"), f.read()))
+                    size += len(rows[-1][1])
+                    if size > BATCH_BYTES or len(rows) == BATCH_ROWS:
+                        yield batch(rows)
+                        rows, size = [], 0
+                yield batch(rows)
+
+    files = spark.range(0, n, 1, n).mapInArrow(run, "path string, value binary")
+    return parse_headers(files.select("path", F.col("value").cast("string").alias("value")))
+
+
+def _quoted(path: str) -> str:
+    """As java.net.URI quotes a path."""
+    return re.sub(r"[\x00-\x20\x7f\"#%<>?\[\\\]^`{|}]", lambda m: f"%{ord(m[0]):02X}", path)
 
 
 SCHEMA = "exam_id string, dataset string, folder string, rate double, leads array<string>, tracing array<array<float>>, reason string"

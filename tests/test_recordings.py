@@ -119,3 +119,20 @@ def test_small_files_are_dealt_by_their_number_and_the_plan_holds_no_names(spark
     assert next(names)[0].startswith("E")  # one after the other
     with pytest.raises(NotADirectoryError):
         recordings.read_recordings(spark, str(tmp_path / "absent"))
+
+
+def test_headers_are_found_by_tasks_as_sparks_reader_finds_them(spark, tmp_path):
+    for name in ("a b+c%é/E 1.hea", "a b+c%é/_x/E2.hea", ".h/E3.hea", "_E4.hea", "_a=E5.hea", "s/g/E6.hea", "s/g/E6.dat", "s/_g=1/E7.hea", "s/E8.head"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("E 1 500\n# Dx: 1\n")
+    (tmp_path / "s" / "E9.hea").write_text("")
+    for k in range(30):
+        (tmp_path / "s" / "g" / f"F{k}.hea").write_bytes(b"F 1 250\n# Dx: \xff\n")
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}/s"):
+        for pattern in ("*.hea", "{E,F}[0-6]*.h?a"):
+            files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(recordings.F.col("_metadata.file_path").alias("path"), "value")
+            found = recordings.read_headers(spark, root, pattern, partition_bytes=1)
+            assert found.rdd.getNumPartitions() > 5 and "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(found.collect()) == sorted(recordings.parse_headers(files).collect())
+    (tmp_path / "none").mkdir()
+    assert recordings.read_headers(spark, str(tmp_path / "none")).count() == 0
